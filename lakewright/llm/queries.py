@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_decontamination
 from .quality_rules import op7_quality_rules
+from .secret_scan import op10_secret_scan
+from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL}
