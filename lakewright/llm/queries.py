@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_decontamination
+from .language_id import op6_language_id
+from .quality_model import op9_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secret_scan import op10_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
@@ -10,7 +12,9 @@ from .url_filter import OP3_SQL, op3_url_filter
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
 
