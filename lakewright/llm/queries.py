@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_decontamination
+from .html_extract import op4_html_extraction
 from .language_id import op6_language_id
 from .piece_codec import op5_sentencepiece
 from .quality_model import op9_quality_classifier
@@ -13,6 +14,7 @@ from .url_filter import OP3_SQL, op3_url_filter
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
+    "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
