@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP2_SQL, op2_decontamination
 from .html_extract import op4_html_extraction
 from .language_id import op6_language_id
+from .ngram_join import op1_ngram_join
 from .piece_codec import op5_sentencepiece
 from .quality_model import op9_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -12,6 +13,7 @@ from .secret_scan import op10_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_html_extraction": op4_html_extraction,
