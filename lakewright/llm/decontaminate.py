@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import LOWER, WORD, table, words
+from .base import LOWER, WORD, free_name, table, words
 
 WINDOW = 13
 #: Words of items in one automaton; below 300 MB in each worker.
@@ -239,6 +239,12 @@ def cleaner():
     return F.pandas_udf(cleaned, "string")
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns."""
+    hits = free_name(docs, "hits")
+    return match_benchmark(docs, items, found=hits).where(~F.col(hits)["contaminated"]).drop(hits)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = match_benchmark(docs, table(spark, sf_dir, "benchmark"))

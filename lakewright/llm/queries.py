@@ -10,6 +10,7 @@ from .piece_codec import op5_sentencepiece
 from .quality_model import op9_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secret_scan import op10_secret_scan
+from .substring_dedup import op8_substring_dedup
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, table
+from .base import Scratch, free_name, table
 
 #: The base patterns, and the shortest value that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -171,16 +171,20 @@ def thresholds(counts: list[tuple[int, int, int]], rate: float = RATE) -> list[f
     return out
 
 
+def limits(counts: DataFrame) -> list[float]:
+    return thresholds([(r["c"], r["b"], r["n"]) for r in counts.collect()])
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end, by start and then kind, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def spans_of(docs: DataFrame, found: Column, counts: DataFrame, score: str) -> Column:
+def spans_of(found: Column, counts: DataFrame) -> Column:
     """All spans of a row: the base ones, and candidates beyond the thresholds that no base span covers."""
-    least = F.array(*(F.lit(float(x)) for x in thresholds([(r["c"], r["b"], r["n"]) for r in counts.collect()])))
-    passed = F.filter(found[score], lambda m: F.floor(m["score"] * 20) / 20 >= F.get(least, length_class(m["end"] - m["start"])))
+    least = F.array(*(F.lit(float(x)) for x in limits(counts)))
+    passed = F.filter(found["more"], lambda m: F.floor(m["score"] * 20) / 20 >= F.get(least, length_class(m["end"] - m["start"])))
     fresh = F.filter(passed, lambda m: ~F.exists(found["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     as_span = F.transform(fresh, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
     return F.concat(found["base"], as_span)
@@ -196,29 +200,48 @@ def scan_secrets(docs: DataFrame, scratch: Scratch, *, text: str = "text", found
     """docs, without their text, with an array of spans (start, kind, end) in code points."""
     raw = docs.withColumn(found, scanner()(F.col(text))).drop(text)
     kept = scratch.save(raw, "found")
-    return kept.withColumn(found, spans_of(kept, F.col(found), histogram(kept, found), "more"))
+    return kept.withColumn(found, spans_of(F.col(found), histogram(kept, found)))
+
+
+def all_spans(text: str, least: list[float]) -> list[tuple[int, int, int]]:
+    """What spans_of gives, for one text: (start, kind, end)."""
+    base = base_spans(text)
+    fits = lambda a, b, p: math.floor(p * 20) / 20 >= least[sum(b - a >= x for x in LENGTHS[1:])]
+    return sorted(base + [(a, 3, b) for a, b, p in candidates(text) if fits(a, b, p) and not any(x < b and a < y for x, _, y in base)])
 
 
-def redactor():
-    """An Arrow-batched function from a text and its spans to the text with a mark in place of each."""
+def redactor(least: list[float]):
+    """An Arrow-batched function from a text to the text with a mark in place of each secret."""
 
-    def redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, s) for t, s in zip(text, spans, strict=True)])
+    @F.pandas_udf("string")
+    def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else redact(t, all_spans(t, least)) for t in texts], dtype=object)
 
-    return F.pandas_udf(redacted, "string")
+    return redacted.asNondeterministic()
 
 
-def redact(text: str | None, spans, mark: str = "<SECRET>") -> str | None:
-    if text is None:
-        return None
+def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "<SECRET>") -> str:
+    """Overlapping spans give way to one mark."""
     out, last = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if s["start"] >= last:
-            out += [text[last : s["start"]], mark]
-        last = max(last, s["end"])
+    for start, _, end in sorted(spans):
+        if start >= last:
+            out += [text[last:start], mark]
+        last = max(last, end)
     return "".join(out) + text[last:]
 
 
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """docs with a mark in place of each secret in `text`, and `n_chars`, where it is a column, counted anew.
+
+    The texts are scanned twice, for the thresholds and for the marks, so they are never shuffled.
+    """
+    found = free_name(docs, "secrets")
+    counts = histogram(docs.select(scanner()(F.col("text")).alias(found)), found)
+    out = docs.withColumn("text", redactor(limits(counts))(F.col("text")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_secrets(docs, Scratch(spark, "secret-scan"))
