@@ -28,15 +28,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(ROUNDS):
         # Large star: every larger neighbour of u links to the least of u's neighbourhood.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
+        # The minima are saved, so that the joins read two plain exchanges, which Spark can split at a hot node.
+        least = scratch.save(_least_neighbour(both).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Small star: u's smaller neighbours, and u, link to the least of them.
-        low = _least_neighbour(large)
+        large = scratch.save(large, "large")
+        low = scratch.save(_least_neighbour(large), "low")
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         new = scratch.save(small, "links")
         same = _print(new) == _print(now)
-        scratch.drop(now)
+        for done in (now, least, large, low):
+            scratch.drop(done)
         now = new
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

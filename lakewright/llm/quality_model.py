@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import LOWER, WordHashes, mix, table
+from .base import LOWER, WordHashes, free_name, mix, table
 
 BITS = 18
 SCALE = 40.0
 #: Labelled texts in training at most; longer texts than this teach nothing (they are scored).
-MAX_TRAIN, MAX_TRAIN_CHARS = 6000, 50_000
+MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 50_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 KEEP_AT = 0.7
@@ -55,7 +55,7 @@ def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, label, text in zip(pdf["h"], pdf["label"], pdf["text"], strict=True):
             at = places(text, hashes)
             where, n = np.unique(at, return_counts=True)
-            rows.append((key, label, where.astype(np.int32), (n * (SCALE / max(1, len(at)))).astype(np.float32)))
+            rows.append((key, label, where.astype(np.int32).tobytes(), (n * (SCALE / max(1, len(at)))).astype(np.float32).tobytes()))
         yield pd.DataFrame(rows, columns=["h", "label", "at", "x"])
 
 
@@ -89,9 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train
     share = min(1.0, max_train / max(1, total))
     chosen = known.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_train)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= MAX_TRAIN_CHARS)
-    rows = texts.join(F.broadcast(chosen), "id").select("h", "label", "text").mapInPandas(sparse, "h long, label int, at array<int>, x array<float>").collect()
+    rows = texts.join(F.broadcast(chosen), "id").select("h", "label", "text").mapInPandas(sparse, "h long, label int, at binary, x binary").collect()
     rows.sort(key=lambda r: (r["h"], r["label"], r["at"]))
-    return train([(r["label"], np.array(r["at"], np.int64), np.array(r["x"])) for r in rows])
+    return train([(r["label"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in rows])
 
 
 def scorer(spark: SparkSession, weights: np.ndarray, bias: float):
@@ -119,5 +119,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, keep_at: float = KEEP_
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= keep_at).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, *, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, with all their columns."""
+    weights, bias = fit(docs, labels)
+    score = free_name(docs, "score")
+    return docs.withColumn(score, scorer(docs.sparkSession, weights, bias)(F.col("text"))).where(F.col(score) >= keep_at).drop(score)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
