@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +79,15 @@ def recent(rows: DataFrame, owner: str, item: str, at: str, most: int = 10) -> D
     once = rows.groupBy(owner, item).agg(F.max(at).alias(at))
     w = Window.partitionBy(owner).orderBy(F.col(at).desc(), F.col(item))
     return once.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+
+
+def curve(cards: DataFrame, keys: list[str], cost: Column, top: int) -> DataFrame:
+    """Copies by cost; the last bucket holds all from `top` on."""
+    bucket = F.least(F.greatest(F.floor(cost), F.lit(0)), F.lit(top)).cast("int")
+    return cards.groupBy(*keys, bucket.alias("bucket")).agg(F.sum("quantity").cast("long").alias("n"))
+
+
+def pending_jobs(sources: list[DataFrame], gone: DataFrame, key: str, why: str) -> DataFrame:
+    """One job for each key that a source asks for and that isn't gone, with the reasons."""
+    asked = reduce(DataFrame.unionByName, sources).join(gone.select(key).distinct(), key, "left_anti")
+    return asked.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(why)), ",").alias(why))

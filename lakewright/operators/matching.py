@@ -72,3 +72,9 @@ def set_completion(owned: DataFrame, sets: DataFrame, key: str, count: str) -> D
     have = owned.groupBy(key).agg(F.count_distinct("card_id").alias("have"))
     ratio = F.least(F.lit(1.0), F.coalesce("have", F.lit(0)) / F.nullif(F.col(count), F.lit(0)))
     return sets.join(have, key, "left").select(key, ratio.alias("completion"))
+
+
+def paired_in_order(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
+    """Rows of a key paired in order of their ids, so that each row of either side is used once at most."""
+    nth = lambda df, i: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(i)))
+    return nth(left.select(*keys, left_id), left_id).join(nth(right.select(*keys, right_id), right_id), [*keys, "_nth"]).drop("_nth")

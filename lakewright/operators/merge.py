@@ -144,3 +144,23 @@ def next_position(df: DataFrame, keys: list[str], column: str = "position") -> D
 def swept(log: DataFrame, cutoff: Column, time: str, sequence: str) -> tuple[DataFrame, DataFrame]:
     """A log without entries before the cutoff, and its horizon: the greatest sequence number removed."""
     return log.where(F.col(time) >= cutoff), log.where(F.col(time) < cutoff).agg(F.max(sequence).alias("horizon"))
+
+
+def override(held: DataFrame, manual: DataFrame, keys: list[str], name: str = "manual") -> DataFrame:
+    """Manual rows, and held rows of keys without one; a column says which."""
+    rest = held.join(manual.select(*keys), keys, "left_anti")
+    return rest.withColumn(name, F.lit(False)).unionByName(manual.withColumn(name, F.lit(True)))
+
+
+def purge_marks(rows: DataFrame, status: str, time: str, cutoffs: dict[str, str], name: str = "expired") -> DataFrame:
+    """Rows with a column that says whether they are older than their status allows."""
+    old = F.lit(False)
+    for s, at in cutoffs.items():
+        old = old | ((F.col(status) == s) & (F.col(time) < F.to_timestamp(F.lit(at))))
+    return rows.withColumn(name, F.coalesce(old, F.lit(False)))
+
+
+def backfill_single(rows: DataFrame, details: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Rows with the value of their only detail row, else null."""
+    one = details.groupBy(*keys).agg(F.min(value).alias(name), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    return rows.join(one, keys, "left")

@@ -12,9 +12,15 @@ def _ranked(df: DataFrame, keys: list, order: list[Column], name: str) -> DataFr
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def top_n(df: DataFrame, keys: list, order: list[Column], n: int, rank: str = "_rank") -> DataFrame:
+def top_n(df: DataFrame, keys: list, order: list[Column], n: int, rank: str = "_rank", keep_rank: bool = False) -> DataFrame:
     """The first n rows of each group. Spark drops rows beyond n before the shuffle."""
-    return _ranked(df, keys, order, rank).where(F.col(rank) <= n).drop(rank)
+    top = _ranked(df, keys, order, rank).where(F.col(rank) <= n)
+    return top if keep_rank else top.drop(rank)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Ordinals over a page; for few rows only, as they meet in one partition."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
 def distinct_on(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
@@ -91,6 +97,25 @@ def with_count(left: DataFrame, right: DataFrame, on: list[str], name: str = "n"
     return left.join(counts, on, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def exists_flag(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Left rows and whether the right side has their key."""
+    keys = right.select(*on).distinct().withColumn(name, F.lit(True))
+    return left.join(keys, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def first_nonempty(branches: list[DataFrame]) -> DataFrame:
+    """The first branch that has a row; a later one is read only if the earlier ones are empty."""
+    for df in branches[:-1]:
+        if not df.isEmpty():
+            return df
+    return branches[-1]
+
+
+def page_with_total(df: DataFrame, order: list[Column], size: int, number: int = 1, name: str = "total") -> DataFrame:
+    """A page, with the number of all rows as a column; the count is one job of its own."""
+    return page(df, order, size, number).withColumn(name, F.lit(df.count()))
+
+
 def unique_lookup(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """Left rows with the value of their key, if the right side has only one value for it."""
     sole = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("_max")).where(F.col(value) == F.col("_max")).drop("_max")
@@ -116,3 +141,9 @@ def greedy_chunks(df: DataFrame, keys: list, order: list[Column], size: Column,
     """A chunk number by the running sum of sizes, so that chunks hold about `limit`; a row is never split."""
     before = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - size
     return df.withColumn(name, F.floor(before / limit).cast("long"))
+
+
+def own_or_sibling(df: DataFrame, keys: list[str], own: str, name: str) -> DataFrame:
+    """A column with the row's own value, else the greatest of its siblings'; the siblings are combined before the join."""
+    best = df.groupBy(*keys).agg(F.max(own).alias("_sibling"))
+    return df.join(best, keys, "left").withColumn(name, F.coalesce(own, "_sibling")).drop("_sibling")

@@ -73,3 +73,9 @@ def roll_up_freshness(by_set: DataFrame, keys: list[str]) -> DataFrame:
 def cheapest(prices: DataFrame, keys: list[str], currency: str) -> DataFrame:
     """The cheapest price in the currency of each key; ties go to the least print."""
     return prices.where(F.col("currency") == currency).groupBy(*keys).agg(F.min_by(F.struct("print_id", "market"), F.struct("market", "print_id")).alias("b")).select(*keys, F.col("b.print_id").alias("print_id"), F.col("b.market").alias("market"))
+
+
+def coverage_gaps(groups: DataFrame, sets: DataFrame, match: list[str], prints: DataFrame, prices: DataFrame, key: list[str]) -> DataFrame:
+    """kind, id: groups that match no set, and prints without a price."""
+    unmatched = groups.join(sets.select(*match).distinct(), match, "left_anti").select(F.lit("unmatched").alias("kind"), "id")
+    return unmatched.unionByName(prints.join(prices.select(*key).distinct(), key, "left_anti").select(F.lit("unpriced").alias("kind"), "id"))
