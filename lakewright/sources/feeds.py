@@ -157,7 +157,7 @@ def gallery_rows(pages: DataFrame, abbreviation, text: str = "text") -> DataFram
     calls = wikitext_calls(pages, "Set gallery", text).where(named("abbr").isNull())
     calls = calls.withColumn("_region", F.coalesce(F.upper(named("region")), "region")).withColumn("_edition", F.coalesce(F.upper(named("edition")), "edition"))
     rows = calls.select("*", F.posexplode("lines").alias("line", "_l")).where(F.trim("_l") != "")
-    rows = rows.withColumn("_values", F.transform(F.split(F.regexp_extract("_l", r"(?s)^(.*?)(//.*)?$", 1), ";"), F.trim))
+    rows = rows.withColumn("_values", F.transform(F.split(F.regexp_extract("_l", r"(?s)^(.*?)(//.*)?$", 1), ";"), lambda v: F.trim(v)))
     pairs = F.filter(F.transform(F.split(F.regexp_extract("_l", r"(?s)//(.*)$", 1), ";"), lambda o: F.split(o, "::")), lambda p: F.size(p) > 1)
     options = F.transform(pairs, lambda p: F.struct(F.trim(p[0]).alias("k"), F.trim(p[1]).alias("v")))
     option = lambda k: F.nullif(F.get(F.filter(options, lambda o: o["k"] == k), F.lit(0))["v"], F.lit(""))

@@ -17,7 +17,7 @@ MAX_DELTAS = 30
 def write_csv(df: DataFrame, path: str, order: list[Column]) -> None:
     """One CSV file with a header, CRLF line ends and fields quoted only where they must be."""
     head = df.sparkSession.createDataFrame([(0, ",".join(df.columns))], "part int, line string")
-    ordered = df.sort(*order).select(csv_line(*df.columns).alias("line"))
+    ordered = df.sort(*order).select(csv_line(*map(F.col, df.columns)).alias("line"))
     numbered = ordered.select(F.lit(1).alias("part"), "line", F.monotonically_increasing_id().alias("nth"))
     whole = head.withColumn("nth", F.lit(0).cast("long")).select("part", "line", "nth").unionByName(numbered)
     whole.repartitionByRange(1, "part", "nth").sortWithinPartitions("part", "nth").select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
