@@ -91,3 +91,47 @@ def pending_jobs(sources: list[DataFrame], gone: DataFrame, key: str, why: str)
     """One job for each key that a source asks for and that isn't gone, with the reasons."""
     asked = reduce(DataFrame.unionByName, sources).join(gone.select(key).distinct(), key, "left_anti")
     return asked.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(why)), ",").alias(why))
+
+
+def first_per_name(cards: DataFrame, keys: list[str], order: list[Column], code: str) -> DataFrame:
+    """keys, name, code: the problem of each name's first card, if it has one; a name in two zones is one card."""
+    w = Window.partitionBy(*keys, "name").orderBy(*order)
+    return cards.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).where(F.col(code).isNotNull()).select(*keys, "name", code)
+
+
+def more_than_one(cards: DataFrame, keys: list[str], kind: Column, code: str) -> DataFrame:
+    """keys, code, n: lists with more than one card of a kind."""
+    return cards.where(kind).groupBy(*keys).agg(F.sum("quantity").cast("long").alias("n")).where("n > 1").select(*keys, F.lit(code).alias("code"), "n")
+
+
+def without_any(cards: DataFrame, keys: list[str], kind: Column, code: str) -> DataFrame:
+    """keys, code: lists that have no card of a kind."""
+    return cards.groupBy(*keys).agg(F.bool_or(F.coalesce(kind, F.lit(False))).alias("_any")).where(~F.col("_any")).select(*keys, F.lit(code).alias("code"))
+
+
+def outside_identity(cards: DataFrame, keys: list[str], zone: str, identity: str = "identity") -> DataFrame:
+    """keys, name: cards with a colour that the list's only leader hasn't got; lists with several leaders are left alone."""
+    leaders = cards.where(F.col("zone") == zone).groupBy(*keys).agg(F.count("*").alias("_n"), F.first(identity).alias("_allowed")).where("_n = 1 AND _allowed IS NOT NULL")
+    rest = cards.where(F.col("zone") != zone).join(leaders, keys)
+    return rest.where(F.size(F.array_except(identity, "_allowed")) > 0).select(*keys, "name").distinct()
+
+
+#: The least share of prices refreshed in a day; the stale prices by which a day may grow.
+FRESH_SHARE, STALE_LEAST, STALE_SHARE = 0.95, 25, 0.005
+
+
+def freshness_problems(now: DataFrame, before: DataFrame) -> DataFrame:
+    """source, game, problem: too few prices refreshed, or many more stale ones than the day before."""
+    old = before.select("source", "game", F.col("stale").alias("_before"))
+    name = F.concat_ws("/", "source", "game")
+    few = F.when(F.col("share") < FRESH_SHARE, F.concat(name, F.format_string(" %.1f%% refreshed in 24 h", F.col("share") * 100)))
+    grown = F.when(F.col("stale") - F.col("_before") > F.greatest(F.lit(STALE_LEAST), F.ceil(F.col("priced") * STALE_SHARE)), F.concat(name, F.format_string(" %d stale (was %d)", "stale", "_before")))
+    out = now.join(old, ["source", "game"], "left").select("source", "game", F.explode(F.array(few, grown)).alias("problem"))
+    return out.where("problem IS NOT NULL")
+
+
+def run_problems(latest: DataFrame, now: str, hours: int) -> DataFrame:
+    """source, problem: sources whose last success is too old (and no run is on its way), and those whose last run failed."""
+    late = F.col("last_ok").isNull() | (F.col("last_ok") < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    missing = F.when((F.col("status") != "running") & late, "missing")
+    return latest.select("source", F.explode(F.array(missing, F.when(F.col("status") == "failed", "failed"))).alias("problem")).where("problem IS NOT NULL")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.functions.text import code_key, numeric_part, similarity, tokens, trigrams
+from lakewright.functions.text import alnum, code_key, numeric_part, similarity, tokens, trigrams
 from lakewright.functions.values import ban_limit, condition_factor, language_rank, preference, round_half_up, without_keys
 from lakewright.operators import lists, pick, pricing, search
 from lakewright.operators.feed import latest
@@ -119,12 +119,12 @@ def card_prints(k: Catalog, card_id: str, *, lang: str, currency: str) -> DataFr
 def code_hits(k: Catalog, typed: str) -> DataFrame:
     """print_id, rank: prints whose set code and number are spelt as typed; 300 all, 200 without leading zeros, 100 the beginning."""
     spark = k.prints.sparkSession
-    key = spark.range(1).select(code_key(F.lit(typed)).alias("key"))
-    cuts = key.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("cut")).select(F.left("key", "cut").alias("head"), F.substr("key", c("cut") + 1).alias("rest"))
+    key = spark.range(1).select(alnum(F.lit(typed)).alias("key")).where("key != ''")
+    cuts = key.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("cut")).select(code_key(F.left("key", "cut")).alias("head"), F.substr("key", c("cut") + 1).alias("rest")).distinct()
     sets = k.sets.select(c("id").alias("set_id"), code_key(c("code")).alias("head"))
     # A typed code has a few dozen cuts at most.
     hits = k.prints.join(sets.join(F.broadcast(cuts), "head"), "set_id")
-    exact, bare = F.regexp_replace(F.lower("number"), "[^a-z0-9]+", ""), code_key(c("number"))
+    exact, bare = alnum(c("number")), code_key(c("number"))
     rank = F.when(exact == c("rest"), 300).when(bare == code_key(c("rest")), 200).when((c("rest") != "") & bare.startswith(c("rest")), 100).when(c("rest") == "", 0)
     return hits.withColumn("rank", rank.cast("double")).where("rank IS NOT NULL").groupBy(c("id").alias("print_id")).agg(F.max("rank").alias("rank"))
 
@@ -175,11 +175,11 @@ def search_prints(k: Catalog, typed: str, *, lang: str, currency: str, game: str
 
 def newest_print(k: Catalog, ranked: DataFrame) -> DataFrame:
     """Of each ranked card (card_id, ord, lang), the newest print that has a name in its language."""
-    names = k.print_localizations.select(c("print_id").alias("id"), c("lang").alias("_lang"))
-    english = k.prints.select("id", F.lit("en").alias("_lang"))
-    held = english.unionByName(names).distinct()
+    names = k.print_localizations.select(c("print_id").alias("id"), "lang")
+    held = names.unionByName(k.prints.select("id", F.lit("en").alias("lang"))).distinct()
     released = k.sets.select(c("id").alias("set_id"), c("released_on").alias("set_released"))
-    fits = ranked.join(k.prints.select("id", "card_id", "set_id", "number", "variant"), "card_id").join(held, (c("lang") == c("_lang")) & (k.prints["id"] == held["id"])).drop(held["id"]).join(released, "set_id")
+    own = k.prints.select("id", "card_id", "set_id", "number", "variant")
+    fits = ranked.join(own, "card_id").join(held, ["id", "lang"]).join(released, "set_id")
     return pick.distinct_on(fits, ["card_id"], [c("set_released").desc_nulls_last(), *number_order(), c("id").asc()]).select("id", "ord", "lang")
 
 
