@@ -24,8 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case; faster than a translation where a text isn't ASCII."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER)) if text else []
+    return WORD.findall(lowered(text)) if text else []
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -89,13 +94,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(ws: list[str], hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """A 64-bit hash for each n consecutive words; for fewer words, but not none, one for all."""
-    if not ws:
+#: Which bytes of lower-cased UTF-8 belong to words, as in WORD_PATTERN.
+WORD_BYTE = np.array([b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" for b in range(256)])
+BYTE_VALUES = np.random.default_rng(2).integers(1, 2**64, 256, dtype=np.uint64)
+#: Odd, so that its powers have inverses modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
+BLOCK = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2**64."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 4096), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= 2 * BLOCK:
+            _powers[base] = held
+    return held[:n]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text, without making the words: sums of bytes' values times powers."""
+    if not text:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    edges = np.flatnonzero(np.diff(WORD_BYTE[data], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    out = []
+    # Long texts in blocks that end between words, so the sums stay small.
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK)), len(starts)))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low, high = starts[a], ends[b - 1]
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data[low:high]] * powers(BASE, high - low), out=sums[1:])
+        at = starts[a:b] - low
+        out.append(mix((sums[ends[a:b] - low] - sums[at]) * powers(INVERSE, high - low)[at]))
+    return np.concatenate(out)
+
+
+def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """A 64-bit hash for each n consecutive words, from the words' hashes; for fewer words, but not none, one for all."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-    n = min(n, len(ws))
-    out = np.zeros(len(ws) - n + 1, np.uint64)
+    n = min(n, len(h))
+    out = np.zeros(len(h) - n + 1, np.uint64)
     factor = 1
     for k in range(n):
         out += h[k : len(h) - n + 1 + k] * np.uint64(factor)

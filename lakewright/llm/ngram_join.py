@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import SHINGLE, SIMILARITY, Scratch, WordHashes, free_name, mix, shingles, table, words
+from .base import SHINGLE, SIMILARITY, Scratch, free_name, mix, shingles, table, word_hashes
 from .components import components
 
 PLACES = 64
@@ -61,11 +61,10 @@ def fingerprints():
 
     @F.pandas_udf("node binary, sketch binary")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for texts in batches:
             rows = []
             for text in texts:
-                own = np.unique(shingles(words(text), hashes, SHINGLE))
+                own = np.unique(shingles(word_hashes(text), SHINGLE))
                 rows.append((xxhash.xxh3_128_digest(own.tobytes()), sketch(own).tobytes()) if len(own) else (None, None))
             yield pd.DataFrame(rows, columns=["node", "sketch"])
 
@@ -277,9 +276,8 @@ def linker(similarity: float):
 
 def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole n-gram sets of the rows whose text still has the node's set."""
-    hashes = WordHashes()
     for pdf in batches:
-        packed = [np.unique(shingles(words(t), hashes, SHINGLE)).tobytes() for t in pdf["text"]]
+        packed = [np.unique(shingles(word_hashes(t), SHINGLE)).tobytes() for t in pdf["text"]]
         fits = [xxhash.xxh3_128_digest(p) == n for p, n in zip(packed, pdf["node"], strict=True)]
         yield pdf.drop(columns="text").assign(shingles=packed)[fits]
 
