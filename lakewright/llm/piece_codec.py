@@ -185,15 +185,20 @@ class PieceMachine:
         return (*out, *(head if joined else head[1:] if rest else ()))
 
     def merged_marks(self, n: int) -> list[str]:
-        """Leftmost merges of n marks, in time linear in n: the left piece grows while a longer one exists."""
-        out, left = [], n
+        """Leftmost merges of n marks, in time linear in n: a piece joins the one before it, else takes the next mark."""
+        out: list[int] = []
+        left = n
         while left:
-            size = 1
-            while size < left and MARK * (size + 1) in self.ids:
-                size += 1
-            out.append(MARK * size)
-            left -= size
-        return out
+            size, left = 1, left - 1
+            while True:
+                if out and MARK * (out[-1] + size) in self.ids:
+                    size += out.pop()
+                elif left and MARK * (size + 1) in self.ids:
+                    size, left = size + 1, left - 1
+                else:
+                    break
+            out.append(size)
+        return [MARK * size for size in out]
 
     def best_path(self, part: str) -> tuple[int, ...]:
         """Unigram models: the path of least weight; an unknown character weighs 10 more than the worst piece."""
