@@ -147,3 +147,10 @@ def own_or_sibling(df: DataFrame, keys: list[str], own: str, name: str) -> DataF
     """A column with the row's own value, else the greatest of its siblings'; the siblings are combined before the join."""
     best = df.groupBy(*keys).agg(F.max(own).alias("_sibling"))
     return df.join(best, keys, "left").withColumn(name, F.coalesce(own, "_sibling")).drop("_sibling")
+
+
+def by_year(sets: DataFrame, date: str, item: str) -> DataFrame:
+    """year ('' without a date), items: the items of each year, newest first; a year has a bounded number of sets."""
+    year = F.coalesce(F.year(date).cast("string"), F.lit(""))
+    row = F.struct((-F.unix_date(F.to_date(date))).alias("at"), F.col(item).alias("item"))
+    return sets.groupBy(year.alias("year")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["item"]).alias("items"))

@@ -79,3 +79,25 @@ def coverage_gaps(groups: DataFrame, sets: DataFrame, match: list[str], prints:
     """kind, id: groups that match no set, and prints without a price."""
     unmatched = groups.join(sets.select(*match).distinct(), match, "left_anti").select(F.lit("unmatched").alias("kind"), "id")
     return unmatched.unionByName(prints.join(prices.select(*key).distinct(), key, "left_anti").select(F.lit("unpriced").alias("kind"), "id"))
+
+
+def finish_totals(owned: DataFrame, keys: list[str]) -> DataFrame:
+    return owned.groupBy(*keys, "finish").agg(F.sum("quantity").cast("long").alias("n"))
+
+
+def set_value(prices: DataFrame, owned: DataFrame, keys: list[str], print_id: str, currency: str) -> DataFrame:
+    """keys, owned and missing value and number, as_of: what the owned copies of a group's prints are worth, and one copy of each missing one.
+
+    Prices in another currency don't count.
+    """
+    have = owned.groupBy(print_id).agg(F.sum("quantity").cast("long").alias("_have"))
+    one = prices.where(F.col("currency") == currency).join(have, print_id, "left").withColumn("_n", F.coalesce("_have", F.lit(0)))
+    held = F.col("_n") > 0
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return one.groupBy(*keys).agg(
+        total(F.col("cents") * F.col("_n")).alias("owned_cents"),
+        total(F.when(~held, F.col("cents"))).alias("missing_cents"),
+        total(F.col("_n")).alias("owned"),
+        F.count_if(~held).alias("missing"),
+        F.max("observed_at").alias("as_of"),
+    )

@@ -337,3 +337,21 @@ def pending_work(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     wanted = [lines.where("l_returnflag = 'R' AND l_quantity > 45").select(c("l_partkey").alias("k"), F.lit("r").alias("why")), table(spark, d, "part").where("p_size > 40").select(c("p_partkey").alias("k"), F.lit("big").alias("why"))]
     return lists.pending_jobs(wanted, lines.where("l_linenumber = 7 AND l_returnflag = 'N'").select(c("l_partkey").alias("k")), "k", "why")
+
+
+@query(f"WITH {_ENTRIES} SELECT user_id, finish, CAST(sum(quantity) AS BIGINT) AS n FROM entries GROUP BY 1, 2")
+def finish_totals(spark: SparkSession, d: str) -> DataFrame:
+    return pricing.finish_totals(entries(spark, d), ["user_id"])
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_brand, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS cents FROM part WHERE p_type <> 'PROMO'),
+o AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS have FROM lineitem WHERE l_quantity > 47 AND l_returnflag = 'A' GROUP BY 1)
+SELECT p_brand, CAST(sum(cents * coalesce(have, 0)) AS BIGINT) AS owned_cents, CAST(coalesce(sum(cents) FILTER (WHERE have IS NULL), 0) AS BIGINT) AS missing_cents,
+  CAST(sum(coalesce(have, 0)) AS BIGINT) AS owned, count(*) FILTER (WHERE have IS NULL) AS missing FROM p LEFT JOIN o ON l_partkey = p_partkey GROUP BY 1""")
+def set_value(spark: SparkSession, d: str) -> DataFrame:
+    """What is owned and missing of each brand is worth, in one currency."""
+    currency = F.when(c("p_type") == "PROMO", "USD").otherwise("EUR")
+    prices = table(spark, d, "part").select("p_brand", c("p_partkey").alias("print_id"), cents(c("p_retailprice")).alias("cents"), currency.alias("currency"), F.lit(NOW).alias("observed_at"))
+    owned = table(spark, d, "lineitem").where("l_quantity > 47 AND l_returnflag = 'A'").select(c("l_partkey").alias("print_id"), c("l_quantity").alias("quantity"))
+    return pricing.set_value(prices, owned, ["p_brand"], "print_id", "EUR").drop("as_of")

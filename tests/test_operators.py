@@ -167,3 +167,21 @@ def test_thinning_across_weeks(spark):
 
 def test_first_nonempty(spark):
     assert pick.first_nonempty([spark.range(0), spark.range(2), spark.range(3)]).count() == 2
+
+
+def test_sets_by_year(spark):
+    sets = spark.sql("SELECT * FROM VALUES (DATE'2024-01-01', 'a'), (DATE'2024-05-01', 'b'), (NULL, 'c'), (DATE'2023-01-01', 'd') t(day, code)")
+    assert {r["year"]: r["items"] for r in pick.by_year(sets, "day", "code").collect()} == {"2024": ["b", "a"], "": ["c"], "2023": ["d"]}
+
+
+def test_a_run_is_counted_once(spark):
+    counters = table(spark, "name string, value long, run_id string", ("catalog_version", 1, "r1"))
+    once = merge.bump_once(counters, table(spark, "run_id string", ("r1",), ("r2",), ("r2",)))
+    assert rows(once) == [("catalog_version", 1, "r1"), ("catalog_version", 2, "r2")]
+    assert rows(merge.bump_once(once, table(spark, "run_id string", ("r2",)))) == rows(once)
+
+
+def test_set_value_leaves_other_currencies(spark):
+    prices = table(spark, "g string, p string, cents long, currency string, observed_at string", ("g", "a", 100, "EUR", "1"), ("g", "b", 50, "EUR", "2"), ("g", "c", 9, "USD", "3"))
+    owned = table(spark, "p string, quantity int", ("a", 2), ("a", 1), ("c", 1))
+    assert rows(pricing.set_value(prices, owned, ["g"], "p", "EUR")) == [("g", 300, 50, 3, 1, "2")]
