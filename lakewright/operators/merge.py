@@ -169,8 +169,7 @@ def backfill_single(rows: DataFrame, details: DataFrame, keys: list[str], value:
 def bump_once(counters: DataFrame, runs: DataFrame, counter: str = "catalog_version") -> DataFrame:
     """Counters (name, value, run_id) after finished runs (run_id): one more for each run that wasn't counted before."""
     fresh = runs.select("run_id").distinct().join(counters.where(F.col("name") == counter).select("run_id"), "run_id", "left_anti")
-    last = counters.where(F.col("name") == counter).agg(F.coalesce(F.max("value"), F.lit(0)).alias("_last"))
-    w = Window.orderBy("run_id")
+    last = counters.where(F.col("name") == counter).agg(F.coalesce(F.max("value"), F.lit(0)).alias("last")).first()["last"]
     # A handful of runs finish between two looks.
-    numbered = fresh.withColumn("_nth", F.row_number().over(w)).withColumn("_k", F.lit(1)).join(last.withColumn("_k", F.lit(1)), "_k")
-    return counters.unionByName(numbered.select(F.lit(counter).alias("name"), (F.col("_last") + F.col("_nth")).cast("long").alias("value"), "run_id"))
+    nth = F.row_number().over(Window.orderBy("run_id"))
+    return counters.unionByName(fresh.select(F.lit(counter).alias("name"), (F.lit(last) + nth).cast("long").alias("value"), "run_id"))

@@ -22,13 +22,19 @@ def display_price(prices: DataFrame, keys: list[str], *, currency: str, lang: Co
     return distinct_on(prices, keys, order)
 
 
-def entry_price(entries: DataFrame, prices: DataFrame, keys: list[str], currency: str, entry: str = "entry_id") -> DataFrame:
-    """Entries (finish, lang, condition, finishes) with the factor and price of one copy; null without a price."""
-    wanted = entries.select(entry, *keys, F.col("finish").alias("_finish"), F.col("lang").alias("_lang"), "finishes")
-    best = display_price(wanted.join(prices, keys), [entry], currency=currency, lang=F.col("_lang"), finishes=F.col("finishes"), asked=F.col("_finish"))
-    shown = best.select(entry, F.col("source"), F.col("currency"), F.col("market").alias("market_cents"), "observed_at")
+def entry_price(entries: DataFrame, prices: DataFrame, keys: list[str], currency: str) -> DataFrame:
+    """Entries (finish, lang, condition, finishes) with the factor and price of one copy; null without a price.
+
+    The price is picked once for each print, finish and language that some entry has, however many entries share them.
+    """
+    what = [*keys, "finish", "lang", "finishes"]
+    wanted = entries.select(*what).distinct().withColumnRenamed("finish", "_finish").withColumnRenamed("lang", "_lang")
+    best = display_price(wanted.join(prices, keys), [*keys, "_finish", "_lang", "finishes"], currency=currency, lang=F.col("_lang"), finishes=F.col("finishes"), asked=F.col("_finish"))
+    shown = best.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate([*keys, "_finish", "_lang", "finishes"])), F.col("source"), F.col("currency"), F.col("market").alias("market_cents"), "observed_at")
+    same = [entries[c].eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(what)]
+    priced = entries.join(shown, same, "left").drop(*(f"_k{n}" for n in range(len(what))))
     factor = condition_factor(F.col("condition"))
-    return entries.join(shown, entry, "left").withColumn("factor", F.when(F.col("market_cents").isNotNull(), factor)).withColumn("unit_cents", round_half_up(F.col("market_cents") * F.col("factor")))
+    return priced.withColumn("factor", F.when(F.col("market_cents").isNotNull(), factor)).withColumn("unit_cents", round_half_up(F.col("market_cents") * F.col("factor")))
 
 
 def totals(priced: DataFrame, keys: list[str], source: str = "source", currency: str = "currency") -> DataFrame:
