@@ -18,13 +18,13 @@ def size_problems(cards: DataFrame, zones: DataFrame, keys: list[str]) -> DataFr
     n = F.coalesce("n", F.lit(0))
     code = F.when(F.col("least") == F.col("most"), F.when(n != F.col("least"), "wrong_size")).when(n < F.col("least"), "too_few").when(n > F.col("most"), "too_many")
     # A format has a handful of zones, so every list meets them all.
-    every = lists.withColumn("_z", F.explode(F.lit([r.asDict()["zone"] for r in zones.collect()]))).withColumnRenamed("_z", "zone").join(F.broadcast(zones), "zone")
+    every = lists.withColumn("_z", F.explode(F.lit([r.asDict()["zone"] for r in zones.collect()]))).withColumnRenamed("_z", "zone").join(zones, "zone")
     return every.join(zone_counts(cards, keys), [*keys, "zone"], "left").withColumn("code", code).where("code IS NOT NULL").select(*keys, "zone", "code", n.alias("n"))
 
 
 def zone_problems(cards: DataFrame, zones: DataFrame) -> DataFrame:
     """Cards in a zone that the format hasn't got."""
-    return cards.join(F.broadcast(zones.select("zone")), "zone", "left_anti")
+    return cards.join(zones.select("zone"), "zone", "left_anti")
 
 
 def copy_problems(cards: DataFrame, keys: list[str], limit: Column) -> DataFrame:

@@ -79,14 +79,24 @@ def fuzzy_search(rows: DataFrame, postings: DataFrame, key: str, text: str, type
     return near.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key)
 
 
+def rare_grams(rows: DataFrame, key: str, grams: Column, frequency: DataFrame, least: float) -> DataFrame:
+    """key, gram: so many of each row's rarest grams that two rows as similar as `least` share one of them."""
+    ranked = rows.select(key, F.explode(grams).alias("gram")).join(frequency, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_g"))
+    n = F.size("_g")
+    few = F.slice("_g", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int"))
+    return ranked.select(key, F.explode(F.transform(few, lambda g: g["gram"])).alias("gram"))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float = TRIGRAM_LEAST) -> DataFrame:
-    """left_key, right_key, similarity: an equi-join on shared trigrams, then the exact similarity; never a cross join."""
-    a = left.select(left_key, trigrams(F.col(left_text)).alias("_a"))
-    b = right.select(right_key, trigrams(F.col(right_text)).alias("_b"))
-    na, nb = a.withColumn("gram", F.explode("_a")).withColumn("_na", F.size("_a")), b.withColumn("gram", F.explode("_b")).withColumn("_nb", F.size("_b"))
-    shared = na.select(left_key, "gram", "_na").join(nb.select(right_key, "gram", "_nb"), "gram").groupBy(left_key, right_key, "_na", "_nb").agg(F.count("*").alias("n"))
-    s = (F.col("n") / (F.col("_na") + F.col("_nb") - F.col("n"))).cast("float")
-    return shared.select(left_key, right_key, s.alias("similarity")).where(F.col("similarity") >= least)
+    """left_key, right_key, similarity: rows that share a rare trigram, then the exact similarity.
+
+    Two sets that share `least` of their union share one of their rarest grams, so frequent grams are not joined on.
+    """
+    a, b = left.select(left_key, trigrams(F.col(left_text)).alias("_a")), right.select(right_key, trigrams(F.col(right_text)).alias("_b"))
+    frequency = a.select(F.explode("_a").alias("gram")).unionAll(b.select(F.explode("_b").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    near = rare_grams(a, left_key, F.col("_a"), frequency, least).join(rare_grams(b, right_key, F.col("_b"), frequency, least), "gram").select(left_key, right_key).distinct()
+    both = near.join(a, left_key).join(b, right_key)
+    return both.select(left_key, right_key, similarity(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def suggest(tiers: list[DataFrame], entity: list[str], limit: int) -> DataFrame:

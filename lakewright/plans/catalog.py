@@ -223,7 +223,7 @@ def condition_estimates(displayed: DataFrame, factors: DataFrame) -> DataFrame:
     graded = displayed.withColumn("condition", F.explode(F.array(*(F.lit(x) for x in CONDITIONS))))
     own = factors.select("game_id", "condition", c("factor").cast("double").alias("_own"))
     has = factors.select("game_id").distinct().withColumn("_has", F.lit(True))
-    out = graded.join(F.broadcast(own), ["game_id", "condition"], "left").join(F.broadcast(has), "game_id", "left").where(c("_has").isNull() | c("_own").isNotNull())
+    out = graded.join(own, ["game_id", "condition"], "left").join(has, "game_id", "left").where(c("_has").isNull() | c("_own").isNotNull())
     factor = condition_factor(c("condition"), c("_own"))
     return out.select("print_id", "condition", factor.alias("factor"), round_half_up(c("cents") * factor).alias("cents"))
 

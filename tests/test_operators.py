@@ -185,3 +185,17 @@ def test_set_value_leaves_other_currencies(spark):
     prices = table(spark, "g string, p string, cents long, currency string, observed_at string", ("g", "a", 100, "EUR", "1"), ("g", "b", 50, "EUR", "2"), ("g", "c", 9, "USD", "3"))
     owned = table(spark, "p string, quantity int", ("a", 2), ("a", 1), ("c", 1))
     assert rows(pricing.set_value(prices, owned, ["g"], "p", "EUR")) == [("g", 300, 50, 3, 1, "2")]
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    import random
+
+    from lakewright.operators.search import similar_pairs
+
+    draw = random.Random(1)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 6))) for _ in range(80)]
+    grams = [{f"  {w} "[i : i + 3] for i in range(len(w) + 1)} for w in words]
+    want = sorted((i, j) for i in range(40) for j in range(40, 80) if len(grams[i] & grams[j]) >= 0.3 * len(grams[i] | grams[j]) - 1e-9)
+    df = table(spark, "k long, w string", *enumerate(words))
+    got = similar_pairs(df.where("k < 40"), df.where("k >= 40").withColumnRenamed("k", "l"), "k", "w", "l", "w")
+    assert sorted((r["k"], r["l"]) for r in got.collect()) == want
