@@ -25,7 +25,3 @@ def spark():
 def sf_dir():
     return SF
 
-
-def rows(df, *order):
-    """Rows as tuples, in order."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

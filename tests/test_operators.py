@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from lakewright.functions.text import norm_name
 from lakewright.operators import feed, gallery, lists, matching, merge, pick, pricing
 

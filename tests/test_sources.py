@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from lakewright.sources import feeds, files
 
 

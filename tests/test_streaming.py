@@ -1,6 +1,6 @@
 """Streams that come in several files and stop and go on."""
 
-from conftest import rows
+from helpers import rows
 from lakewright.streaming import feeds
 
 
