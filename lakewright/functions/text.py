@@ -98,14 +98,28 @@ def url_component(x: Column) -> Column:
     return F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
 
 
+def char_of(code: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
+def decoded_numbers(x: Column) -> Column:
+    """Numeric character references as characters."""
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+    code = lambda e: F.when(F.lower(e).startswith("x"), F.conv(F.substr(e, F.lit(2)), 16, 10)).otherwise(e)
+    return F.aggregate(found, x, lambda acc, e: F.replace(acc, F.concat(F.lit("&#"), e, F.lit(";")), char_of(code(e))))
+
+
 def plain_wikitext(x: Column) -> Column:
-    """Wikitext without breaks, links, quotes and tags; the common entities decoded."""
+    """Wikitext without breaks, links, quotes and tags; character references decoded once."""
     for pattern, to in (
-        (r"(?i)<br\s*/?>", "\n"), (r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1"), ("'{2,}", ""), (r"<[^>]+>", ""),
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#0?39;", "'"), ("&amp;", "&"),
+        (r"(?i)<br\s*/?>", "\n"), (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"), ("'{2,}", ""), (r"(?i)</?[a-z][^>]*>", ""),
     ):
         x = F.regexp_replace(x, pattern, to)
-    return F.trim(x)
+    x = decoded_numbers(x)
+    for pattern, to in (("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&apos;", "'"), ("(?i)&amp;", "&")):
+        x = F.regexp_replace(x, pattern, to)
+    return F.trim(F.regexp_replace(x, r"[ \t]+\n", "\n"))
 
 
 def parse_cents(x: Column) -> Column:

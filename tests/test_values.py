@@ -62,6 +62,7 @@ def test_is_foil(spark, game, rarity, finish, foil):
 
 def test_plain_wikitext(spark):
     assert of(spark, text.plain_wikitext(F.col("x")), x="''A''<br />[[Page|the label]] [[Other]] <i>x</i> &amp; &#39;y&#39; ") == "A\nthe label Other x & 'y'"
+    assert of(spark, text.plain_wikitext(F.col("x")), x="&#8222;a&#x201C; &#128512; 1 < 2 [[a|b|c]]  \n&amp;#39; &APOS;") == "„a“ 😀 1 < 2 b|c\n&#39; '"
 
 
 def test_csv_field_quotes_only_where_needed(spark):
