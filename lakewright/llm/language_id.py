@@ -5,8 +5,9 @@ and cut into chunks; each chunk is encoded with every language's first dictionar
 bytes in all wins. The relative gap to the runner-up is the margin. Where it is narrow, the other dictionaries are
 asked too and the bytes are added up; where it stays narrow, the prediction is marked as rejected.
 
-The dictionaries are bounded (MAX_LANGUAGES x DICTS x DICT_BYTES) and come from a sample of at most about MAX_SAMPLE texts
-a language, chosen by the hash of their ids, no longer than MAX_SAMPLE_CHARS each. Scoring is one pass over whole
+The dictionaries are bounded (MAX_LANGUAGES x DICTS x DICT_BYTES) and come from a sample of about MAX_SAMPLE texts a
+language, chosen by the hash of their ids, no longer than MAX_SAMPLE_CHARS each; no more of it than the dictionaries
+hold goes to the driver. Scoring is one pass over whole
 texts without a shuffle.
 
 Cases: a null text, or one without a letter, is "und" with score 0 and rejected; a tie goes to the language whose
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import table
@@ -50,7 +51,12 @@ def samples(docs: DataFrame, *, max_sample: int = MAX_SAMPLE, max_languages: int
     spark = docs.sparkSession
     shares = spark.createDataFrame([(r["lang"], min(1_000_000, -(-max_sample * 1_000_000 // r["count"]))) for r in counts], "lang string, share long")
     at = F.xxhash64("doc_id")
-    rows = known.where(F.length("text").between(1, MAX_SAMPLE_CHARS)).join(F.broadcast(shares), "lang").where(F.pmod(at, F.lit(1_000_000)) < F.col("share")).select("lang", at.alias("h"), "text").limit(3 * max_sample * max_languages).collect()
+    drawn = known.where(F.length("text").between(1, MAX_SAMPLE_CHARS)).join(F.broadcast(shares), "lang").where(F.pmod(at, F.lit(1_000_000)) < F.col("share"))
+    # Rows of one id count once, so a repeated row can't swell the sample; then each language's first texts, as many as its dictionaries hold.
+    one = drawn.groupBy("lang", at.alias("h")).agg(F.min("text").alias("text"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    # Twice as many characters, as not all are letters.
+    rows = one.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * DICTS * DICT_BYTES).select("lang", "h", "text").collect()
     texts: dict[str, bytes] = {r["lang"]: b"" for r in counts}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         if len(texts[r["lang"]]) < DICTS * DICT_BYTES:

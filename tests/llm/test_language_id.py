@@ -47,3 +47,9 @@ def test_cases(spark, docs_of):
 def test_too_many_languages_keep_the_frequent(docs_of, langs):
     docs = docs_of(*["some text of this language"] * 60).withColumn("lang", F.when(F.col("doc_id") < 40, "a").when(F.col("doc_id") < 55, "b").otherwise("c"))
     assert set(op.samples(docs, max_languages=langs)) == set("ab"[:langs])
+
+
+def test_repeated_rows_do_not_swell_the_sample(docs_of):
+    pairs = [(k, f"text number {k} of many") for k in range(30)]
+    once, often = docs_of(*pairs), docs_of(*pairs, *[(1, "text number 1 of many")] * 500)
+    assert 0 < len(op.samples(often)["xx"]) <= len(op.samples(once)["xx"])
