@@ -6,7 +6,7 @@ chosen by the hash of their ids; their sparse features are counted on the execut
 product with the broadcast weights (2**BITS floats), one pass without a shuffle.
 
 Cases: a null or empty text scores by the bias alone; labelled rows with a null label, or without a text, teach
-nothing; several labels of one text all count; with no labelled row every score is 0.5; repeated rows are scored
+nothing; different labels of one text all count, and of several texts with one id the least one teaches; with no labelled row every score is 0.5; repeated rows are scored
 each on its own; an empty table gives an empty result; other columns are not read.
 """
 
@@ -87,9 +87,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     total = known.count()
     share = min(1.0, max_train / max(1, total))
-    chosen = known.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_train)
+    chosen = known.distinct().withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_train)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= MAX_TRAIN_CHARS)
-    rows = texts.join(F.broadcast(chosen), "id").select("h", "label", "text").mapInPandas(sparse, "h long, label int, at binary, x binary").collect()
+    # Of several rows with one id the least text teaches, so repeated rows can't swell the sample.
+    one = texts.join(F.broadcast(chosen), "id").groupBy("h", "label").agg(F.min("text").alias("text"))
+    rows = one.mapInPandas(sparse, "h long, label int, at binary, x binary").collect()
     rows.sort(key=lambda r: (r["h"], r["label"], r["at"]))
     return train([(r["label"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in rows])
 
