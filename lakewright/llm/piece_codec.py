@@ -24,9 +24,13 @@ from __future__ import annotations
 import importlib
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +39,8 @@ from .base import table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHED = 500_000
+#: Parts whose paths a worker keeps, twice at most.
+CACHED = 400_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -44,6 +49,20 @@ def model_path(name: str = MODEL) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+class Paths(dict):
+    """Paths of parts that were seen. When full, what is still in use moves over from the older half."""
+
+    def __init__(self, find: Callable[[str], tuple[int, ...]], older: dict | None = None):
+        super().__init__()
+        self.find, self.older = find, older or {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.older.get(part) or self.find(part)
+        if len(part) < 64:
+            self[part] = ids
+        return ids
+
+
 class PieceMachine:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -63,8 +82,12 @@ class PieceMachine:
         self.silent = {i for i, p in enumerate(model.pieces) if p.type in (CONTROL, UNUSED)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: What pieces begin with: where a text leaves this set, no longer piece fits.
+        self.heads = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids
+        self.pairs: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.known = 0
+        self.spines: dict[tuple[int, int], list[tuple[str, float, float]]] = {}
+        self.cache = Paths(self.path)
         self.parts = re.compile(self._part_pattern())
 
     def _part_pattern(self) -> str:
@@ -83,18 +106,9 @@ class PieceMachine:
         if not text:
             return []
         line = (MARK if self.dummy else "") + text.replace(" ", MARK)
-        parts = self.parts.findall(line)
-        cache, out = self.cache, []
-        if len(cache) > CACHED:
-            cache.clear()
-        for part in parts:
-            ids = cache.get(part)
-            if ids is None:
-                ids = self.path(part)
-                if len(part) < 64:
-                    cache[part] = ids
-            out += ids
-        return out
+        if len(self.cache) > CACHED:
+            self.cache = Paths(self.path, dict(self.cache))
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.parts.findall(line))))
 
     def path(self, part: str) -> tuple[int, ...]:
         if self.bpe:
@@ -111,24 +125,23 @@ class PieceMachine:
 
     def merged_path(self, part: str) -> tuple[int, ...]:
         """The only path of finite weight. last[e] is the piece before position e, as each prefix has one path too."""
-        n, ids = len(part), self.ids
-        whole = ids.get(part)
-        if whole is not None and self.merged(part) == [part]:
-            return (whole,)
+        n, heads = len(part), self.heads.get
         last: list[int | None] = [None] * (n + 1)
         begin = [0] * (n + 1)
-        for e in range(1, n + 1):
-            for s in range(max(0, e - self.longest), e):
-                piece = ids.get(part[s:e])
+        last[0] = -1
+        for s in range(n):
+            before = last[s]
+            arcs = self.pairs[before]
+            for e in range(s + 1, n + 1):
+                piece = heads(part[s:e])
                 if piece is None:
-                    if s != e - 1:
-                        continue
-                    piece = -1  # byte fallback: no merge reaches across it
-                if s and last[s] is None:
-                    continue
-                if (s == 0 and self.stands(piece)) or (s and (piece == -1 or last[s] == -1 and self.stands(piece) or last[s] != -1 and self.follows(last[s], piece))):
-                    last[e], begin[e] = piece, s
                     break
+                if piece >= 0 and last[e] is None:
+                    fits = arcs.get(piece)
+                    if fits or (fits is None and self.follows(before, piece)):
+                        last[e], begin[e] = piece, s
+            if last[s + 1] is None:
+                last[s + 1], begin[s + 1] = -1, s  # byte fallback: no merge reaches across it
         out: list[tuple[int, ...]] = []
         e = n
         while e:
@@ -138,26 +151,78 @@ class PieceMachine:
 
     def stands(self, piece: int) -> bool:
         """Whether merging a piece's characters ends in the piece itself."""
-        if piece == -1:
-            return True
-        key = (piece, -1)
-        if key not in self.pairs:
-            self._room()
-            self.pairs[key] = self.merged(self.pieces[piece]) == [self.pieces[piece]]
-        return self.pairs[key]
+        return self.merged(self.pieces[piece]) == [self.pieces[piece]]
 
     def follows(self, a: int, b: int) -> bool:
-        """The pair machine's arc from piece a to piece b."""
-        key = (a, b)
-        if key not in self.pairs:
-            self._room()
-            x, y = self.pieces[a], self.pieces[b]
-            self.pairs[key] = self.merged(x + y) == [x, y]
-        return self.pairs[key]
-
-    def _room(self) -> None:
-        if len(self.pairs) > 1_000_000:
+        """The pair machine's arc from piece a (-1: the beginning, or byte fallback) to piece b."""
+        if self.known > 1_000_000:
             self.pairs.clear()
+            self.known = 0
+        self.known += 1
+        self.pairs[a][b] = fits = self.stands(b) if a == -1 else self._apart(a, b)
+        return fits
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge goes across the border of two pieces.
+
+        The last part of a and the first part of b change as merges go on, each from its making to the merge that
+        uses it up. A merge of both happens if it is better than those. That holds if merges get worse on the way,
+        as in all trained pieces; for others, the merges are made.
+        """
+        ends, begins = self.spine(a, -1), self.spine(b, 0)
+        ids, score = self.ids, self.score
+        if ends and begins:
+            for x, made, used in ends:
+                for y, made_y, used_y in begins:
+                    k = ids.get(x + y)
+                    if k is not None:
+                        if score[k] > min(made, made_y):
+                            break
+                        if score[k] > used and score[k] >= used_y:
+                            return False
+                else:
+                    continue
+                break
+            else:
+                return True
+        x, y = self.pieces[a], self.pieces[b]
+        return self.merged(x + y) == [x, y]
+
+    def spine(self, piece: int, side: int) -> list[tuple[str, float, float]]:
+        """The parts at one end (0 or -1) of a piece, from the whole to the character: (text, score when made, score when used up).
+
+        Empty if the piece doesn't stand, or if a merge on the way is better than one before it.
+        """
+        key = (piece, side)
+        if key in self.spines:
+            return self.spines[key]
+        out: list[tuple[str, float, float]] = []
+        node, used = self.merge_tree(self.pieces[piece]), -math.inf
+        regular = node is not None
+        while regular:
+            text, parts = node
+            made = self.score[self.ids[text]] if parts else math.inf
+            out.append((text, made, used))
+            if not parts:
+                break
+            regular = made > used and all(not below or self.score[self.ids[t]] >= made for t, below in parts)
+            node, used = parts[side], made
+        self.spines[key] = out if regular else []
+        return self.spines[key]
+
+    def merge_tree(self, text: str) -> tuple | None:
+        """(text, its two parts) of a string that merges into one piece; a character has no parts."""
+        nodes: list[tuple] = [(c, ()) for c in text]
+        while len(nodes) > 1:
+            best, at = -math.inf, -1
+            for i in range(len(nodes) - 1):
+                k = self.ids.get(nodes[i][0] + nodes[i + 1][0])
+                if k is not None and self.score[k] > best:
+                    best, at = self.score[k], i
+            if at < 0:
+                return None
+            nodes[at : at + 2] = [(nodes[at][0] + nodes[at + 1][0], (nodes[at], nodes[at + 1]))]
+        return nodes[0]
 
     def merged(self, text: str) -> list[str]:
         """Merges of a short string: always the best-scored neighbouring pair, the leftmost of equals."""
@@ -247,18 +312,30 @@ def machine(name: str) -> PieceMachine:
     return _machines[name]
 
 
+#: Texts whose ids a task holds at a time.
+SLICE = 128
+
+
 def encoder(name: str = MODEL):
-    """An Arrow-batched function from texts to ids."""
+    """A function over Arrow batches of a key and a text: key, number of pieces, ids, whether they decode to the text."""
 
-    @F.pandas_udf("ids array<int>, round_trip boolean")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(name)
-        for texts in batches:
-            ids = [None if t is None else m.encode(t) for t in texts]
-            same = [None if t is None else m.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-            yield pd.DataFrame({"ids": ids, "round_trip": same})
-
-    return encode.asNondeterministic()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column(1).to_pylist()
+                packed, same = [], []
+                for text in texts:
+                    ids = m.encode(text or "")
+                    same.append(None if text is None else m.decode(ids) == text)
+                    packed.append(np.array(ids, np.int32))
+                sizes = np.array([len(x) for x in packed], np.int64)
+                none = np.array([t is None for t in texts])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(packed)), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, mask=none), lists, pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+
+    return encode
 
 
 def decoder(name: str = MODEL):
@@ -273,9 +350,8 @@ def decoder(name: str = MODEL):
 
 def encode_pieces(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip (whether decoding the ids gives the text back)."""
-    out = docs.select("doc_id", encoder(model)(F.col("text")).alias("e"))
-    ids = F.col("e.ids")
-    return out.select("doc_id", F.when(ids.isNotNull(), F.size(ids)).cast("long").alias("n_pieces"), ids.alias("ids"), F.col("e.round_trip").alias("round_trip"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, round_trip boolean"
+    return docs.select("doc_id", "text").mapInArrow(encoder(model), schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

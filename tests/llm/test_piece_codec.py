@@ -54,7 +54,7 @@ class Toy(op.PieceMachine):
         self.score = [0.0, *scores.values()]
         self.ids = {p: k + 1 for k, p in enumerate(scores)}
         self.bytes, self.byte_of, self.unknown, self.silent = {}, {}, 0, {0}
-        self.longest, self.pairs, self.cache = max(map(len, scores)), {}, {}
+        self.longest, self.cache = max(map(len, scores)), op.Paths(self.path)
         self.parts = op.re.compile(self._part_pattern())
 
 
@@ -84,3 +84,21 @@ def test_long_runs_of_marks(machine, library):
     for _ in range(60):
         text = "".join(draw.choice((" " * draw.randint(1, 40), "a", "the", "\n")) for _ in range(6))
         assert machine.encode(text) == library.encode(text)
+
+
+def test_pairs_are_those_that_merges_leave_apart(machine):
+    draw = random.Random(2)
+    ids = sorted(machine.ids.values())
+    short = [k for k in ids if len(machine.pieces[k]) < 4]
+    pairs = [(draw.choice(ids), draw.choice(ids)) for _ in range(4000)] + [(draw.choice(short), draw.choice(short)) for _ in range(8000)]
+    for a, b in pairs:
+        x, y = machine.pieces[a], machine.pieces[b]
+        if machine.stands(a) and machine.stands(b):
+            assert machine._apart(a, b) == (machine.merged(x + y) == [x, y]), (x, y)
+
+
+def test_a_full_cache_changes_nothing(machine, monkeypatch):
+    monkeypatch.setattr(op, "CACHED", 5)
+    texts = [f"some words {k} and {k % 7} others" for k in range(40)]
+    want = [machine.encode(t) for t in texts]
+    assert [machine.encode(t) for t in texts] == want and len(machine.cache) <= 5 + 12
