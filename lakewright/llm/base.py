@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -51,6 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 400):
+    """Fewer rows in an Arrow batch for what runs inside, as rows with texts or sets in them may be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables that cut lineage, written to the shared folder; lost executors don't take them along."""
 
@@ -61,7 +74,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

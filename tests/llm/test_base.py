@@ -68,3 +68,12 @@ def test_no_links(spark):
 def test_long_powers():
     p = base.powers(3, 10).tolist()
     assert p == [3**k for k in range(10)] and (base.powers(base.BASE, 100) * base.powers(base.INVERSE, 100) == np.uint64(1)).all()
+
+
+def test_small_batches_end(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError, match="x"), base.small_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+        raise ValueError("x")
+    assert spark.conf.get(name) == before
