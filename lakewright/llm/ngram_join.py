@@ -32,8 +32,10 @@ from .components import components
 
 PLACES = 64
 PICKS, DEPTH, SMALL, RECALL = 2, 4, 48, 0.9999
-#: Nodes of one block; a task compares two blocks at most.
-SKETCH_BLOCK, SET_BLOCK = 1024, 512
+#: Nodes of one block, and 5-grams of one block of sets; a task compares two blocks at most.
+SKETCH_BLOCK, SET_BLOCK, SET_GRAMS = 1024, 512, 2_000_000
+#: 5-grams that are counted at a time.
+STRIP = 1_000_000
 #: Sketches that agree in so many places are candidates: five standard deviations below the threshold.
 CLOSE = 0.56
 
@@ -57,16 +59,16 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints():
-    """An Arrow-batched function from texts to a node (a hash of the set) and a sketch."""
+    """An Arrow-batched function from texts to a node (a hash of the set), a sketch and the set's size."""
 
-    @F.pandas_udf("node binary, sketch binary")
+    @F.pandas_udf("node binary, sketch binary, grams int")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for text in texts:
                 own = np.unique(shingles(word_hashes(text), SHINGLE))
-                rows.append((xxhash.xxh3_128_digest(own.tobytes()), sketch(own).tobytes()) if len(own) else (None, None))
-            yield pd.DataFrame(rows, columns=["node", "sketch"])
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), sketch(own).tobytes(), len(own)) if len(own) else (None, None, 0))
+            yield pd.DataFrame(rows, columns=["node", "sketch", "grams"]).astype({"grams": np.int32})
 
     return fingerprint.asNondeterministic()
 
@@ -227,7 +229,20 @@ def close_pairs(pdf: pd.DataFrame) -> pd.DataFrame | None:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets share, by products of bounded strips of the incidence matrix."""
+    """How many elements each two sets (sorted) share, counted in ranges of hashes, so that the memory is bounded."""
+    n = len(sets)
+    shared = np.zeros((n, n), np.float32)
+    ranges = max(1, -(-sum(map(len, sets)) // STRIP))
+    top = int(np.iinfo(sets[0].dtype).max) + 1
+    cuts = [np.searchsorted(x, np.array([k * top // ranges for k in range(1, ranges)], x.dtype)) for x in sets]
+    for k in range(ranges):
+        part = [x[c[k - 1] if k else 0 : c[k] if k < ranges - 1 else len(x)] for x, c in zip(sets, cuts, strict=True)]
+        add_overlaps(shared, part)
+    return shared
+
+
+def add_overlaps(shared: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Adds what the sets share, by products of bounded strips of the incidence matrix."""
     n = len(sets)
     rows = np.repeat(np.arange(n), [len(x) for x in sets])
     _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -236,14 +251,12 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     _, at = np.unique(at, return_inverse=True)
     order = np.argsort(at, kind="stable")
     rows, at = rows[order], at[order]
-    shared = np.zeros((n, n), np.float32)
-    width = max(1, 8_000_000 // n)
+    width = max(1, 4_000_000 // n)
     for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
         a, b = np.searchsorted(at, [low, low + width])
         strip = np.zeros((n, min(width, int(at[b - 1]) + 1 - low)), np.float32)
         strip[rows[a:b], at[a:b] - low] = 1
         shared += strip @ strip.T
-    return shared
 
 
 def linker(similarity: float):
@@ -289,8 +302,8 @@ def ngram_join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float
     texts = docs.select("doc_id", "text")
     f = F.col("f")
     has_id = F.col("doc_id").isNotNull()
-    rows = scratch.save(texts.withColumn("f", fingerprints()(F.col("text"))).select("doc_id", F.when(has_id, f["node"]).alias("node"), F.when(has_id, f["sketch"]).alias("sketch")), "rows")
-    nodes = scratch.save(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.max("sketch").alias("sketch")), "nodes")
+    rows = scratch.save(texts.withColumn("f", fingerprints()(F.col("text"))).select("doc_id", F.when(has_id, f["node"]).alias("node"), F.when(has_id, f["sketch"]).alias("sketch"), f["grams"].alias("grams")), "rows")
+    nodes = scratch.save(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.max("sketch").alias("sketch"), F.max("grams").alias("grams")), "nodes")
 
     leaves = leaf_buckets(nodes, runs_for(similarity, recall), scratch)
     compared = blocked(leaves, "bucket", "size", SKETCH_BLOCK).join(nodes.select("node", "sketch"), "node")
@@ -299,12 +312,13 @@ def ngram_join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float
     clusters = components(close, scratch).withColumnRenamed("root", "cluster")
 
     members = clusters.union(clusters.select("cluster", "cluster").distinct())
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    blocks = F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("grams") / SET_GRAMS)).cast("long")
+    sizes = members.join(nodes.select("node", "grams"), "node").groupBy("cluster").agg(blocks.alias("blocks"))
     picked = members.join(sizes, "cluster").join(nodes.select("node", "copies", "id"), "node")
     wanted = texts.join(picked.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = wanted.select("node", "cluster", "size", "copies", "text").mapInPandas(shingle_sets, "node binary, cluster binary, size long, copies long, shingles binary")
+    sets = wanted.select("node", "cluster", "blocks", "copies", "text").mapInPandas(shingle_sets, "node binary, cluster binary, blocks long, copies long, shingles binary")
     keys = ["cluster", "a", "b"]
-    dealt = blocked(sets, "cluster", "size", SET_BLOCK).select(*keys, "mine", "node", "copies", "shingles")
+    dealt = blocked(sets, "cluster", "blocks", 1).select(*keys, "mine", "node", "copies", "shingles")
     linked = dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(by_group(keys, linker(similarity)), "node binary, weight long, root binary")
     linked = scratch.save(linked, "linked")
 

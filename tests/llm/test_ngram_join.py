@@ -62,6 +62,7 @@ def test_large_groups_in_blocks(docs_of, monkeypatch):
     """Copies and near copies by the hundred, compared in small blocks."""
     monkeypatch.setattr(op, "SKETCH_BLOCK", 16)
     monkeypatch.setattr(op, "SET_BLOCK", 8)
+    monkeypatch.setattr(op, "STRIP", 700)
     base = [f"w{k}" for k in range(200)]
     texts = [" ".join(base)] * 30 + [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(70)]
     got = sorted(tuple(r) for r in op.ngram_join(docs_of(*texts)).collect())
