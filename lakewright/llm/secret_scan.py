@@ -32,8 +32,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates: runs of key characters, this long.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Candidates: runs of at least so many key characters, with padding; NAME=value is two runs.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Longer tokens aren't kept in memory.
+CACHED = 512
 #: A test of randomness rejects below this; a candidate counts at this rate of false finds.
 REJECT, RATE = 0.001, 0.001
 #: How often neighbouring characters of ordinary text differ in kind (capital, small letter, digit, other).
@@ -93,8 +95,12 @@ def text_p(n: int, changes: int) -> float:
     """The chance that ordinary text of n characters changes its kind at least that often."""
     if changes <= 0:
         return 1.0
-    logs = [math.lgamma(n) - math.lgamma(k + 1) - math.lgamma(n - k) + k * math.log(TEXT_CHANGES) + (n - 1 - k) * math.log(1 - TEXT_CHANGES) for k in range(changes, n)]
-    top = max(logs)
+    logs, top = [], -math.inf
+    for k in range(changes, n):
+        logs.append(math.lgamma(n) - math.lgamma(k + 1) - math.lgamma(n - k) + k * math.log(TEXT_CHANGES) + (n - 1 - k) * math.log(1 - TEXT_CHANGES))
+        top = max(top, logs[-1])
+        if logs[-1] < top - 60:  # past the peak, and too small for the sum
+            break
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
@@ -128,7 +134,7 @@ def candidates(text: str) -> list[tuple[int, int, float]]:
         kinds = kinds_of(token)
         if (kinds == kinds[0]).all():
             continue
-        _, tests, p = randomness(token)
+        _, tests, p = (randomness if len(token) <= CACHED else randomness.__wrapped__)(token)
         if tests >= REJECT:
             out.append((m.start(), m.end(), -math.log10(max(p, 1e-300))))
     return out
