@@ -46,13 +46,14 @@ PATTERN_RULES = [
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule's expression runs on the host, a slash-free bar, and the path."""
+    """A rule's expression runs on the host, a slash-free bar, and the path, or on the host alone."""
 
     verdict: str
     text: str
     pattern: str
     tokens: tuple[str, ...]
     rank: int
+    host_alone: bool = False
 
 
 def host_rule(verdict: str, text: str) -> Rule:
@@ -67,8 +68,12 @@ def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
     return Rule(verdict, pattern, pattern, tokens, 0)
 
 
+def host_pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
+    return Rule(verdict, pattern, pattern.replace("$", r"\Z"), tokens, 0, True)
+
+
 def production_rules() -> list[Rule]:
-    return [host_rule(*r) for r in HOST_RULES] + [pattern_rule(*r) for r in PATTERN_RULES]
+    return [host_rule(*r) for r in HOST_RULES] + [host_pattern_rule(*r) for r in PATTERN_RULES]
 
 
 def index_rules(rules: list[Rule]) -> dict[str, list[Rule]]:
@@ -96,7 +101,7 @@ class Matcher:
     def best(self, host: str, path: str) -> Rule | None:
         subject = f"{host}|{path}"
         tokens = {*TOKEN.findall(host), *TOKEN.findall(path.translate(LOWER)), ""}
-        fits = [r for t in tokens if t in self.index for r, p in self.index[t] if p.search(subject)]
+        fits = [r for t in tokens if t in self.index for r, p in self.index[t] if p.search(host if r.host_alone else subject)]
         return max(fits, key=precedence, default=None)
 
 

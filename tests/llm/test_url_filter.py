@@ -53,3 +53,11 @@ def test_cases(spark):
 
 def test_sql(spark, sf_dir):
     assert difference(spark, views(sf_dir), op.op3_url_filter, op.OP3_SQL, sf_dir) == ""
+
+
+def test_pattern_rules_read_the_host_alone(spark, tmp_path):
+    urls = ["https://foo.casino/", "https://x.porn", "https://my-bets/x", "https://foo.org/how-ads-work", "https://foo.org/a.casino", "https://ads.foo.org/x", "https://bets?x", "https://a|casino|b/x"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in op.op3_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(urls))] == ["block"] * 3 + ["allow"] * 2 + ["block"] * 2 + ["allow"]
+    assert difference(spark, views(str(tmp_path)), op.op3_url_filter, op.OP3_SQL, str(tmp_path)) == ""
