@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold benchmark passages beyond the limit go."""
+    """Texts that hold benchmark passages beyond the limit go; of the others, the passages."""
     return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

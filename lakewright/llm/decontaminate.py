@@ -240,9 +240,14 @@ def cleaner():
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    hits = free_name(docs, "hits")
-    return match_benchmark(docs, items, found=hits).where(~F.col(hits)["contaminated"]).drop(hits)
+    """The rows of docs that aren't contaminated, with all their columns; hit spans of at least WINDOW words are cut from `text`, and `n_chars`, where it is a column, counted anew."""
+    hits, cut = free_name(docs, "hits"), free_name(docs, "cut")
+    kept = match_benchmark(docs, items, found=hits).where(~F.col(hits)["contaminated"])
+    long = F.exists(F.col(hits)["spans"], lambda s: F.get(s, F.lit(1)) - F.get(s, F.lit(0)) >= WINDOW)
+    out = kept.withColumn(cut, cleaner()(F.when(long, F.col("text")), F.col(hits)["spans"])).withColumn("text", F.coalesce(cut, "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.drop(hits, cut)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,5 +63,16 @@ def test_spans_are_removed():
     assert op.without_spans(text, [[1, 3]], longest=3) == text and op.without_spans(None, []) is None
 
 
+def test_long_spans_of_kept_texts_are_cut(spark, docs_of):
+    item = " ".join(f"i{k}" for k in range(40))
+    rest = " ".join(f"w{k}" for k in range(1000))
+    bench = spark.createDataFrame([(1, item), (2, "short item")], "item_id long, text string")
+    docs = docs_of(f"{rest} {item.upper()}. End", f"{rest} short item", None, item)
+    out = op.uncontaminated(docs, bench)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    assert got == {0: (f"{rest} . End", len(rest) + 6), 1: (f"{rest} short item", len(rest) + 11), 2: (None, None)} and out.columns == docs.columns
+    assert op.uncontaminated(docs.drop("n_chars"), bench).columns == docs.drop("n_chars").columns
+
+
 def test_sql(spark, sf_dir):
     assert difference(spark, views(sf_dir), op.op2_decontamination, op.OP2_SQL, sf_dir) == ""
