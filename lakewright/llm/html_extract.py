@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .base import table
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]{0,20000}"|'[^']{0,20000}'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+UNQUOTED = re.compile("[>\"']")
+#: From a tag's start on, one attribute after the other, or a quoted value without a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 #: Their content is never text.
 RAW = {"script", "style", "title", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "math", "canvas", "audio", "video"}
 #: They don't end a block.
@@ -83,6 +85,20 @@ def zone_of(tag: str, attributes: str, outer: int) -> int:
     return own
 
 
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """The place of the first > outside quotes, or -1; dead: quotes from which on there is none."""
+    opened = []
+    while m := UNQUOTED.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at or m.start() in dead:
+            break
+        opened.append(m.start())
+    dead.update(opened)
+    return -1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
@@ -90,6 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     pieces: list[str] = []
     linked = all_chars = 0
     in_link, tag_now, at, n = False, "", 0, len(page)
+    dead: set[int] = set()
 
     def flush() -> None:
         nonlocal linked, all_chars
@@ -119,6 +136,8 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if m[5] and (end := tag_end(page, m.end(5), dead)) >= 0:  # a quoted value of over 20,000 characters
+            attributes, at = page[m.end(5) : end], end + 1
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)

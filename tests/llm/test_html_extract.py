@@ -28,6 +28,16 @@ def test_link_density_and_zones():
     assert got["Head"].zone == 1 and got["Mine"].zone == -1 and got["x"].zone == -1
 
 
+def test_long_values_and_attribute_names():
+    long = "<b>x</b> > " * 4_000
+    got = op.blocks_of(f'<div data-x="{long}" class="comments"><p>Mine</p></div><div data-y=\'{long}\' id=main><p>Text</p></div>')
+    assert [(b.text, b.zone) for b in got] == [("Mine", -1), ("Text", 1)]
+    named = '<article data-hidden="false" title="Hidden gems" data-class="ad" x-role=search><p>Text</p></article>'
+    assert [(b.text, b.zone) for b in op.blocks_of(named)] == [("Text", 1)]
+    assert [b.zone for b in op.blocks_of("<article hidden><p>a</p></article><article CLASS = 'ad'><p>b</p></article>")] == [-1, -1]
+    assert texts('<p title="x>open</p>') == ["open"]
+
+
 def page(body, around=True):
     top = '<header><a href="/">Site</a></header><nav><ul><li><a href="/a">First</a></li><li><a href="/b">Second</a></li></ul></nav><div class="cookie-notice">We use cookies to make this better for you.</div>'
     end = '<aside class="sidebar"><h3>More</h3><ul><li><a href="/c">Other story here</a></li></ul></aside><form><label>Mail</label><input></form><footer>Copyright of this site, all rights reserved.</footer>'
