@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +46,11 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a machine-local one only in a session of one process that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lakewright-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -53,15 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 400):
-    """Fewer rows in an Arrow batch for what runs inside, as rows with texts or sets in them may be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20):
+    """Bounds an Arrow batch, in rows and in bytes, for what runs inside, as rows with texts or sets in them may be large."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, most in wanted.items():
+        held = int(re.match(r"-?\d+", before[name])[0]) if re.fullmatch(r"-?\d+b?", before[name]) else -1
+        spark.conf.set(name, str(min(most, held) if held > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Scratch:
@@ -108,9 +116,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Which bytes of lower-cased UTF-8 belong to words, as in WORD_PATTERN.
-WORD_BYTE = np.array([b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" for b in range(256)])
+#: Which bytes of UTF-8 belong to words, as in WORD_PATTERN; capital letters have the values of small ones.
+WORD_BYTE = np.array([b >= 128 or (chr(b).isalnum() and b < 128) for b in range(256)])
 BYTE_VALUES = np.random.default_rng(2).integers(1, 2**64, 256, dtype=np.uint64)
+BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
 #: Odd, so that its powers have inverses modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -130,16 +139,35 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word of a text, without making the words: sums of bytes' values times powers."""
-    if not text:
-        return np.empty(0, np.uint64)
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    edges = np.flatnonzero(np.diff(WORD_BYTE[data], prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    out = []
+def text_slices(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow array of texts that hold about `size` bytes each; a longer text is a range of its own."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield begin, end
+        begin = end
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and where each text's words begin and the last one's end.
+
+    No words are made: a hash is the sum of its bytes' values times powers.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[-1] == offsets[0]:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = WORD_BYTE[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | border[1:-1]
+    ends[:-1] &= ~inside[1:] | border[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    out = [np.empty(0, np.uint64)]
     # Long texts in blocks that end between words, so the sums stay small.
     cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK)), len(starts)))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -148,21 +176,40 @@ def word_hashes(text: str | None) -> np.ndarray:
         np.cumsum(BYTE_VALUES[data[low:high]] * powers(BASE, high - low), out=sums[1:])
         at = starts[a:b] - low
         out.append(mix((sums[ends[a:b] - low] - sums[at]) * powers(INVERSE, high - low)[at]))
-    return np.concatenate(out)
+    return np.concatenate(out), np.searchsorted(starts, offsets)
 
 
-def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """A 64-bit hash for each n consecutive words, from the words' hashes; for fewer words, but not none, one for all."""
-    if not len(h):
-        return np.empty(0, np.uint64)
-    n = min(n, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
+def word_hashes(text: str | None) -> np.ndarray:
+    """The hashes of one text's words."""
+    return hashed_words(pa.array([(text or "").encode("utf-8", "surrogatepass")], pa.large_binary()).view(pa.large_string()))[0]
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash for each n consecutive of some hashes, from each place on that has so many."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
     factor = 1
-    for k in range(n):
+    for k in range(n if len(out) else 0):
         out += h[k : len(h) - n + 1 + k] * np.uint64(factor)
         factor = factor * 0xC2B2AE3D27D4EB4F % 2**64
     return mix(out)
 
 
+def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """A 64-bit hash for each n consecutive words, from the words' hashes; for fewer words, but not none, one for all."""
+    return run_hashes(h, min(n, len(h))) if len(h) else np.empty(0, np.uint64)
+
+
+def shingled(h: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many texts' words, and where each text's begin and the last one's end."""
+    size = np.diff(offsets)
+    whole = np.append(run_hashes(h, n), np.zeros(min(len(h), n - 1), np.uint64))
+    fits = np.ones(len(h), bool)
+    for k in range(1, n):
+        fits[offsets[1:][size >= k] - k] = False
+    for a, b in zip(offsets[:-1][(size > 0) & (size < n)], offsets[1:][(size > 0) & (size < n)], strict=True):
+        whole[a], fits[a] = shingles(h[a:b], n)[0], True
+    return whole[fits], np.append(0, np.cumsum(fits))[offsets]
+
+
 def spans_sha256(col):
     return F.sha2(col.cast("binary"), 256)
