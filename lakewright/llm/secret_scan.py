@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Fixed patterns find assignments, access keys and long hexadecimal runs. Beyond them, every run of key characters
-is a candidate. Its encoding is inferred (decimal, hexadecimal, alphanumeric, base64), and three tests ask whether
-it looks drawn evenly from that alphabet: chi-squared uniformity, runs of character kinds, serial correlation. A
-candidate that one of them rejects is no secret. For the rest, an exact binomial test gives the chance that
-ordinary text of that length changes its kind of character as often; Benjamini-Hochberg thresholds over all
-candidates, within classes of length, bound the share of false finds. The counts behind the thresholds are a
-bounded histogram, computed over all texts.
+is a candidate. Its encoding is inferred, and three tests look at it: chi-squared uniformity over the encoding's
+alphabet, runs of character kinds, and serial correlation. Each test gives two chances. One is that an evenly drawn
+string looks so uneven: if it is below REJECT for any test, the candidate is no secret. The other is that ordinary
+text of that encoding and length looks so even. Fisher's method combines these over the battery, and
+Benjamini-Hochberg thresholds over all candidates, rejected ones included, bound the share of false finds, within
+classes of length. The counts behind the thresholds are a bounded histogram, computed over all texts.
+
+Small letters alone, or digits alone, carry little evidence: such a string counts only if it is long.
 
 Cases: a null or empty text has no spans; spans may overlap, as each kind is found on its own; repeated rows are
 scanned each on its own; an empty table gives an empty result; other columns pass through `scan_secrets`.
@@ -40,15 +42,22 @@ CACHED = 512
 REJECT, RATE = 0.001, 0.001
 #: How often neighbouring characters of ordinary text differ in kind (capital, small letter, digit, other).
 TEXT_CHANGES = 0.2
+#: The correlation of neighbouring letters of ordinary text in being a vowel.
+TEXT_VOWELS = -0.35
 #: Classes of length, by their least length, and the steps of the histogram of -log10(p).
 LENGTHS, STEPS = (16, 20, 24, 32, 48, 64, 128), 400
 
+#: Encodings, from the narrowest: their alphabets' sizes, and how likely two and three characters of ordinary text are the same.
 ALPHABETS = [
-    ("decimal", re.compile(r"\d+"), 10),
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16),
-    ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 62),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]+={0,2}"), 64),
+    ("decimal", re.compile(r"\d+"), 10, 0.12, 0.016),
+    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16, 0.09, 0.010),
+    ("one case", re.compile(r"[a-z]+|[A-Z]+"), 26, 0.066, 0.0053),
+    ("one case and digits", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 36, 0.06, 0.0045),
+    ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 62, 0.06, 0.0045),
+    ("base64", re.compile(r"[A-Za-z0-9+/_-]+={0,2}"), 64, 0.06, 0.0045),
 ]
+VOWELS = np.isin(np.arange(128), np.frombuffer(b"aeiouyAEIOUY", np.uint8))
+LETTERS = np.isin(np.arange(128), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
 
 
 def normal_tail(z: float) -> float:
@@ -63,6 +72,14 @@ def chi_squared_p(counts: np.ndarray, n: int, size: int) -> float:
     return normal_tail(z)
 
 
+def text_even_p(counts: np.ndarray, n: int, two: float, three: float) -> float:
+    """The chance that n characters of ordinary text are as evenly spread: few pairs of equal ones (chi-squared counts just these)."""
+    pairs = float((counts * (counts - 1)).sum()) / 2
+    all_pairs = n * (n - 1) / 2
+    sd = math.sqrt(all_pairs * two * (1 - two) + n * (n - 1) * (n - 2) * (three - two * two))
+    return 1 - normal_tail((pairs + 0.5 - all_pairs * two) / sd)
+
+
 def kinds_of(token: str) -> np.ndarray:
     c = np.frombuffer(token.encode("ascii"), np.uint8)
     digit, upper, lower = (c >= 48) & (c <= 57), (c >= 65) & (c <= 90), (c >= 97) & (c <= 122)
@@ -90,6 +107,19 @@ def serial_p(token: str) -> float:
     return 2 * normal_tail(abs(r) * math.sqrt(len(c)))
 
 
+def text_vowels_p(codes: np.ndarray) -> float:
+    """The chance that vowels and consonants of ordinary text alternate as little."""
+    letter = LETTERS[codes[1:]] & LETTERS[codes[:-1]]
+    n = int(letter.sum())
+    if n < 8:
+        return 1.0
+    a, b = VOWELS[codes[:-1]][letter].astype(float), VOWELS[codes[1:]][letter].astype(float)
+    a, b = a - a.mean(), b - b.mean()
+    var = math.sqrt(float((a * a).sum()) * float((b * b).sum()))
+    r = float((a * b).sum()) / var if var else 0.0
+    return normal_tail((r - TEXT_VOWELS) * math.sqrt(n))
+
+
 @lru_cache(4096)
 def text_p(n: int, changes: int) -> float:
     """The chance that ordinary text of n characters changes its kind at least that often."""
@@ -104,19 +134,26 @@ def text_p(n: int, changes: int) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+def fisher(ps: tuple[float, ...]) -> float:
+    """The chance of so small a product of independent chances."""
+    x = -sum(math.log(max(p, 1e-300)) for p in ps)
+    term = total = 1.0
+    for k in range(1, len(ps)):
+        term *= x / k
+        total += term
+    return min(1.0, math.exp(-x) * total)
+
+
 @lru_cache(65536)
 def randomness(token: str) -> tuple[str, float, float]:
-    """The inferred encoding, the battery's smallest p-value, and the p-value under ordinary text."""
+    """The inferred encoding, the battery's least chance under even draws, and its combined chance under ordinary text."""
     body = token.rstrip("=")
-    name, _, size = next(a for a in ALPHABETS if a[1].fullmatch(token))
-    kinds = kinds_of(body)
-    counts = np.bincount(np.frombuffer(body.encode("ascii"), np.uint8), minlength=128)
-    if name == "alphanumeric" and not (kinds == 1).any():
-        size = 36
-    if name == "alphanumeric" and not (kinds == 2).any():
-        size = 36
-    tests = min(chi_squared_p(counts, len(body), size), runs_p(kinds), serial_p(body))
-    return name, tests, text_p(len(body), int((kinds[1:] != kinds[:-1]).sum()))
+    name, _, size, two, three = next(a for a in ALPHABETS if a[1].fullmatch(token))
+    n, kinds, codes = len(body), kinds_of(body), np.frombuffer(body.encode("ascii"), np.uint8)
+    counts = np.bincount(codes, minlength=128)
+    even = min(chi_squared_p(counts, n, size), runs_p(kinds), serial_p(body))
+    text = fisher((text_even_p(counts, n, two, three), text_p(n, int((kinds[1:] != kinds[:-1]).sum())), text_vowels_p(codes)))
+    return name, even, text
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -127,16 +164,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, float]]:
-    """start, end and -log10(p) of the candidates that the battery doesn't reject."""
+    """start, end and -log10(p) of all candidates; of those that the battery rejects, p is 1."""
     out = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
-        kinds = kinds_of(token)
-        if (kinds == kinds[0]).all():
-            continue
-        _, tests, p = (randomness if len(token) <= CACHED else randomness.__wrapped__)(token)
-        if tests >= REJECT:
-            out.append((m.start(), m.end(), -math.log10(max(p, 1e-300))))
+        _, even, p = (randomness if len(token) <= CACHED else randomness.__wrapped__)(token)
+        out.append((m.start(), m.end(), -math.log10(max(p, 1e-300)) if even >= REJECT else 0.0))
     return out
 
 

@@ -67,11 +67,32 @@ def test_the_battery_finds_random_keys_and_leaves_words(docs_of, spark):
     assert sum(k in found for k in range(60)) >= 55 and not [k for k in found if k >= 60]
 
 
-@pytest.mark.parametrize(("token", "encoding"), [("1234567890123456", "decimal"), ("deadbeef00112233", "hex"), ("abcXYZ0123456789", "alphanumeric"), ("ab+/ABCD01234567==", "base64")])
+@pytest.mark.parametrize(("token", "encoding"), [("1234567890123456", "decimal"), ("deadbeef00112233", "hex"), ("ABCDEFGHIJKLMNOP", "one case"), ("abcxyz0123456789", "one case and digits"), ("abcXYZ0123456789", "alphanumeric"), ("ab+/ABCD01234567==", "base64")])
 def test_encoding(token, encoding):
     assert op.randomness(token)[0] == encoding
 
 
+@pytest.mark.parametrize("alphabet", [string.ascii_lowercase, string.ascii_letters + string.digits, "0123456789abcdef", string.digits])
+def test_battery_is_calibrated(alphabet):
+    """Of evenly drawn strings of any alphabet few are rejected; long ones of letters are unlike text."""
+    draw = random.Random(11)
+    drawn = [op.randomness("".join(draw.choice(alphabet) for _ in range(n)))[1:] for n in (20, 40, 300) for _ in range(300)]
+    assert sum(even < op.REJECT for even, _ in drawn) <= 18
+    if alphabet == string.ascii_lowercase:
+        assert sorted(p for _, p in drawn[600:])[285] < 1e-6
+
+
+def test_ordinary_words_are_like_text():
+    draw = random.Random(12)
+    syllables = "the an er in on re at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
+    ps = sorted(op.randomness("".join(draw.choice(syllables) for _ in range(n)))[2] for n in (8, 12, 20) for _ in range(300))
+    assert ps[9] > 1e-4
+
+
+def test_fisher():
+    assert op.fisher((1.0, 1.0, 1.0)) == 1.0 and abs(op.fisher((0.01,)) - 0.01) < 1e-12 and op.fisher((0.01, 0.01, 0.01)) < 1e-3 < op.fisher((0.01, 1.0, 1.0))
+
+
 def test_tests_reject_what_is_not_random():
     assert op.randomness("abababababababababababababababab")[1] < op.REJECT
     assert op.randomness("AAAAAAAAAAAAAAAABBBBBBBBBBBBBBBB1111111122222222")[1] < op.REJECT
