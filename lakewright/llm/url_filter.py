@@ -1,8 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Each rule is filed under the one of its literal tokens that the fewest rules hold. The tokens of a URL fetch the
-rules filed under them, and only those run their regular expressions. The index is bounded (MAX_RULES) and goes
-to every task; the URLs are never shuffled. A longer list is matched in several passes, one index at a time.
+rules filed under them, and only those run their regular expressions, compiled when first fetched. An index is
+bounded (MAX_RULES) and broadcast; the URLs are never shuffled. A longer list is matched in several passes, one
+index each. Rules are on hosts and paths, wildcards over both, or expressions; `parse_rules` reads them from lines.
 
 Cases: a null URL, or one without "://", has an empty host and path, fits no host rule and gets the default;
 repeated rows are judged each on its own; an empty table gives an empty result; other columns are not read;
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -46,7 +47,7 @@ PATTERN_RULES = [
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule's expression runs on the host, a slash-free bar, and the path, or on the host alone."""
+    """A rule's expression runs on the host, a slash-free bar, and the path, on the host alone, or on host and path joined."""
 
     verdict: str
     text: str
@@ -54,6 +55,7 @@ class Rule:
     tokens: tuple[str, ...]
     rank: int
     host_alone: bool = False
+    joined: bool = False
 
 
 def host_rule(verdict: str, text: str) -> Rule:
@@ -64,6 +66,32 @@ def host_rule(verdict: str, text: str) -> Rule:
     return Rule(verdict, text, pattern, tuple(TOKEN.findall(host) + closed), 1)
 
 
+def wildcard_rule(verdict: str, text: str) -> Rule:
+    """A rule on the host and the path together, where * stands for anything; it is anchored at both ends."""
+    pattern = r"\A" + ".*".join(map(re.escape, text.split("*"))) + r"\Z"
+    # A token beside a * may go on in the URL.
+    literal = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", text.translate(LOWER))
+    return Rule(verdict, text, r"(?s)" + pattern, tuple(literal), 0, joined=True)
+
+
+def parse_rules(lines: Iterable[str]) -> list[Rule]:
+    """Lines of a verdict and a rule: a host and path (example.org/a/), a wildcard (*/track/*.gif), or re: and an expression on the host."""
+    rules = []
+    for line in lines:
+        verdict, _, text = line.strip().partition(" ")
+        if not text or verdict.startswith("#"):
+            continue
+        if verdict not in ("allow", "block"):
+            raise ValueError(f"neither allow nor block: {line!r}")
+        if text.startswith("re:"):
+            rules.append(host_pattern_rule(verdict, text[3:]))
+        elif "*" in text:
+            rules.append(wildcard_rule(verdict, text))
+        else:
+            rules.append(host_rule(verdict, text if "/" in text else text + "/"))
+    return rules
+
+
 def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
     return Rule(verdict, pattern, pattern, tokens, 0)
 
@@ -96,12 +124,18 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 class Matcher:
     def __init__(self, rules: list[Rule]):
-        self.index = {t: [(r, re.compile(r.pattern)) for r in rs] for t, rs in index_rules(rules).items()}
+        self.index = index_rules(rules)
+        self.compiled: dict[str, list[tuple[Rule, re.Pattern]]] = {}
+
+    def fetched(self, token: str) -> list[tuple[Rule, re.Pattern]]:
+        if token not in self.compiled:
+            self.compiled[token] = [(r, re.compile(r.pattern)) for r in self.index[token]]
+        return self.compiled[token]
 
     def best(self, host: str, path: str) -> Rule | None:
-        subject = f"{host}|{path}"
         tokens = {*TOKEN.findall(host), *TOKEN.findall(path.translate(LOWER)), ""}
-        fits = [r for t in tokens if t in self.index for r, p in self.index[t] if p.search(host if r.host_alone else subject)]
+        subject = lambda r: host if r.host_alone else host + path if r.joined else f"{host}|{path}"
+        fits = [r for t in tokens if t in self.index for r, p in self.fetched(t) if p.search(subject(r))]
         return max(fits, key=precedence, default=None)
 
 
@@ -109,12 +143,12 @@ def precedence(r: Rule) -> tuple:
     return (r.rank, len(r.text) if r.rank else 0, r.verdict == "block", r.text)
 
 
-def judge(rules: list[Rule]):
+def judge(shared):
     """An Arrow-batched function from URLs to the host, the path and the best rule of this index."""
 
     @F.pandas_udf("host string, path string, rank int, text string, verdict string")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(rules)
+        matcher = Matcher(shared.value)
         for urls in batches:
             rows = []
             for url in urls:
@@ -134,7 +168,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", def
     names = []
     for part in parts:
         names.append(free_name(df, f"judged{len(names)}"))
-        df = df.withColumn(names[-1], judge(part)(F.col("url")))
+        df = df.withColumn(names[-1], judge(pages.sparkSession.sparkContext.broadcast(part))(F.col("url")))
     order = lambda j: F.struct(j["rank"], F.when(j["rank"] == 1, F.length(j["text"])).otherwise(0), j["verdict"] == "block", j["text"], j["verdict"])
     best = F.greatest(*(F.when(F.col(n)["rank"].isNotNull(), order(F.col(n))) for n in names)) if len(names) > 1 else order(F.col(names[0]))
     first = F.col(names[0])

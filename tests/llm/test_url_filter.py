@@ -1,7 +1,7 @@
 """URL rules against all rules one by one."""
 
+import fnmatch
 import random
-import re
 
 import pytest
 from oracle import difference, views
@@ -9,10 +9,25 @@ from oracle import difference, views
 from lakewright.llm import url_filter as op
 
 
+def fits(rule, url):
+    """Whether a rule fits, told from its text alone."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    rest = rest.split("?")[0].split("#")[0]
+    host = "".join(c.lower() if c.isascii() else c for c in rest.split("/")[0])
+    path = rest[len(rest.split("/")[0]) :]
+    if rule.rank:
+        name, slash, start = rule.text.partition("/")
+        return (host == name or host.endswith("." + name)) and path.startswith(slash + start)
+    if rule.joined:
+        return fnmatch.fnmatchcase(host + path, rule.text)
+    return any(x in SHOP for x in host.replace("-", ".").split(".")) if rule.host_alone else path.startswith("/x") and path[-1:].isdigit()
+
+
+SHOP = {"shop"}
+
+
 def brute(rules, url):
-    host, path = op.split_url(url)
-    fits = [r for r in rules if re.search(r.pattern, f"{host}|{path}")]
-    return max(fits, key=op.precedence, default=None)
+    return max((r for r in rules if fits(r, url)), key=op.precedence, default=None)
 
 
 def random_rules(draw, n=80):
@@ -21,7 +36,8 @@ def random_rules(draw, n=80):
         host = ".".join(draw.choice(("a", "bb", "c-c", "shop", "com", "net")) for _ in range(draw.randint(1, 3)))
         path = "/" + draw.choice(("", "x", "x/", "x/y", "en/", "En/1"))
         rules.append(op.host_rule(draw.choice(("allow", "block")), host + path))
-    return rules + [op.pattern_rule("block", r"(^|[.-])shop([.-]|$)", "shop"), op.pattern_rule("block", r"\|/x.*[0-9]$")]
+    lines = ["# comment", "", r"block re:(^|[.-])shop([.-]|$)", "block *.bb/x/*", "allow a.*com/en/1", "block c-c.*", "allow bb.com/x"]
+    return rules + op.parse_rules(lines) + [op.pattern_rule("block", r"\|/x.*[0-9]$")]
 
 
 @pytest.mark.parametrize("max_rules", [1000, 7])
@@ -43,6 +59,17 @@ def test_rarest_token_files_a_rule():
     assert set(index) == {"www", "rare", ""}
 
 
+def test_parse_rules():
+    assert [(r.verdict, r.rank, r.tokens) for r in op.parse_rules(["block example.com", "allow */safe/pre*", "block re:^ads[.]"])] == [("block", 1, ("example", "com")), ("allow", 0, ("safe",)), ("block", 0, ())]
+    with pytest.raises(ValueError, match="neither"):
+        op.parse_rules(["drop x.org"])
+
+
+def test_many_rules_are_compiled_when_fetched():
+    matcher = op.Matcher(op.parse_rules(f"block host{k}.com/p{k}/" for k in range(50_000)))
+    assert matcher.best("www.host77.com", "/p77/x").text == "host77.com/p77/" and sum(map(len, matcher.compiled.values())) == 1
+
+
 def test_cases(spark):
     pages = spark.createDataFrame([], "page_id long, url string, host string, rule string")
     assert op.url_filter(pages, op.production_rules()).count() == 0
