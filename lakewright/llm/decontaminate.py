@@ -2,8 +2,9 @@
 
 The automaton reads the words of all items. Each training text is streamed through it once; the state keeps the
 longest suffix read so far that occurs in an item, so every occurrence of a window (WINDOW consecutive item words,
-or the whole of a shorter item) is found in time linear in the text. The automaton is broadcast, so its size is
-checked: items beyond MAX_WORDS words go into further automata, and the texts pass through one after the other.
+or the whole of a shorter item) is found in time linear in the text; what a window's state says is collected once a
+text. The automaton is broadcast, so its size is checked: items beyond MAX_WORDS words go into further automata. The
+texts pass through one after the other, with what was found written in between, so that one is held at a time.
 
 Cases: a null or empty text has no words, no hits and isn't contaminated; an item without words is no window;
 repeated rows are judged each on its own; items that share a window all count; an empty table of texts gives an
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import LOWER, WORD, free_name, table, words
+from .base import LOWER, WORD, Scratch, free_name, table, words
 
 WINDOW = 13
 #: Words of items in one automaton; below 300 MB in each worker.
@@ -45,21 +46,27 @@ class SuffixAutomaton:
                 last = self._extend(last, k)
             read.append((item, ids))
             self.shortest = min(self.shortest, len(ids))
-        self.items: list[set] = [set() for _ in self.length]
-        whole: list[set] = [set() for _ in self.length]
+        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        #: For each state the one of the last window words of what it stands for, if it is so long.
+        self.ends = [0] * len(self.length)
+        for state in order:
+            above = self.link[state]
+            self.ends[state] = self.ends[above] if self.length[above] >= window else state
+        #: The items whose windows end in a state.
+        self.items: dict[int, set] = {}
+        whole: dict[int, dict[int, set]] = {}
         for item, ids in read:
             state = matched = 0
             for k in ids:
                 state, matched = self.step(state, matched, k)
                 if matched >= window:
-                    self.items[self.suffix(state)].add(item)
+                    self.items.setdefault(self.ends[state], set()).add(item)
             if len(ids) < window:
-                whole[state].add((len(ids), item))
-        # A shorter item ends in its own state and in all states whose suffix links lead there.
+                whole.setdefault(state, {}).setdefault(len(ids), set()).add(item)
+        # A shorter item ends in its own state and in all states whose suffix links lead there: (length, items), by length.
         self.short_ends: list[tuple] = [()] * len(self.length)
-        for state in sorted(range(len(self.length)), key=self.length.__getitem__):
-            above = self.short_ends[self.link[state]] if state else ()
-            self.short_ends[state] = above + tuple(whole[state])
+        for state in order:
+            self.short_ends[state] = self.short_ends[self.link[state]] + tuple(sorted(whole.get(state, {}).items()))
 
     def _extend(self, last: int, k: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -99,12 +106,6 @@ class SuffixAutomaton:
         to = nxt[state].get(k)
         return (0, 0) if to is None else (to, matched + 1)
 
-    def suffix(self, state: int) -> int:
-        """The state of the last window words of what was read."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def scan(self, ws: list[str]) -> tuple[list[tuple[int, int]], set]:
         """The hit spans (start, end), disjoint and in order, and the items of the windows in them."""
         ids = list(map(self.vocabulary.get, ws))
@@ -112,7 +113,8 @@ class SuffixAutomaton:
         found: set = set()
         if len(ids) < self.shortest:
             return spans, found
-        window, link, length, nxt, short = self.window, self.link, self.length, self.next, self.short_ends
+        window, link, length, nxt, short, ends = self.window, self.link, self.length, self.next, self.short_ends, self.ends
+        seen: set[int] = set()
         state = matched = 0
         for i, k in enumerate(ids):
             if k is None:
@@ -129,11 +131,16 @@ class SuffixAutomaton:
             start = i + 1
             if matched >= window:
                 start = i + 1 - matched
-                found |= self.items[self.suffix(state)]
-            for n, item in short[state]:
-                if n <= matched:
-                    start = min(start, i + 1 - n)
-                    found.add(item)
+                if ends[state] not in seen:
+                    seen.add(ends[state])
+                    found |= self.items[ends[state]]
+            for n, items in short[state]:
+                if n > matched:
+                    break
+                start = min(start, i + 1 - n)
+                if id(items) not in seen:
+                    seen.add(id(items))
+                    found |= items
             if start <= i:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
@@ -190,17 +197,25 @@ def union_spans():
 
 def match_benchmark(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", window: int = WINDOW, coverage: int = COVERAGE, max_words: int = MAX_WORDS, found: str = "hits") -> DataFrame:
     """docs with a struct column: n_words, n_hit, n_items, items_sha256, spans (word offsets), items, contaminated."""
-    sc = docs.sparkSession.sparkContext
-    parts, df = [], docs
-    for n, automaton in enumerate(automata(items, item_key, window, max_words)):
-        parts.append(f"{found}_{n}")
-        df = df.withColumn(parts[-1], scanner(sc.broadcast(automaton))(F.col("text")))
-    spans, names = F.col(parts[0])["spans"], F.col(parts[0])["items"]
-    if len(parts) > 1:
-        spans = union_spans()(F.flatten(F.array(*(F.col(p)["spans"] for p in parts))))
-        names = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(p)["items"] for p in parts)))))
-    n_words = F.col(parts[0])["n_words"]
-    df = df.withColumn(found, F.struct(n_words.alias("n_words"), spans.alias("spans"), names.alias("items"))).drop(*parts)
+    spark = docs.sparkSession
+    df, scratch, held, last, next_one = docs, None, None, None, free_name(docs, f"{found}_next")
+    for automaton in automata(items, item_key, window, max_words):
+        if held is not None:
+            # Nothing needs the automaton before any more once this is written.
+            scratch = scratch or Scratch(spark, "decontaminate")
+            written = df = scratch.save(df, "found")
+            held.destroy()
+            if last is not None:
+                scratch.drop(last)
+            last = written
+        held = spark.sparkContext.broadcast(automaton)
+        if found not in df.columns:
+            df = df.withColumn(found, scanner(held)(F.col("text")))
+            continue
+        df = df.withColumn(next_one, scanner(held)(F.col("text")))
+        both = lambda name: F.flatten(F.array(F.col(found)[name], F.col(next_one)[name]))
+        n_words, spans, names = F.col(found)["n_words"], union_spans()(both("spans")), F.array_sort(F.array_distinct(both("items")))
+        df = df.withColumn(found, F.struct(n_words.alias("n_words"), spans.alias("spans"), names.alias("items"))).drop(next_one)
     x = F.col(found)
     n_hit = F.aggregate(x["spans"], F.lit(0).cast("long"), lambda acc, s: acc + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
     return df.withColumn(
@@ -230,24 +245,54 @@ def without_spans(text: str | None, spans: list[list[int]], longest: int = WINDO
     return "".join(out) + text[last:]
 
 
-def cleaner():
-    """An Arrow-batched function from a text and its hit spans to the text without the long ones."""
+def cut_spans(automaton: SuffixAutomaton, text: str) -> str:
+    """The text without hit spans of at least a window's words, those that a cut puts together included."""
+    while True:
+        spans, _ = automaton.scan(words(text))
+        if all(b - a < automaton.window for a, b in spans):
+            return text
+        text = without_spans(text, spans, automaton.window)
+
+
+def cleaner(shared):
+    """An Arrow-batched function from a text to the text without long hit spans."""
 
-    def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without_spans(t, [list(s) for s in x]) for t, x in zip(text, spans, strict=True)])
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = shared.value
+        for texts in batches:
+            yield pd.Series([None if t is None else cut_spans(automaton, t) for t in texts], dtype=object)
 
-    return F.pandas_udf(cleaned, "string")
+    return cleaned.asNondeterministic()
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def uncontaminated(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", max_words: int = MAX_WORDS) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns; hit spans of at least WINDOW words are cut from `text`, and `n_chars`, where it is a column, counted anew."""
     hits, cut = free_name(docs, "hits"), free_name(docs, "cut")
-    kept = match_benchmark(docs, items, found=hits).where(~F.col(hits)["contaminated"])
+    matched = match_benchmark(docs, items, item_key=item_key, max_words=max_words, found=hits)
     long = F.exists(F.col(hits)["spans"], lambda s: F.get(s, F.lit(1)) - F.get(s, F.lit(0)) >= WINDOW)
-    out = kept.withColumn(cut, cleaner()(F.when(long, F.col("text")), F.col(hits)["spans"])).withColumn("text", F.coalesce(cut, "text"))
+    out = matched.where(~F.col(hits)["contaminated"]).withColumn(cut, F.when(long, F.col("text"))).drop(hits)
+    scratch = held = left = None
+    more = True
+    while more:
+        passes = 0
+        for automaton in automata(items, item_key, WINDOW, max_words):
+            if held is not None:
+                scratch = scratch or Scratch(docs.sparkSession, "cut-spans")
+                out = scratch.save(out, "cut")
+                held.destroy()
+            held = docs.sparkSession.sparkContext.broadcast(automaton)
+            out = out.withColumn(cut, cleaner(held)(F.col(cut)))
+            passes += 1
+        # With several automata, what one cuts may put words together that another one knows.
+        more = passes > 1
+        if more:
+            before, left = left, out.agg(F.sum(F.length(cut))).first()[0]
+            more = before != left
+    out = out.withColumn("text", F.coalesce(cut, "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.drop(hits, cut)
+    return out.drop(cut)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from oracle import difference, views
@@ -74,5 +75,24 @@ def test_long_spans_of_kept_texts_are_cut(spark, docs_of):
     assert op.uncontaminated(docs.drop("n_chars"), bench).columns == docs.drop("n_chars").columns
 
 
+def test_no_window_survives(spark, docs_of):
+    """Neither one that a cut puts together, nor one that a cut for another automaton leaves."""
+    a, b, c = ([f"{x}{k}" for k in range(20)] for x in "abc")
+    rest = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(rest[:1000] + x + rest[1000:]) for x in (a, a[:9] + b + a[9:], b + c, a[:12], a[3:16])]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((a, b, c))], "item_id long, text string")
+    windows = {tuple(x[k : k + 13]) for x in (a, b, c) for k in range(8)}
+    for max_words in (10**6, 20):
+        out = {r["doc_id"]: words(r["text"]) for r in op.uncontaminated(docs_of(*texts), bench, max_words=max_words).collect()}
+        assert len(out) == 5 and out[3] == words(texts[3]) and not [w for ws in out.values() for k in range(len(ws)) if (w := tuple(ws[k : k + 13])) in windows]
+
+
+def test_long_repetitive_items_and_texts_take_linear_time():
+    began = time.time()
+    automaton = op.SuffixAutomaton([(k, ["a"] * 100_000) for k in range(2)] + [(9, ["a"] * 5)])
+    assert automaton.scan(["a"] * 100_000 + ["b"]) == ([(0, 100_000)], {0, 1, 9})
+    assert time.time() - began < 8
+
+
 def test_sql(spark, sf_dir):
     assert difference(spark, views(sf_dir), op.op2_decontamination, op.OP2_SQL, sf_dir) == ""
