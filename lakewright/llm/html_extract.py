@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,12 +24,15 @@ from pyspark.sql import functions as F
 
 from .base import table
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]{0,20000}"|'[^']{0,20000}'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
-UNQUOTED = re.compile("[>\"']")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag, or opens a quoted value.
+STOP = re.compile(r">|=\s*([\"'])")
 #: From a tag's start on, one attribute after the other, or a quoted value without a name.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
-#: Their content is never text.
-RAW = {"script", "style", "title", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "math", "canvas", "audio", "video"}
+#: Their content is never text nor markup; where they aren't closed it goes on to the end of the page.
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+#: Their content is never text; where they aren't closed they have none.
+SILENT = {"noscript", "template", "svg", "select", "object", "math", "canvas", "audio", "video"}
 #: They don't end a block.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 #: Elements that mark a zone by themselves.
@@ -85,28 +89,71 @@ def zone_of(tag: str, attributes: str, outer: int) -> int:
     return own
 
 
-def tag_end(page: str, at: int, dead: set[int]) -> int:
-    """The place of the first > outside quotes, or -1; dead: quotes from which on there is none."""
-    opened = []
-    while m := UNQUOTED.search(page, at):
-        if m[0] == ">":
-            return m.start()
-        at = page.find(m[0], m.end()) + 1
-        if not at or m.start() in dead:
-            break
-        opened.append(m.start())
-    dead.update(opened)
-    return -1
+class Tags:
+    """The markup of a page, read once from left to right, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        #: Quotes that no longer occur, and whether values are read as unquoted, as one once went on to the end.
+        self.gone: set[str] = set()
+        self.plain = False
+        #: Elements that a closing tag is missing for.
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag; the rest of the page has one."""
+        begin = at
+        while not self.plain and (m := STOP.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if m[1] not in self.gone:
+                close = self.page.find(m[1], at)
+                if close < 0:
+                    self.gone.add(m[1])
+                else:
+                    at = close + 1
+        self.plain = True
+        return self.page.find(">", begin)
+
+    def comment_end(self, at: int) -> int:
+        """Where a comment that begins at `at` is over; an unclosed one goes on to the end."""
+        for short in ("<!-->", "<!--->"):
+            if self.page.startswith(short, at):
+                return at + len(short)
+        close = self.page.find("-->", at + 4)
+        return close + 3 if close >= 0 else len(self.page)
+
+    def content_end(self, tag: str, at: int) -> int:
+        """Where an element's content and its closing tag are over. Of SILENT ones, nested ones count, and at itself means that it isn't closed."""
+        if tag in self.unclosed:
+            return at if tag in SILENT else len(self.page)
+        depth, now = 1, at
+        for m in re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE).finditer(self.page, at):
+            if not m[1]:
+                if tag in RAW:
+                    continue
+                if tag in ("audio", "video", "canvas", "select", "noscript"):  # they don't nest, so the one before isn't closed
+                    return at
+                depth += 1
+                continue
+            depth -= 1
+            if not depth or tag in RAW:
+                now = self.page.find(">", m.end())
+                return now + 1 if now >= 0 else len(self.page)
+        self.unclosed.add(tag)
+        return at if tag in SILENT else len(self.page)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
     stack: list[tuple[str, int]] = []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     linked = all_chars = 0
     in_link, tag_now, at, n = False, "", 0, len(page)
-    dead: set[int] = set()
+    tags = Tags(page)
 
     def flush() -> None:
         nonlocal linked, all_chars
@@ -125,23 +172,30 @@ def blocks_of(page: str) -> list[Block]:
             all_chars += size
             linked += size * in_link
 
-    while at < n:
-        m = MARKUP.search(page, at)
-        if not m:
-            add(page[at:])
+    text_from, last_end = 0, page.rfind(">")
+    while True:
+        less = page.find("<", at)
+        if less < 0:
             break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        closing = page.startswith("/", less + 1)
+        name = NAME.match(page, less + 1 + closing)
+        if not name:
+            comment = page.startswith("<!--", less)
+            if page[less + 1 : less + 2] not in ("!", "?", "/") or (less > last_end and not comment):
+                at = less + 1  # an ordinary character
+                continue
+            add(page[text_from:less])
+            at = text_from = tags.comment_end(less) if comment else page.find(">", less) + 1
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if m[5] and (end := tag_end(page, m.end(5), dead)) >= 0:  # a quoted value of over 20,000 characters
-            attributes, at = page[m.end(5) : end], end + 1
-        if tag in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
+        if less > last_end:  # no tag ends any more
+            break
+        end = tags.end(name.end())
+        add(page[text_from:less])
+        tag, attributes = name[0].lower(), page[name.end() : end]
+        at = text_from = end + 1
+        if tag in RAW or tag in SILENT:
+            if not closing and not (tag in ("svg", "math") and attributes.endswith("/")):
+                at = text_from = tags.content_end(tag, at)
             pieces.append(" ")
             continue
         if tag in INLINE:
@@ -156,13 +210,15 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in CONTAINERS:
             continue
         if not closing:
-            if not attributes.endswith("/"):
-                stack.append((tag, zone_of(tag, attributes, stack[-1][1] if stack else 0)))
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            stack.append((tag, zone_of(tag, attributes, stack[-1][1] if stack else 0)))
+            open_tags[tag] += 1
+        elif open_tags[tag]:
+            while stack:
+                last = stack.pop()[0]
+                open_tags[last] -= 1
+                if last == tag:
                     break
+    add(page[text_from:n])
     flush()
     return found
 

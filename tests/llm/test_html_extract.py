@@ -1,5 +1,7 @@
 """Blocks, zones, the tree, and main text of pages made here."""
 
+import time
+
 import pytest
 
 from lakewright.llm import html_extract as op
@@ -38,6 +40,22 @@ def test_long_values_and_attribute_names():
     assert texts('<p title="x>open</p>') == ["open"]
 
 
+def test_unclosed_and_self_closing_elements():
+    assert texts("<article><p>one</p><video src=a.mp4><p>two</p><object data=x><p>three</p></article>") == ["one", "two", "three"]
+    assert texts("<p>a</p><video><p>no</p></video><p>b</p><object><object>x</object>y</object><p>c</p><svg/><p>d</p>") == ["a", "b", "c", "d"]
+    assert texts('<p>a</p><script src="x.js"/>var code = 1;</script><p>b</p><script>var c = 2;') == ["a", "b"]
+    got = op.blocks_of('<article><div class="ad"/>Buy</div><p>Text</p></article>')
+    assert [(b.text, b.zone) for b in got] == [("Buy", -1), ("Text", 1)]
+    assert texts("<p>a</p><!--><p>b</p><!-- c --><?x y?><p>d</p></><!-- open <p>e</p>") == ["a", "b", "d"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href=\"", "<a href='>", "</div>", "<div></span>", "<div>", "<video>", "<object>", "<!", "<!-", "<p a=\">\"", "<p = ", "<", "&", "<script", "<svg><x>", "</p", "<b c=\"'\" d='"])
+def test_hostile_markup_takes_linear_time(part):
+    began = time.time()
+    op.blocks_of("<p>text</p>" + part * (1_000_000 // len(part)))
+    assert time.time() - began < 8
+
+
 def page(body, around=True):
     top = '<header><a href="/">Site</a></header><nav><ul><li><a href="/a">First</a></li><li><a href="/b">Second</a></li></ul></nav><div class="cookie-notice">We use cookies to make this better for you.</div>'
     end = '<aside class="sidebar"><h3>More</h3><ul><li><a href="/c">Other story here</a></li></ul></aside><form><label>Mail</label><input></form><footer>Copyright of this site, all rights reserved.</footer>'
