@@ -25,6 +25,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     ordered = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = scratch.save(ordered, "links")
+    print_now = _print(now)
     for _ in range(ROUNDS):
         # Large star: every larger neighbour of u links to the least of u's neighbourhood.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,11 +38,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         new = scratch.save(small, "links")
-        same = _print(new) == _print(now)
+        print_before, print_now = print_now, _print(new)
         for done in (now, least, large, low):
             scratch.drop(done)
         now = new
-        if same:
+        if print_now == print_before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"links still change after {ROUNDS} rounds")
 

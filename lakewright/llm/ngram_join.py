@@ -23,11 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SHINGLE, SIMILARITY, Scratch, free_name, mix, shingles, table, word_hashes
+from .base import SIMILARITY, Scratch, free_name, hashed_words, mix, shingled, table, text_slices
 from .components import components
 
 PLACES = 64
@@ -49,28 +50,34 @@ def runs_for(similarity: float, recall: float, picks: int = PICKS, depth: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - once))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The upper halves of PLACES min-hashes."""
-    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096, None] * MULTIPLIERS + OFFSETS
-        np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+def sketches(own: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The upper halves of PLACES min-hashes of each text's 5-grams, of texts that have some; one row a text."""
+    out = np.empty((len(begins), PLACES), np.uint32)
+    for k in range(PLACES if len(begins) else 0):
+        out[:, k] = np.minimum.reduceat(own * MULTIPLIERS[k] + OFFSETS[k], begins) >> np.uint64(32)
+    return out
 
 
-def fingerprints():
-    """An Arrow-batched function from texts to a node (a hash of the set), a sketch and the set's size."""
+def digest(own: np.ndarray) -> tuple[bytes, bytes]:
+    """A set's 128-bit hash and its sorted elements."""
+    packed = np.unique(own).tobytes()
+    return xxhash.xxh3_128_digest(packed), packed
 
-    @F.pandas_udf("node binary, sketch binary, grams int")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                own = np.unique(shingles(word_hashes(text), SHINGLE))
-                rows.append((xxhash.xxh3_128_digest(own.tobytes()), sketch(own).tobytes(), len(own)) if len(own) else (None, None, 0))
-            yield pd.DataFrame(rows, columns=["node", "sketch", "grams"]).astype({"grams": np.int32})
 
-    return fingerprint.asNondeterministic()
+def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text and a row's number in; doc_id, the number, the hash of the set of 5-grams, a sketch of it and its size out."""
+    for batch in batches:
+        for a, b in text_slices(batch.column(1)):
+            own, ends = shingled(*hashed_words(batch.column(1).slice(a, b - a)))
+            some = np.flatnonzero(np.diff(ends))
+            sets = [digest(own[ends[i] : ends[i + 1]]) for i in some.tolist()]
+            sketch = sketches(own, ends[some])
+            filled = [None] * (b - a)
+            node, packed, grams = list(filled), list(filled), np.zeros(b - a, np.int32)
+            for k, i in enumerate(some.tolist()):
+                node[i], packed[i], grams[i] = sets[k][0], sketch[k].tobytes(), len(sets[k][1]) // 8
+            columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node, pa.binary()), pa.array(packed, pa.binary()), pa.array(grams)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "sketch", "grams"])
 
 
 def children(parents: np.ndarray, sketches: np.ndarray) -> np.ndarray:
@@ -98,7 +105,7 @@ def first_buckets(runs: int):
             for run in range(runs):
                 below = children(np.full(len(pdf), mix(np.array([run + 1], np.uint64))[0]), s)
                 for k in range(PICKS):
-                    yield pd.DataFrame({"bucket": below[:, k].astype(np.int64), "node": pdf["node"], "above": np.int64(0)})
+                    yield pd.DataFrame({"bucket": below[:, k].astype(np.int64), "n": pdf["n"], "above": np.int64(0)})
 
     return expand
 
@@ -109,13 +116,13 @@ def next_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         below = children(pdf["bucket"].to_numpy().astype(np.uint64), unpack(pdf["sketch"]))
         for k in range(PICKS):
-            yield pd.DataFrame({"bucket": below[:, k].astype(np.int64), "node": pdf["node"], "above": pdf["size"]})
+            yield pd.DataFrame({"bucket": below[:, k].astype(np.int64), "n": pdf["n"], "above": pdf["size"]})
 
 
 def leaf_buckets(nodes: DataFrame, runs: int, scratch: Scratch, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """bucket, node, size: the buckets that aren't split further and hold two nodes or more."""
-    at_most_two = "bucket long, node binary, above long"
-    entries = nodes.select("node", "sketch").mapInPandas(first_buckets(runs), at_most_two)
+    """bucket, n, size: the buckets that aren't split further and hold two nodes or more."""
+    at_most_two = "bucket long, n long, above long"
+    entries = nodes.select("n", "sketch").mapInPandas(first_buckets(runs), at_most_two)
     leaves = None
     for level in range(1, depth + 1):
         # The same node may reach a bucket along one path only, but a row that is computed again must not count twice.
@@ -125,19 +132,19 @@ def leaf_buckets(nodes: DataFrame, runs: int, scratch: Scratch, depth: int = DEP
         scratch.drop(now)
         stuck = (F.col("above") > 0) & (F.col("size") > 0.7 * F.col("above"))
         done = (F.col("size") <= small) | stuck | F.lit(level == depth)
-        part = sized.where(done).select("bucket", "node", "size")
+        part = sized.where(done).select("bucket", "n", "size")
         leaves = part if leaves is None else leaves.unionByName(part)
         rest = sized.where(~done)
         if level == depth or rest.isEmpty():
             break
-        entries = rest.select("bucket", "node", "size").join(nodes.select("node", "sketch"), "node").mapInPandas(next_buckets, at_most_two)
+        entries = rest.select("bucket", "n", "size").join(nodes.select("n", "sketch"), "n").mapInPandas(next_buckets, at_most_two)
     return leaves
 
 
 def blocked(df: DataFrame, group: str, size: str, block: int) -> DataFrame:
     """Each row once for every pair of blocks its group's block is in: columns a, b (the pair) and mine."""
     n = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("long")
-    own = F.pmod(F.xxhash64("node", group), n)
+    own = F.pmod(F.xxhash64("n", group), n)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: F.struct(F.least(x, own).alias("a"), F.greatest(x, own).alias("b")))
     return df.withColumn("mine", own).withColumn("pair", F.explode(pairs)).select("*", F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).drop("pair")
 
@@ -206,7 +213,7 @@ def close_pairs(pdf: pd.DataFrame) -> pd.DataFrame | None:
     if len(pdf) == 2:
         if (s[0] == s[1]).sum() < least or (cross and mine[0] == mine[1]):
             return None
-        return pd.DataFrame({"u": [pdf["node"].iloc[0]], "v": [pdf["node"].iloc[1]]})
+        return pd.DataFrame({"u": [pdf["n"].iloc[0]], "v": [pdf["n"].iloc[1]]})
     found = []
     for i in range(0, len(s), 64):
         same = np.zeros((len(s[i : i + 64]), len(s)), np.uint8)
@@ -224,7 +231,7 @@ def close_pairs(pdf: pd.DataFrame) -> pd.DataFrame | None:
         return None
     r = forest(len(s), np.concatenate(found))
     at = np.flatnonzero(r != np.arange(len(s)))
-    node = pdf["node"].to_numpy()
+    node = pdf["n"].to_numpy()
     return pd.DataFrame({"u": node[r[at]], "v": node[at]})
 
 
@@ -262,12 +269,12 @@ def add_overlaps(shared: np.ndarray, sets: list[np.ndarray]) -> None:
 def linker(similarity: float):
     def link(pdf: pd.DataFrame) -> pd.DataFrame | None:
         """For each node of two blocks: the copies that it links to, and its root in a spanning forest of links."""
-        pdf = pdf.drop_duplicates("node", ignore_index=True)
+        pdf = pdf.drop_duplicates("n", ignore_index=True)
         if len(pdf) < 2:
             return None
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         sizes = np.array([len(x) for x in sets], np.float64)
-        mine, copies, node = pdf["mine"].to_numpy(), pdf["copies"].to_numpy(), pdf["node"].to_numpy()
+        mine, copies, node = pdf["mine"].to_numpy(), pdf["copies"].to_numpy(), pdf["n"].to_numpy()
         if len(sets) == 2:
             shared = np.zeros((2, 2))
             shared[0, 1] = shared[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
@@ -282,61 +289,83 @@ def linker(similarity: float):
             return None
         r = forest(len(sets), np.argwhere(np.triu(linked)))
         has = weight > 0
-        return pd.DataFrame({"node": node[has], "weight": weight[has].astype(np.int64), "root": node[r[has]]})
+        return pd.DataFrame({"n": node[has], "weight": weight[has].astype(np.int64), "root": node[r[has]]})
 
     return link
 
 
-def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole n-gram sets of the rows whose text still has the node's set."""
-    for pdf in batches:
-        packed = [np.unique(shingles(word_hashes(t), SHINGLE)).tobytes() for t in pdf["text"]]
-        fits = [xxhash.xxh3_128_digest(p) == n for p, n in zip(packed, pdf["node"], strict=True)]
-        yield pdf.drop(columns="text").assign(shingles=packed)[fits]
+def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole 5-gram sets of the rows whose text still has the node's set; text and node are the last two columns."""
+    for batch in batches:
+        for a, b in text_slices(batch.column("text")):
+            part = batch.slice(a, b - a)
+            own, ends = shingled(*hashed_words(part.column("text")))
+            sets = [digest(own[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            fits = pa.array([d == n for (d, _), n in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
+            packed = pa.array([x for _, x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], packed], [*part.schema.names[:-2], "shingles"]).filter(fits)
 
 
 def ngram_join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (the least id of its class), n_links (how many other rows are at least that similar)."""
+    return joined_rows(docs, F.lit(0).cast("long"), similarity, recall).select("doc_id", "class_id", "n_links")
+
+
+def joined_rows(docs: DataFrame, row: Column, similarity: float, recall: float) -> DataFrame:
+    """doc_id, row (a column of docs), class_id, n_links, class: a number that rows of a class share, null for rows without an id or a word."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     texts = docs.select("doc_id", "text")
-    f = F.col("f")
-    has_id = F.col("doc_id").isNotNull()
-    rows = scratch.save(texts.withColumn("f", fingerprints()(F.col("text"))).select("doc_id", F.when(has_id, f["node"]).alias("node"), F.when(has_id, f["sketch"]).alias("sketch"), f["grams"].alias("grams")), "rows")
-    nodes = scratch.save(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.max("sketch").alias("sketch"), F.max("grams").alias("grams")), "nodes")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = scratch.save(docs.select("doc_id", "text", row.alias("row")).mapInArrow(fingerprints, f"doc_id {id_type}, row long, node binary, sketch binary, grams int"), "rows")
+    lone = F.col("node").isNull() | F.col("doc_id").isNull()
+    # Everything that equal sets share is part of the key, and nodes are numbered, so that aggregations hash.
+    nodes = rows.where(~lone).groupBy("node", "sketch", "grams").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"))
+    nodes = scratch.save(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
 
     leaves = leaf_buckets(nodes, runs_for(similarity, recall), scratch)
-    compared = blocked(leaves, "bucket", "size", SKETCH_BLOCK).join(nodes.select("node", "sketch"), "node")
+    compared = blocked(leaves, "bucket", "size", SKETCH_BLOCK).join(nodes.select("n", "sketch"), "n")
     keys = ["bucket", "a", "b"]
-    close = compared.select(*keys, "mine", "node", "sketch").repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(by_group(keys, close_pairs), "u binary, v binary")
-    clusters = components(close, scratch).withColumnRenamed("root", "cluster")
+    close = compared.select(*keys, "mine", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys, "n").mapInPandas(by_group(keys, close_pairs), "u long, v long")
+    clusters = components(close, scratch).select(F.col("node").alias("n"), F.col("root").alias("cluster"))
 
     members = clusters.union(clusters.select("cluster", "cluster").distinct())
     blocks = F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("grams") / SET_GRAMS)).cast("long")
-    sizes = members.join(nodes.select("node", "grams"), "node").groupBy("cluster").agg(blocks.alias("blocks"))
-    picked = members.join(sizes, "cluster").join(nodes.select("node", "copies", "id"), "node")
-    wanted = texts.join(picked.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = wanted.select("node", "cluster", "blocks", "copies", "text").mapInPandas(shingle_sets, "node binary, cluster binary, blocks long, copies long, shingles binary")
+    sizes = members.join(nodes.select("n", "grams"), "n").groupBy("cluster").agg(blocks.alias("blocks"))
+    picked = members.join(sizes, "cluster").join(nodes.select("n", "copies", F.col("id").alias("doc_id"), "node"), "n")
+    wanted = texts.join(picked, "doc_id").select("n", "cluster", "blocks", "copies", "text", "node")
+    sets = wanted.mapInArrow(shingle_sets, "n long, cluster long, blocks long, copies long, shingles binary")
     keys = ["cluster", "a", "b"]
-    dealt = blocked(sets, "cluster", "blocks", 1).select(*keys, "mine", "node", "copies", "shingles")
-    linked = dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(by_group(keys, linker(similarity)), "node binary, weight long, root binary")
+    dealt = blocked(sets, "cluster", "blocks", 1).select(*keys, "mine", "n", "copies", "shingles")
+    linked = dealt.repartition(*keys).sortWithinPartitions(*keys, "n").mapInPandas(by_group(keys, linker(similarity)), "n long, weight long, root long")
     linked = scratch.save(linked, "linked")
 
-    roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
-    weights = linked.groupBy("node").agg(F.sum("weight").alias("weight"))
-    known = nodes.select("node", "copies", "id").join(weights, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = known.where("weight IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
-    known = known.join(classes, "root", "left").select("node", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "node").join(known, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    roots = components(linked.select(F.col("n").alias("u"), F.col("root").alias("v")), scratch).withColumnRenamed("node", "n")
+    weights = scratch.save(linked.groupBy("n").agg(F.sum("weight").alias("weight")), "weights")
+    found = weights.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")).join(nodes.select("n", "id"), "n")
+    classes = scratch.save(found.groupBy("root").agg(F.min("id").alias("class_id")), "classes")
+    classes = found.join(classes, "root").select("n", "weight", "class_id", "root")
+    n_links = F.coalesce("weight", F.lit(0)) + F.col("copies") - 1
+    known = nodes.select("n", "node", "copies", "id").join(classes, "n", "left").select("node", F.coalesce("class_id", "id").alias("class_id"), n_links.cast("long").alias("n_links"), F.coalesce("root", "n").alias("class"))
+    # Saved, so that the join reads two plain exchanges, which Spark can split at a text with many copies; texts without words stay out of it.
+    known = scratch.save(known, "known")
+    out = rows.where(~lone).select("doc_id", "row", "node").join(known, "node").select("doc_id", "row", "class_id", "n_links", "class")
+    return out.union(rows.where(lone).select("doc_id", "row", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 
 def one_of_each_class(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of docs, less those whose class has a lower id, and less repeats of a row's id and text."""
-    others = ngram_join(docs, similarity=similarity, recall=recall).where("doc_id != class_id").select("doc_id").distinct()
-    n = free_name(docs, "nth")
-    key = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    kept = docs.where("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").withColumn(n, F.row_number().over(key)).where(F.col(n) == 1).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class of docs, with the least id; rows without an id or a word all stay.
+
+    Each row is judged by its own text, also where several rows have one id.
+    """
+    number = free_name(docs, "row")
+    scratch = Scratch(docs.sparkSession, "one-of-each-class")
+    # Written, as the numbers must be the same whenever they are read.
+    numbered = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = joined_rows(numbered, F.col(number), similarity, recall)
+    first = rows.where(F.col("class").isNotNull() & (F.col("doc_id") == F.col("class_id"))).groupBy("class").agg(F.min("row").alias(number)).select(number)
+    kept = scratch.save(first.union(rows.where(F.col("class").isNull()).select("row")), "kept")
+    return numbered.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,21 @@ def test_one_of_each_class(docs_of):
     assert kept.where("doc_id = 4").count() == 1
 
 
+def test_several_texts_of_one_id(docs_of):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    near = a.replace("a39", "other")
+    kept = op.one_of_each_class(docs_of((1, a), (2, a), (2, b), (3, near), (1, near), (2, "!!"), (2, a)))
+    assert sorted(tuple(r)[:2] for r in kept.select("doc_id", "text").collect()) in ([(1, a), (2, "!!"), (2, b)], [(1, near), (2, "!!"), (2, b)])
+
+
+def test_plan_hashes(spark, sf_dir, monkeypatch):
+    """No aggregation sorts its rows."""
+    plans, save = [], op.Scratch.save
+    monkeypatch.setattr(op.Scratch, "save", lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), save(self, df, name))[1])
+    op.op1_ngram_join(spark, sf_dir)
+    assert len(plans) > 8 and not [p for p in plans if "SortAggregate" in p]
+
+
 def test_runs_reach_the_recall():
     once = (1 - 0.2**op.PICKS) ** op.DEPTH
     assert 1 - (1 - once) ** op.runs_for(0.8, 0.9999) >= 0.9999
