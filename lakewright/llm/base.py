@@ -77,22 +77,35 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
         self.count = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
+        self.paths.append(path)
         with small_batches(self.spark):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
         """Removes the files of a saved table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(folder)
+
+    def only(self, *names: str) -> None:
+        """Removes all saved tables but those of these names, which the result still reads."""
+        for path in [p for p in self.paths if p.rsplit("/", 1)[1].split("-", 1)[1] not in names]:
+            self._delete(path)
+            self.paths.remove(path)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark's cleaner find the exchanges that nothing refers to any more, and remove their files."""
+        self.spark.sparkContext._jvm.System.gc()
 
 
 class WordHashes(dict):

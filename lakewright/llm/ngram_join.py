@@ -349,6 +349,7 @@ def joined_rows(docs: DataFrame, row: Column, similarity: float, recall: float)
     known = nodes.select("n", "node", "copies", "id").join(classes, "n", "left").select("node", F.coalesce("class_id", "id").alias("class_id"), n_links.cast("long").alias("n_links"), F.coalesce("root", "n").alias("class"))
     # Saved, so that the join reads two plain exchanges, which Spark can split at a text with many copies; texts without words stay out of it.
     known = scratch.save(known, "known")
+    scratch.only("rows", "known")
     out = rows.where(~lone).select("doc_id", "row", "node").join(known, "node").select("doc_id", "row", "class_id", "n_links", "class")
     return out.union(rows.where(lone).select("doc_id", "row", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.lit(None).cast("long")))
 

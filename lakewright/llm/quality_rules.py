@@ -49,7 +49,7 @@ def repeated_words(ws: Column) -> Column:
         windows = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
         return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(windows), lambda s: covered(twice(s))))
 
-    return let(ws, count)
+    return count(ws)
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -58,22 +58,30 @@ def duplicate_lines(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules look at."""
+    """doc_id and the counts that the rules look at.
+
+    Runs of characters are dropped from ever shorter texts, and what is left is counted, so few pieces are copied.
+    """
+    dropped = lambda text, pattern: F.regexp_replace(text, pattern, "")
+    size = lambda text: F.length(text).cast("long")
     text = F.coalesce(F.col("text"), F.lit(""))
     ws = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    kept = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
-    return docs.select(
+    words = let(ws, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated")))
+    read = docs.select("doc_id", words.alias("words"), duplicate_lines(text).alias("n_dup_lines"), dropped(text, SPACE + "+").alias("body"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
+    split = read.select("*", dropped(F.col("body"), r"\p{L}+").alias("others"), dropped(F.col("body"), r"[^\p{Lu}]+").alias("upper"))
+    others = F.col("others")
+    return split.select(
         "doc_id",
-        F.size(ws).cast("long").alias("n_words"),
-        kept(SPACE).alias("word_chars"),
-        kept("[^#*$%&|<>]").alias("n_symbols"),
-        duplicate_lines(text).alias("n_dup_lines"),
-        repeated_words(ws).alias("n_repeat_words"),
-        kept(r"[^\p{L}]").alias("letters"),
-        kept(r"[^\p{Lu}]").alias("capitals"),
-        kept("[^.!?]").alias("ends"),
-        kept("[^!]").alias("cries"),
-        kept("[^\n]").alias("breaks"),
+        F.col("words.n").alias("n_words"),
+        size("body").alias("word_chars"),
+        size(dropped(others, "[^#*$%&|<>]+")).alias("n_symbols"),
+        "n_dup_lines",
+        F.col("words.repeated").alias("n_repeat_words"),
+        (size("body") - size(others)).alias("letters"),
+        size("upper").alias("capitals"),
+        size(dropped(others, "[^.!?]+")).alias("ends"),
+        size(dropped(others, "[^!]+")).alias("cries"),
+        "breaks",
     )
 
 
