@@ -3,11 +3,12 @@
 Each language has raw-content dictionaries made of sample texts. A text is reduced to its small letters and spaces
 and cut into chunks; each chunk is encoded with every language's first dictionary, and the language with the fewest
 bytes in all wins. The relative gap to the runner-up is the margin. Where it is narrow, the other dictionaries are
-asked too and the bytes are added up; where it stays narrow, the prediction is marked as rejected.
+asked too and the bytes are added up, a language with few dictionaries answering with its own in turn; where it stays
+narrow, the prediction is marked as rejected.
 
-The dictionaries are bounded (MAX_LANGUAGES x DICTS x DICT_BYTES) and come from a sample of about MAX_SAMPLE texts a
-language, chosen by the hash of their ids, no longer than MAX_SAMPLE_CHARS each; no more of it than the dictionaries
-hold goes to the driver. Scoring is one pass over whole
+Every language is learnt. The dictionaries are bounded (DICTS x DICT_BYTES a language, TOTAL_BYTES for all, in equal
+shares) and come from a sample of about MAX_SAMPLE texts a language, chosen by the hash of their ids, of which the first
+MAX_SAMPLE_CHARS characters teach; no more of it than the dictionaries hold goes to the driver. Scoring is one pass over whole
 texts without a shuffle.
 
 Cases: a null text, or one without a letter, is "und" with score 0 and rejected; a tie goes to the language whose
@@ -31,7 +32,7 @@ from .quality_model import held_out
 DICT_BYTES, DICTS, CHUNK = 65_536, 6, 4096
 #: Matches of four bytes on: words of a language share short pieces.
 PARAMETERS = zstandard.ZstdCompressionParameters.from_level(5, source_size=CHUNK, dict_size=DICT_BYTES, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0)
-MAX_LANGUAGES, MAX_SAMPLE, MAX_SAMPLE_CHARS = 200, 250, 20_000
+MAX_SAMPLE, MAX_SAMPLE_CHARS, TOTAL_BYTES = 250, 20_000, 128 << 20
 #: A margin, as a share of the runner-up's bytes, below which a prediction is rejected.
 NARROW = 0.02
 LETTER = re.compile(r"[^\W\d_]")
@@ -42,26 +43,28 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-def samples(docs: DataFrame, *, max_sample: int = MAX_SAMPLE, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
-    """Sample text of each language; the most frequent languages if there are too many."""
-    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+def samples(docs: DataFrame, *, max_sample: int = MAX_SAMPLE, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
+    """Sample text of each language."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
+    known = known.select("doc_id", "lang", F.substring("text", 1, MAX_SAMPLE_CHARS).alias("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return {}
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(r["lang"], min(1_000_000, -(-max_sample * 1_000_000 // r["count"]))) for r in counts], "lang string, share long")
+    most = min(DICTS * DICT_BYTES, total_bytes // languages)
     at = F.xxhash64("doc_id")
-    drawn = known.where(F.length("text").between(1, MAX_SAMPLE_CHARS)).join(F.broadcast(shares), "lang").where(F.pmod(at, F.lit(1_000_000)) < F.col("share"))
+    drawn = known.join(counts, "lang").where(F.pmod(at, F.lit(1_000_000)) * F.col("n") < max_sample * 1_000_000)
     # Rows of one id count once, so a repeated row can't swell the sample; then each language's first texts, as many as its dictionaries hold.
     one = drawn.groupBy("lang", at.alias("h")).agg(F.min("text").alias("text"))
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     # Twice as many characters, as not all are letters.
-    rows = one.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * DICTS * DICT_BYTES).select("lang", "h", "text").collect()
-    texts: dict[str, bytes] = {r["lang"]: b"" for r in counts}
+    rows = one.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * most).select("lang", "h", "text").collect()
+    texts: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
-        if len(texts[r["lang"]]) < DICTS * DICT_BYTES:
-            texts[r["lang"]] += letters(r["text"]) + b" "
-    return {k: v for k, v in texts.items() if v}
+        held = texts.setdefault(r["lang"], b"")
+        if len(held) < most:
+            texts[r["lang"]] = (held + letters(r["text"]) + b" ")[:most]
+    return {k: v for k, v in texts.items() if v.strip()}
 
 
 class Compressors:
@@ -74,11 +77,11 @@ class Compressors:
                 d.precompute_compress(compression_params=PARAMETERS)
                 own.append(zstandard.ZstdCompressor(dict_data=d, compression_params=PARAMETERS))
             self.by_language.append((lang, own))
-        self.dicts = min((len(own) for _, own in self.by_language), default=0)
+        self.dicts = max((len(own) for _, own in self.by_language), default=0)
 
     def sizes(self, chunks: list[bytes], k: int) -> list[int]:
-        """Bytes by language, with the k-th dictionaries."""
-        return [sum(len(own[k].compress(x)) for x in chunks) for _, own in self.by_language]
+        """Bytes by language, with the k-th dictionaries, counted around where there are fewer."""
+        return [sum(len(own[k % len(own)].compress(x)) for x in chunks) for _, own in self.by_language]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """The language, a score from 0 to 1 that grows with the margin, and whether the margin is narrow."""

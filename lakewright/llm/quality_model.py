@@ -1,8 +1,9 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader.
 
 Features are the words and punctuation marks of a text and their neighbouring pairs (all pairs of equal ones count
-as one feature), hashed into 2**BITS places and divided by their number, so that a text's length doesn't matter. Training takes at most MAX_TRAIN labelled texts,
-chosen by the hash of their ids; their sparse features are counted on the executors. Scoring is a sparse dot
+as one feature), hashed into 2**BITS places and divided by their number, so that a text's length doesn't matter.
+Training takes about MAX_TRAIN labelled texts, never twice as many, chosen by the hash of their ids; their sparse
+features are counted on the executors. Scoring is a sparse dot
 product with the broadcast weights (2**BITS floats), one pass without a shuffle.
 
 Cases: a null or empty text scores by the bias alone; labelled rows with a null label, or without a text, teach
@@ -87,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     total = known.count()
     share = min(1.0, max_train / max(1, total))
-    chosen = known.distinct().withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_train)
+    chosen = known.distinct().withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h", "label").limit(2 * max_train)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= MAX_TRAIN_CHARS)
     # Of several rows with one id the least text teaches, so repeated rows can't swell the sample.
     one = texts.join(F.broadcast(chosen), "id").groupBy("h", "label").agg(F.min("text").alias("text"))

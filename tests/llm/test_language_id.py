@@ -1,12 +1,12 @@
 """Language identification: held-out accuracy, leakage, cases."""
 
-import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lakewright.llm import language_id as op
 from lakewright.llm.quality_model import held_out
 
-BIG = "/root/testdata/sf0.01"
+BIG, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_held_out_accuracy(spark):
@@ -43,10 +43,50 @@ def test_cases(spark, docs_of):
     assert {r["lang_pred"] for r in op.identify_language(docs, op.samples(train.where("lang IS NULL"))).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("langs", [1, 2])
-def test_too_many_languages_keep_the_frequent(docs_of, langs):
-    docs = docs_of(*["some text of this language"] * 60).withColumn("lang", F.when(F.col("doc_id") < 40, "a").when(F.col("doc_id") < 55, "b").otherwise("c"))
-    assert set(op.samples(docs, max_languages=langs)) == set("ab"[:langs])
+def test_every_language_is_learnt(docs_of):
+    docs = docs_of(*[f"some text of language {k % 300 + 1000}" * 3 for k in range(1200)]).withColumn("lang", F.format_string("l%03d", F.col("doc_id") % 300))
+    assert len(op.samples(docs)) == 300 and {len(x) for x in op.samples(docs, total_bytes=300 * 10).values()} == {10}
+
+
+def test_a_scarce_language_takes_no_dictionaries_from_the_others():
+    text = {"a": b"the cat and the dog " * 20_000, "b": b"le chat et le chien " * 20_000, "c": b"x y z"}
+    held = op.Compressors(text)
+    assert held.dicts == op.DICTS and [len(own) for _, own in held.by_language] == [6, 6, 1]
+    assert held.predict("the dog and the cat")[0] == "a" and held.predict("le chien et le chat")[0] == "b"
+
+
+def test_long_texts_teach(docs_of):
+    docs = docs_of(*["une phrase assez longue " * 2000] * 8).withColumn("lang", F.lit("fr"))
+    assert set(op.samples(docs)) == {"fr"}
+
+
+def plain_sizes(texts, text, k):
+    """Compressed bytes by language, one dictionary and chunk after the other."""
+    data, out = op.letters(text), []
+    for lang in sorted(texts):
+        parts = [texts[lang][i : i + op.DICT_BYTES] for i in range(0, len(texts[lang]), op.DICT_BYTES)]
+        made = zstandard.ZstdCompressionDict(parts[k % len(parts)], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out.append(sum(len(zstandard.ZstdCompressor(dict_data=made, compression_params=op.PARAMETERS).compress(data[i : i + op.CHUNK])) for i in range(0, len(data), op.CHUNK)))
+    return out
+
+
+def test_against_plain_compression(spark):
+    """Every text of the small table: the language with the fewest bytes, over as many dictionaries as the margin asks for."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = op.samples(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in op.op6_language_id(spark, SMALL).collect()}
+    dicts = max(-(-len(x) // op.DICT_BYTES) for x in texts.values())
+    for r in docs.select("doc_id", "text").collect()[::5]:
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]] == "und"
+            continue
+        total = plain_sizes(texts, r["text"], 0)
+        for k in range(1, dicts):
+            first, second = sorted(total)[:2]
+            if (second - first) / second >= 2 * op.NARROW:
+                break
+            total = [a + b for a, b in zip(total, plain_sizes(texts, r["text"], k), strict=True)]
+        assert got[r["doc_id"]] == sorted(texts)[total.index(min(total))]
 
 
 def test_repeated_rows_do_not_swell_the_sample(docs_of):

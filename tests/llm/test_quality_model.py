@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakewright.llm import quality_model as op
 
-BIG = "/root/testdata/sf0.01"
+BIG, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_held_out_accuracy(spark):
@@ -50,3 +50,25 @@ def test_cases(spark, docs_of):
     assert op.quality_scores(docs.limit(0), none).count() == 0
     kept = op.accepted(docs, none, keep_at=0.5)
     assert kept.columns == docs.columns and kept.count() == 6 and op.accepted(docs, none).count() == 0
+
+
+def test_against_plain_scores(spark):
+    """Every text of the small table: tokens and pairs looked up one by one."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    weights, bias = op.fit(docs, labels)
+    hashes = op.WordHashes()
+
+    def plain(text):
+        tokens, at = op.TOKEN.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")), []
+        for k, t in enumerate(tokens):
+            at.append(hashes[t] >> (64 - op.BITS))
+            if k:
+                pair = int(op.SAME) if hashes[tokens[k - 1]] == hashes[t] else int(op.mix(np.array([hashes[tokens[k - 1]] * 0x9E3779B97F4A7C15 % 2**64], np.uint64) + np.uint64(hashes[t]))[0])
+                at.append(pair >> (64 - op.BITS))
+        odds = bias + sum(float(weights[a]) for a in at) * op.SCALE / max(1, len(at))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+    got = {r["doc_id"]: r for r in op.op9_quality_classifier(spark, SMALL).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        want = plain(r["text"])
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-4 and (abs(want - 0.7) < 1e-3 or got[r["doc_id"]]["predicted"] == (want >= 0.7))
