@@ -128,3 +128,19 @@ def parse_cents(x: Column) -> Column:
     whole = F.regexp_replace(F.regexp_replace(bare, r"[.,]([0-9]{1,2})$", ""), "[.,]", "")
     part = F.rpad(F.regexp_extract(bare, r"[.,]([0-9]{1,2})$", 1), 2, "0")
     return F.when(bare.rlike("[0-9]"), F.concat(F.when(whole == "", "0").otherwise(whole), part).try_cast("long"))
+
+
+def joined_faces(faces: Column, field: str, separator: str) -> Column:
+    """A field of all faces of a card that have it; null if none has."""
+    held = F.filter(F.transform(F.coalesce(faces, F.array()), lambda f: f[field]), lambda x: x.isNotNull())
+    return F.when(F.size(held) > 0, F.array_join(held, separator))
+
+
+def rules_text(abilities: Column, attacks: Column, effect: Column) -> Column:
+    """A card's abilities (type, name, effect), attacks (name, damage, effect) and effect, one a line; null without any."""
+    after = lambda lead, x: F.coalesce(F.concat(F.lit(lead), F.nullif(x.cast("string"), F.lit(""))), F.lit(""))
+    kind = lambda x: F.coalesce(F.concat(F.nullif(x["type"], F.lit("")), F.lit(" ")), F.lit(""))
+    told = F.transform(F.coalesce(abilities, F.array()), lambda a: F.concat(kind(a), a["name"], after(": ", a["effect"])))
+    fought = F.transform(F.coalesce(attacks, F.array()), lambda a: F.concat(a["name"], after(" ", a["damage"]), after(": ", a["effect"])))
+    lines = F.concat(told, fought, F.when(F.length(effect) > 0, F.array(effect)).otherwise(F.array()))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))

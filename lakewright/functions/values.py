@@ -149,3 +149,19 @@ def printed_limit(text: Column, default: int) -> Column:
     found = F.regexp_extract(F.lower(text), r"deck can have up to (\w+) cards named", 1)
     number = F.create_map(*(F.lit(x) for k, w in enumerate(words) for x in (w, k + 2)))
     return F.when(F.lower(text).contains("a deck can have any number of cards named"), F.lit(None).cast("int")).otherwise(F.coalesce(F.try_element_at(number, found), F.lit(default)))
+
+
+def offset_time(text: Column) -> Column:
+    """A time stamp from a text with an offset without a colon (2024-01-31T20:05:00+0000); null if it isn't one."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssxx"))
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id in the form of a UUID that depends on its parts alone, so a run that is repeated gives the same one."""
+    h = F.md5(F.to_json(F.array(*(p.cast("string") for p in parts))))
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def records(text: Column, schema: str) -> Column:
+    """The objects of a JSON array, as an array of structs for `inline`."""
+    return F.from_json(text, f"array<struct<{schema}>>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,27 @@ def resolve(stored: DataFrame, pushed: DataFrame, key: str, same: Column) -> Dat
     return joined.select(key, "action", when.alias("updated_at"))
 
 
+def push(stored: DataFrame, pushed: DataFrame, owner: str, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The next snapshot after a push, and what became of each pushed row: owner, key, action, updated_at.
+
+    stored: owner, key, fields, updated_at, deleted_at, seq; deleted rows stay as log entries without fields. pushed: the
+    same without seq, and base_updated_at. Rows that change anything get the owner's next sequence numbers, in order of
+    their keys, so that other devices pull them.
+    """
+    c = F.col
+    same = reduce(lambda a, b: a & b, (c(f"s.{f}").eqNullSafe(c(f"p.{f}")) for f in fields)) & c("s.deleted_at").isNull() & c("p.deleted_at").isNull()
+    at = lambda df: df.withColumn("_key", F.struct(owner, key))
+    done = resolve(at(stored), at(pushed), "_key", same)
+    acted = at(pushed).drop("updated_at").join(done, "_key").drop("_key")
+    last = stored.groupBy(owner).agg(F.max("seq").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy(owner).orderBy(key))
+    changed = acted.where(c("action").isin("insert", "apply")).join(last, owner, "left").withColumn("seq", (F.coalesce("_last", F.lit(0)) + nth).cast("long"))
+    gone = c("deleted_at").isNotNull()
+    rows = changed.select(owner, key, *(F.when(~gone, c(f)).alias(f) for f in fields), "updated_at", F.when(gone, c("updated_at")).alias("deleted_at"), "seq")
+    kept = stored.join(rows.select(owner, key), [owner, key], "left_anti")
+    return kept.select(*rows.columns).unionByName(rows), acted.select(owner, key, "action", "updated_at")
+
+
 def latest(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """The newest row of each key; combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

@@ -232,7 +232,10 @@ def wikitext_plain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", plain_wikitext(wiki).alias("plain"))
 
 
-@query()
+@query("""
+WITH days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day),
+hashed AS (SELECT list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda x: ord(x)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS h FROM customer)
+SELECT CAST(day AS VARCHAR) AS day, count(*) AS n FROM hashed, days WHERE h % 30 = (day - DATE '1970-01-01') % 30 GROUP BY 1""")
 def fnv_rotation(spark: SparkSession, d: str) -> DataFrame:
     """How many customers' turns come on each of 30 days; tested against a brute-force hash."""
     day = F.explode(F.sequence(F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-30")))).alias("day")
