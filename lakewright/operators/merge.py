@@ -131,10 +131,11 @@ def apply_delta(old: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(change.where("op = 'upsert'").select(*old.columns))
 
 
-def reordered(df: DataFrame, key: str, ids: list, column: str = "position") -> DataFrame:
-    """Positions from 0 by a given order of keys; others keep theirs."""
-    at = F.array_position(F.lit(ids), F.col(key))
-    return df.withColumn(column, F.when(at > 0, at - 1).otherwise(F.col(column)))
+def reordered(df: DataFrame, key: str, ids: list | DataFrame, column: str = "position") -> DataFrame:
+    """Positions from 0 by a given order of keys; others keep theirs. ids: a list from a caller, or rows (key, position)."""
+    order = ids if isinstance(ids, DataFrame) else df.sparkSession.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), [key, column])
+    order = order.select(key, F.col(column).alias("_at"))
+    return df.join(order, key, "left").withColumn(column, F.coalesce(F.col("_at"), F.col(column))).select(*df.columns)
 
 
 def next_position(df: DataFrame, keys: list[str], column: str = "position") -> DataFrame:
@@ -166,10 +167,13 @@ def backfill_single(rows: DataFrame, details: DataFrame, keys: list[str], value:
     return rows.join(one, keys, "left")
 
 
-def bump_once(counters: DataFrame, runs: DataFrame, counter: str = "catalog_version") -> DataFrame:
-    """Counters (name, value, run_id) after finished runs (run_id): one more for each run that wasn't counted before."""
+def bump_once(counters: DataFrame, runs: DataFrame, counter: str = "catalog_version", most: int = 10_000) -> DataFrame:
+    """Counters (name, value, run_id) after finished runs (run_id): one more for each run that wasn't counted before.
+
+    More than `most` such runs are counted page by page, by further calls.
+    """
     fresh = runs.select("run_id").distinct().join(counters.where(F.col("name") == counter).select("run_id"), "run_id", "left_anti")
     last = counters.where(F.col("name") == counter).agg(F.coalesce(F.max("value"), F.lit(0)).alias("last")).first()["last"]
-    # A handful of runs finish between two looks.
+    # The page is cut before the window, so that its one partition is bounded.
     nth = F.row_number().over(Window.orderBy("run_id"))
-    return counters.unionByName(fresh.select(F.lit(counter).alias("name"), (F.lit(last) + nth).cast("long").alias("value"), "run_id"))
+    return counters.unionByName(fresh.orderBy("run_id").limit(most).select(F.lit(counter).alias("name"), (F.lit(last) + nth).cast("long").alias("value"), "run_id"))

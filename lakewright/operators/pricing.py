@@ -25,14 +25,18 @@ def display_price(prices: DataFrame, keys: list[str], *, currency: str, lang: Co
 def entry_price(entries: DataFrame, prices: DataFrame, keys: list[str], currency: str) -> DataFrame:
     """Entries (finish, lang, condition, finishes) with the factor and price of one copy; null without a price.
 
-    The price is picked once for each print, finish and language that some entry has, however many entries share them.
+    A print has few prices (one for each finish, language and source), so they go to each entry as an array, in one
+    join, and the entry picks its own.
     """
-    what = [*keys, "finish", "lang", "finishes"]
-    wanted = entries.select(*what).distinct().withColumnRenamed("finish", "_finish").withColumnRenamed("lang", "_lang")
-    best = display_price(wanted.join(prices, keys), [*keys, "_finish", "_lang", "finishes"], currency=currency, lang=F.col("_lang"), finishes=F.col("finishes"), asked=F.col("_finish"))
-    shown = best.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate([*keys, "_finish", "_lang", "finishes"])), F.col("source"), F.col("currency"), F.col("market").alias("market_cents"), "observed_at")
-    same = [entries[c].eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(what)]
-    priced = entries.join(shown, same, "left").drop(*(f"_k{n}" for n in range(len(what))))
+    row = F.struct("finish", "lang", "source", "currency", "market", "observed_at")
+    held = prices.groupBy(*keys).agg(F.collect_list(row).alias("_prices"))
+
+    def ranked(p: Column) -> Column:
+        order = [finish_rank(p["finish"], F.col("finishes"), F.col("finish")), p["finish"], language_rank(p["lang"], F.col("lang")), preference(p["source"], SOURCE_ORDER[currency]), p["lang"]]
+        return F.struct(*(x.alias(f"k{n}") for n, x in enumerate(order)), p["source"].alias("source"), p["currency"].alias("currency"), p["market"].alias("market_cents"), p["observed_at"].alias("observed_at"))
+
+    best = F.array_min(F.transform("_prices", ranked))
+    priced = entries.join(held, keys, "left").withColumn("_best", best).select(*entries.columns, *(F.col("_best")[x].alias(x) for x in ("source", "currency", "market_cents", "observed_at")))
     factor = condition_factor(F.col("condition"))
     return priced.withColumn("factor", F.when(F.col("market_cents").isNotNull(), factor)).withColumn("unit_cents", round_half_up(F.col("market_cents") * F.col("factor")))
 
@@ -63,9 +67,9 @@ def thin_history(points: DataFrame, series: list[str], day: str, today, daily_da
 
 def freshness(prints: DataFrame, mapped: DataFrame, prices: DataFrame, key: str, group: list[str], since: Column, time: str = "observed_at") -> DataFrame:
     """By group: prints, mapped, priced and fresh ones, and the fresh share of the priced."""
-    m = mapped.select(key).distinct().withColumn("_mapped", F.lit(1))
-    p = prices.groupBy(key).agg(F.max(time).alias("_last"))
-    one = prints.join(m, key, "left").join(p, key, "left")
+    # Both kinds of rows are combined to one for each key, so a key meets its print once.
+    rows = mapped.select(key, F.lit(1).alias("_mapped"), F.lit(None).cast(prices.schema[time].dataType).alias("_last")).unionAll(prices.select(key, F.lit(None).cast("int"), time))
+    one = prints.join(rows.groupBy(key).agg(F.max("_mapped").alias("_mapped"), F.max("_last").alias("_last")), key, "left")
     fresh = F.count_if(F.col("_last") >= since)
     priced = F.count("_last")
     return one.groupBy(*group).agg(F.count("*").alias("prints"), F.count("_mapped").alias("mapped"), (F.count("*") - F.count("_mapped")).alias("unmapped"), priced.alias("priced"), fresh.alias("fresh"), (priced - fresh).alias("stale"), share(fresh, priced).alias("share"))

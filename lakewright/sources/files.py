@@ -15,12 +15,25 @@ MAX_DELTAS = 30
 
 
 def write_csv(df: DataFrame, path: str, order: list[Column]) -> None:
-    """One CSV file with a header, CRLF line ends and fields quoted only where they must be."""
-    head = df.sparkSession.createDataFrame([(0, ",".join(df.columns))], "part int, line string")
-    ordered = df.sort(*order).select(csv_line(*map(F.col, df.columns)).alias("line"))
-    numbered = ordered.select(F.lit(1).alias("part"), "line", F.monotonically_increasing_id().alias("nth"))
-    whole = head.withColumn("nth", F.lit(0).cast("long")).select("part", "line", "nth").unionByName(numbered)
-    whole.repartitionByRange(1, "part", "nth").sortWithinPartitions("part", "nth").select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    """A CSV export: path/rows holds sorted part files, path/header one line; CRLF line ends, fields quoted only where they must be.
+
+    The rows are sorted over all machines. Who wants one file joins the header and the parts in order of their names
+    (`csv_files`); no task here sees more than its part.
+    """
+    put = lambda lines, name: lines.write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/{name}")
+    put(df.sparkSession.createDataFrame([(",".join(df.columns),)], "line string").coalesce(1), "header")
+    put(df.sort(*order).select(csv_line(*map(F.col, df.columns)).alias("line")), "rows")
+
+
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of an export, in the order in which they make one file."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for folder in ("header", "rows"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        out += sorted(f.getPath().toString() for f in files if f.getPath().getName().startswith("part-"))
+    return out
 
 
 def deck_text(lines: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -7,11 +7,12 @@ that were there at the start are read (trigger availableNow), so they also serve
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.operators.merge import upsert_if_newer
+from lakewright.operators.feed import latest
 
 
 def read_files(spark: SparkSession, path: str, schema, per_batch: int = 100) -> DataFrame:
@@ -43,29 +44,56 @@ def daily_counts(stream: DataFrame, keys: list[str], time: str, late: str = "1 h
 
 
 class LatestTable:
-    """A table of the newest row of each key, kept as numbered versions; a batch that comes again is not counted twice."""
+    """A table of the newest row of each key: a base and the batches since, each a folder of its own.
+
+    A batch writes its own rows only. After COMPACT batches the base is written anew and what it holds is removed but
+    for the base before, which a reader may still have open. A batch that comes again replaces itself.
+    """
+
+    COMPACT = 10
 
     def __init__(self, spark: SparkSession, root: str, schema, keys: list[str], time: str, tie: str):
         self.spark, self.root, self.schema, self.keys, self.time, self.tie = spark, root, schema, keys, time, tie
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self, kind: str) -> list[int]:
+        """The numbers of whole bases (b) or batches (d)."""
+        path, fs = self._fs()
+        if not fs.exists(path(self.root)):
             return []
-        done = lambda x: fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
-        return sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(path) if done(x))
+        names = [x.getPath().getName() for x in fs.listStatus(path(self.root)) if fs.exists(path(x.getPath(), "_SUCCESS"))]
+        return sorted(int(n[1:]) for n in names if n[0] == kind)
+
+    def _parts(self, before: int | None = None) -> tuple[int, list[int]]:
+        """The last base (-1: none) and the batches since."""
+        bases = [n for n in self._numbers("b") if before is None or n < before]
+        base = bases[-1] if bases else -1
+        return base, [n for n in self._numbers("d") if n > base and (before is None or n < before)]
 
     def current(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{known[-1]}") if known else self.spark.createDataFrame([], self.schema)
+        base, batches = self._parts(before)
+        read = lambda name, n: self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}{n}").withColumn("_batch", F.lit(n))
+        parts = [read("b", n) for n in (base,) if n >= 0] + [read("d", n) for n in batches]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        if len(parts) == 1:
+            return parts[0].drop("_batch")
+        # An equally old row of a later batch replaces.
+        return latest(reduce(DataFrame.unionAll, parts), self.keys, self.time, "_batch").drop("_batch").select(*self.schema.fieldNames())
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        """Combines the batch to a row for each key before it meets the table."""
-        rest = [c for c in batch.columns if c not in self.keys]
-        newest = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(self.time, self.tie)).alias("r")).select(*self.keys, "r.*").select(*batch.columns)
-        upsert_if_newer(self.current(number), newest, self.keys, self.time).write.mode("overwrite").parquet(f"{self.root}/v{number}")
+        """Combines the batch to a row for each key and writes it."""
+        newest = latest(batch, self.keys, self.time, self.tie).select(*batch.columns)
+        newest.write.mode("overwrite").parquet(f"{self.root}/d{number}")
+        base, batches = self._parts()
+        if len(batches) >= self.COMPACT:
+            self.current().write.mode("overwrite").parquet(f"{self.root}/b{batches[-1]}")
+            path, fs = self._fs()
+            for kind, n in [("b", n) for n in self._numbers("b") if n < base] + [("d", n) for n in self._numbers("d") if n <= base]:
+                fs.delete(path(f"{self.root}/{kind}{n}"), True)
 
 
 def latest_wins(spark: SparkSession, stream: DataFrame, root: str, keys: list[str], time: str, tie: str) -> DataFrame:

@@ -23,6 +23,19 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert rows(table.current().select("k", "v")) == [(1, "a")]
 
 
+def test_batches_are_compacted(spark, tmp_path):
+    import os
+
+    batch = lambda n: spark.sql(f"SELECT {n % 3}L AS k, TIMESTAMP'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, {n if n != 5 else 0}) AS ts, {n}L AS id, 'v{n}' AS v")
+    table = feeds.LatestTable(spark, str(tmp_path / "t"), batch(0).schema, ["k"], "ts", "id")
+    table.COMPACT = 3
+    for n in range(8):
+        table.merge(batch(n), n)
+    table.merge(batch(1), 1)
+    assert rows(table.current().select("k", "v")) == [(0, "v6"), (1, "v7"), (2, "v2")]
+    assert sorted(os.listdir(tmp_path / "t")) == ["b2", "b5", "d1", "d3", "d4", "d5", "d6", "d7"]
+
+
 def test_once_per_day(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP'2024-01-01 01:00:00'), (1L, TIMESTAMP'2024-01-01 05:00:00'), (1L, TIMESTAMP'2024-01-02 01:00:00') t(k, ts)").write.parquet(source)
