@@ -79,6 +79,26 @@ def fuzzy_search(rows: DataFrame, postings: DataFrame, key: str, text: str, type
     return near.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key)
 
 
+def similar_names(postings: DataFrame, key: str, text: str, typed: str, least: float = TRIGRAM_LEAST) -> DataFrame:
+    """key and similarity of all keys whose text is as similar to a typed one as `least`, looked up in an index.
+
+    postings: gram, key, size (the number of the key's grams), as `sized_postings` makes them. The similarity of two
+    sets follows from their sizes and what they share, so no text is read: an index stored in order of its grams is
+    read only where the typed ones are.
+    """
+    grams = F.size(trigrams(F.lit(typed)))
+    asked = postings.sparkSession.range(1).select(F.explode(trigrams(F.lit(typed))).alias("gram"))
+    shared = postings.join(F.broadcast(asked), "gram").groupBy(key, "size").agg(F.count("*").alias("_n"))
+    alike = (F.col("_n") / (F.col("size") + grams - F.col("_n"))).cast("float")
+    return shared.select(key, alike.alias("similarity")).where(F.col("similarity") >= F.lit(least).cast("float"))
+
+
+def sized_postings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """gram, key, size: each key's grams, once, in order of the grams for an index that is written."""
+    held = rows.select(key, trigrams(F.col(text)).alias("_g")).distinct()
+    return held.select(F.explode("_g").alias("gram"), key, F.size("_g").alias("size"))
+
+
 def rare_grams(rows: DataFrame, key: str, grams: Column, frequency: DataFrame, least: float) -> DataFrame:
     """key, gram: so many of each row's rarest grams that two rows as similar as `least` share one of them."""
     ranked = rows.select(key, F.explode(grams).alias("gram")).join(frequency, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_g"))

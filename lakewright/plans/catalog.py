@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.functions.text import alnum, code_key, numeric_part, similarity, tokens, trigrams
+from lakewright.functions.text import alnum, code_key, numeric_part, tokens
 from lakewright.functions.values import ban_limit, condition_factor, language_rank, preference, round_half_up, without_keys
 from lakewright.operators import lists, pick, pricing, search
 from lakewright.operators.feed import latest
@@ -35,6 +35,19 @@ class Catalog:
     prints: DataFrame
     print_localizations: DataFrame
     prices: DataFrame
+    #: The index of names: what `name_postings` gives, written in order of its grams; made anew where it is missing.
+    postings: DataFrame | None = None
+
+
+def name_postings(cards: DataFrame, print_localizations: DataFrame) -> DataFrame:
+    """gram, name, size over all names, for typos."""
+    return search.sized_postings(cards.select("name").unionByName(print_localizations.select("name")).distinct(), "name", "name")
+
+
+def like_names(k: Catalog, typed: str) -> DataFrame:
+    """name and similarity of the names that are like a typed one."""
+    held = k.postings if k.postings is not None else name_postings(k.cards, k.print_localizations)
+    return search.similar_names(held, "name", "name", typed, 0.3)
 
 
 def number_order(prefix: str = "") -> list[Column]:
@@ -149,8 +162,7 @@ def search_hits(k: Catalog, typed: str) -> DataFrame:
     exact = words.unionByName(codes)
     branches = [exact]
     if search.TokenQuery.of(typed).fuzzy and len(typed) >= 4:
-        s = similarity(trigrams(c("name")), trigrams(F.lit(typed))).cast("double")
-        branches.append(texts.withColumn("rank", s).where(c("rank") >= F.lit(0.3)).select("print_id", "rank", "lang"))
+        branches.append(texts.join(like_names(k, typed), "name").select("print_id", c("similarity").cast("double").alias("rank"), "lang"))
     hits = pick.first_nonempty(branches)
     top = hits.where("lang IS NOT NULL").groupBy("print_id").agg(F.max("rank").alias("_top"))
     best = hits.join(top, "print_id", "left")
@@ -204,7 +216,7 @@ def suggest(k: Catalog, typed: str, *, lang: str, limit: int = 10) -> DataFrame:
     prefix = pick.numbered(pick.page(begin, order, limit), order, "ord")
     tiers = [by_code, by_set, shape(newest_print(k, prefix), "print", F.lit(5))]
     if len(typed) >= 4 and prefix.count() < limit:
-        near = names.withColumn("s", similarity(trigrams(c("name")), trigrams(F.lit(typed)))).where(c("s") >= F.lit(0.3).cast("float"))
+        near = names.join(like_names(k, typed).withColumnRenamed("similarity", "s"), "name")
         best = near.groupBy("card_id").agg(F.max("s").alias("_s"), F.min("name").alias("_name"), F.min_by("lang", F.struct(-c("s"), c("lang") != lang, c("lang") != "en", "lang")).alias("lang"))
         order = [c("_s").desc(), c("_name").asc(), c("card_id").asc()]
         tiers.append(shape(newest_print(k, pick.numbered(pick.page(best, order, limit), order, "ord")), "print", F.lit(6)))
