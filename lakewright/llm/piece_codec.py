@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Three machines are compiled from a model file: the normaliser (space to the word mark, a mark before the text), the
-piece machine (a path for each piece) and the byte fallback (a path of byte pieces for each other character). An
-input is composed with them into a lattice of positions and pieces; its shortest path in the tropical semiring is
-the encoding. For unigram models an arc weighs minus the piece's score. For BPE models the weights are 0 and
-infinity: a pair machine lets a piece follow another only if merging the two spelt together ends in just these two.
-A sequence of pieces is the merge result exactly if every neighbouring pair in it is, so one path of finite weight
-is left. Runs of the word mark, whose pieces all tie in score, have their own weight: leftmost merges first.
-
-No piece spans certain boundaries (from other characters to a word mark, and between classes of characters that no
-piece mixes); there, the shortest path splits into independent parts. Parts repeat, so each worker keeps the paths
-of the ones it has seen, in a memory of bounded size.
+Three machines are compiled from a model file: the normaliser (a mark before the text, spaces to marks), the piece
+machine (a path for each piece) and the byte fallback (byte pieces for each other character). `PieceMachine.transducer`
+composes them; the shortest path of an input through the composition, in the tropical semiring, is its encoding. For
+unigram models an arc weighs minus the piece's score. For BPE models the weights are 0 and infinity: the state
+remembers the piece before, and a piece may follow only if merging the two spelt together ends in just these two. A
+sequence of pieces is the merge result exactly if every neighbouring pair in it is, so one path of finite weight is left.
+
+`encode` takes the same shortest path without building the composition: normalised text is cut where no piece goes on
+(before a mark, and between classes of characters that no piece mixes), as there the path falls into independent
+parts; a part's path is found over its positions, and each worker keeps the paths of parts that it has seen, in a
+memory of bounded size. The tests hold it against the composed machines and against the public library. Two things
+leave the machines. Runs of marks, whose pieces all tie in score, take the merges themselves, leftmost first. And
+models whose normaliser rewrites other characters are refused.
 
 Decoding runs the machines backwards: pieces to text, runs of byte pieces to UTF-8, marks to spaces.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import importlib
 import math
+import os
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -35,18 +38,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import table
+from .transducer import Arc, Machine, compose
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts whose paths a worker keeps, twice at most.
 CACHED = 400_000
+#: A model file: a path, or the name of one of the public tokenizer files that come with the machine.
 MODEL = "piece_bpe_32k.model"
 
 
-def model_path(name: str = MODEL) -> str:
-    """Where the public tokenizer files are on this machine."""
-    return importlib.import_module("public_tokenizers").path(name)
+def model_path(model: str = MODEL) -> str:
+    """A path as it is; a name where the machine's module of public tokenizer files has it."""
+    if os.sep in model:
+        return model
+    try:
+        return importlib.import_module("public_tokenizers").path(model)
+    except ImportError as e:
+        raise FileNotFoundError(f"{model}: give the path of a model file, as this machine has no public tokenizer files") from e
 
 
 class Paths(dict):
@@ -110,6 +120,40 @@ class PieceMachine:
             self.cache = Paths(self.path, dict(self.cache))
         return list(chain.from_iterable(map(self.cache.__getitem__, self.parts.findall(line))))
 
+    def normaliser(self) -> Machine:
+        """Writes a mark first, if the model wants it, and a mark for each space."""
+        marked = lambda state: [((MARK,), 0.0, True)] if not state else []
+        return Machine(not self.dummy, lambda state, c: [((MARK if c == " " else c,), 0.0, True)] if state else [], marked, bool)
+
+    def piece_machine(self) -> Machine:
+        """Spells pieces, by their heads, and writes their ids; what is no piece by itself falls back to bytes. A state is a head and the piece before."""
+        worst = 10 - min((self.score[i] for i in self.ids.values()), default=0.0)
+        heads = {p[:k] for p in self.ids for k in range(len(p) + 1)}
+
+        def read(state: tuple[str, int], c: str) -> list[Arc]:
+            head, before = state
+            out: list[Arc] = [((), 0.0, (head + c, before))] if head + c in heads else []
+            if not head and c not in self.ids:
+                out.append((self.fallback(c), 0.0 if self.bpe else worst, ("", -1)))
+            return out
+
+        def silent(state: tuple[str, int]) -> list[Arc]:
+            head, before = state
+            piece = self.ids.get(head) if head else None
+            if piece is None or (self.bpe and not self.may_follow(before, piece)):
+                return []
+            return [((piece,), 0.0 if self.bpe else -self.score[piece], ("", piece if self.bpe else -1))]
+
+        return Machine(("", -1), read, silent, lambda state: not state[0])
+
+    def transducer(self) -> Machine:
+        """The composition of all three."""
+        return compose(self.normaliser(), self.piece_machine())
+
+    def may_follow(self, a: int, b: int) -> bool:
+        held = self.pairs[a].get(b)
+        return self.follows(a, b) if held is None else held
+
     def path(self, part: str) -> tuple[int, ...]:
         if self.bpe:
             run = len(part) - len(part.lstrip(MARK))
@@ -308,7 +352,7 @@ _machines: dict[str, PieceMachine] = {}
 def machine(name: str) -> PieceMachine:
     """The machine of a model, compiled once in each worker."""
     if name not in _machines:
-        _machines[name] = PieceMachine(model_path(name) if "/" not in name else name)
+        _machines[name] = PieceMachine(model_path(name))
     return _machines[name]
 
 

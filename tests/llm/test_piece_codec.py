@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lakewright.llm import piece_codec as op
+from lakewright.llm.transducer import Machine, compose, shortest
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +69,35 @@ def test_unigram_takes_the_shortest_path():
     assert toy.encode("d") == [0]
 
 
+def test_unigram_is_the_composed_machine(machine):
+    draw = random.Random(4)
+    toy = Toy({"a": -3.0, "b": -3.5, "ab": -4.1, "aba": -9.0, "ba": -4.7, "c": -2.2, "▁": -1.0, "▁a": -2.9, "▁ab": -3.3})
+    composed = toy.transducer()
+    for _ in range(300):
+        text = "".join(draw.choice("abc x") for _ in range(draw.randrange(12)))
+        assert list(shortest(composed, text)) == toy.encode(text), text
+
+
+def test_bpe_is_the_composed_machine(machine):
+    """On words of the model's own pieces, and on characters that fall back to bytes."""
+    draw = random.Random(5)
+    composed, pieces = machine.transducer(), [p.strip("▁") for p in machine.ids]
+    texts = ["Hello, world!", "naïve café 日本", "😀 x", "a\nb\tc", "1234567890.50", "unbelievably internationalisation"]
+    texts += [" ".join(w for w in ("".join(draw.choice(pieces) for _ in range(draw.randint(1, 3))) for _ in range(3)) if w) for _ in range(150)]
+    for text in texts:
+        assert list(shortest(composed, text)) == machine.encode(text), text
+
+
+def test_composition_and_shortest_paths():
+    double = Machine(0, lambda s, c: [((c, c), 1.0, 0)])
+    pairs = Machine("", lambda s, c: [((), 0.0, c)] if not s else [((s + c,), 0.5 if s == c else 9.0, "")], final=lambda s: not s)
+    assert shortest(compose(double, pairs), "xy") == ("xx", "yy") and shortest(pairs, "xyz") is None and shortest(pairs, "") == ()
+
+
+def test_a_model_is_named_or_a_path(machine):
+    assert op.model_path("/some/file.model") == "/some/file.model" and op.machine(op.model_path()).ids == machine.ids
+
+
 def test_decode_column_and_cases(spark, docs_of):
     docs = docs_of(None, "", "plain text", "plain text", "ab " * 20_000, "ok")
     out = op.encode_pieces(docs).orderBy("doc_id")
