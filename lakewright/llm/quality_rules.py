@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .base import Scratch, table
 
 SPACE = r"[\x20\x09-\x0D]"
-SYMBOLS = "[#*$%&|<>]"
 GOOD, BAD, ABSTAIN = 1, 0, 2
 ROUNDS = 60
 
@@ -164,3 +163,22 @@ def quality_rules(docs: DataFrame, *, keep_at: float = 0.5) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express: all but the method's verdict."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM doc),
+win AS (SELECT r, i, ws[i:i+2] AS w FROM split, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS i) WHERE len(ws) >= 3),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM win),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM twice WHERE n > 1) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(hit.n, 0) > 50 * len(ws) AS base_failed
+FROM split LEFT JOIN hit USING (r)
+"""

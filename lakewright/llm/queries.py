@@ -8,8 +8,10 @@ from .language_id import op6_language_id
 from .ngram_join import op1_ngram_join
 from .piece_codec import op5_sentencepiece
 from .quality_model import op9_quality_classifier
-from .quality_rules import op7_quality_rules
-from .secret_scan import op10_secret_scan
+from .quality_rules import BASE_SQL as QUALITY_SQL
+from .quality_rules import base_quality_counts, op7_quality_rules
+from .secret_scan import BASE_SQL as SECRET_SQL
+from .secret_scan import base_secret_counts, op10_secret_scan
 from .substring_dedup import op8_substring_dedup
 from .url_filter import OP3_SQL, op3_url_filter
 
@@ -24,6 +26,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
+    # What SQL can express of op7 and op10.
+    "base_quality_counts": base_quality_counts,
+    "base_secret_counts": base_secret_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL, "base_quality_counts": QUALITY_SQL, "base_secret_counts": SECRET_SQL}

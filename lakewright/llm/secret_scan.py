@@ -288,3 +288,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda k: F.size(F.filter(x, lambda s: s["kind"] == k)).cast("long")
     base = F.filter(x, lambda s: s["kind"] < 3)
     return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(x).alias("spans"))
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express: how many base spans of each kind a text has."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+
+BASE_SQL = rf"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM documents
+"""

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from oracle import difference, views
 from pyspark.sql import functions as F
 
 from lakewright.llm import quality_rules as op
@@ -72,3 +73,7 @@ def test_keeps_prose_and_drops_junk(docs_of):
 def test_other_columns_are_not_read(docs_of):
     clash = docs_of("a b c", extra=False).withColumn("n_words", F.lit("mine")).withColumn("votes", F.lit("mine"))
     assert op.quality_rules(clash).first()["n_words"] == 3
+
+
+def test_sql(spark, sf_dir):
+    assert difference(spark, views(sf_dir), op.base_quality_counts, op.BASE_SQL, sf_dir) == ""

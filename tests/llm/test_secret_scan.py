@@ -6,6 +6,7 @@ import re
 import string
 
 import pytest
+from oracle import difference, views
 
 from lakewright.llm import secret_scan as op
 from lakewright.llm.base import Scratch
@@ -126,3 +127,7 @@ def test_redaction(docs_of):
     assert [(r["text"], r["n_chars"]) for r in out.orderBy("doc_id").collect()] == [("my <SECRET> ok", 14), (None, None), ("", 0), ("<SECRET>", 8)]
     assert op.without_secrets(docs.limit(0)).count() == 0
     assert "n_chars" not in op.without_secrets(docs.drop("n_chars")).columns
+
+
+def test_sql(spark, sf_dir):
+    assert difference(spark, views(sf_dir), op.base_secret_counts, op.BASE_SQL, sf_dir) == ""
