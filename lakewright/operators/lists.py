@@ -33,6 +33,15 @@ def copy_problems(cards: DataFrame, keys: list[str], limit: Column) -> DataFrame
     return n.where(F.col("n") > F.col("most"))
 
 
+def deck_problems(cards: DataFrame, zones: DataFrame, keys: list[str], limit: Column) -> DataFrame:
+    """keys, code, zone, name, n: all that is wrong with lists: sizes of zones, cards in zones that the format hasn't got, too many copies."""
+    none = F.lit(None).cast("string")
+    sizes = size_problems(cards, zones, keys).select(*keys, "code", "zone", none.alias("name"), "n")
+    strays = zone_problems(cards, zones).groupBy(*keys, "zone", "name").agg(F.sum("quantity").cast("long").alias("n")).select(*keys, F.lit("wrong_zone").alias("code"), "zone", "name", "n")
+    copies = copy_problems(cards, keys, limit).select(*keys, F.lit("too_many_copies").alias("code"), none.alias("zone"), "name", "n")
+    return sizes.unionByName(strays).unionByName(copies)
+
+
 def missing_cards(needed: DataFrame, owned: DataFrame, keys: list[str]) -> DataFrame:
     """Needed copies beyond the owned ones, by name."""
     need = needed.groupBy(*keys, "name").agg(F.sum("quantity").cast("long").alias("needed"))

@@ -190,6 +190,18 @@ def copy_problems(spark: SparkSession, d: str) -> DataFrame:
     return lists.copy_problems(list_cards(spark, d), ["list_id"], limit)
 
 
+@query(f"""
+WITH {_CARDS}, z(zone, least, most) AS (VALUES ('main', 60, 1000000)), l AS (SELECT DISTINCT list_id FROM cards),
+n AS (SELECT l.list_id, z.zone, z.least, z.most, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS n FROM l CROSS JOIN z LEFT JOIN cards k ON k.list_id = l.list_id AND k.zone = z.zone GROUP BY ALL)
+SELECT list_id, CASE WHEN n < least THEN 'too_few' ELSE 'too_many' END AS code, zone, NULL AS name, n FROM n WHERE n < least OR n > most
+UNION ALL SELECT list_id, 'wrong_zone', zone, name, CAST(sum(quantity) AS BIGINT) FROM cards WHERE zone NOT IN (SELECT zone FROM z) GROUP BY list_id, zone, name
+UNION ALL SELECT list_id, 'too_many_copies', NULL, name, CAST(sum(quantity) AS BIGINT) FROM cards GROUP BY list_id, name HAVING sum(quantity) > 40""")
+def deck_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that a format's rules say against each list."""
+    zones = spark.createDataFrame([("main", 60, 1_000_000)], "zone string, least int, most int")
+    return lists.deck_problems(list_cards(spark, d), zones, ["list_id"], F.lit(40))
+
+
 @query(f"""
 WITH {_CARDS}, b AS (SELECT list_id, least(greatest(CAST(floor(p_size / 8) AS INTEGER), 0), 5) AS bucket, quantity FROM cards WHERE zone = 'main')
 SELECT list_id, bucket, CAST(sum(quantity) AS BIGINT) AS n FROM b GROUP BY 1, 2""")

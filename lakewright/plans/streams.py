@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,12 @@ from .registry import query
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that all machines share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakewright-")
+    """A fresh folder below the one that all machines share; a local one only in a session of one process that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lakewright-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

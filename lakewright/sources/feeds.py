@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions.text import plain_wikitext
@@ -64,6 +64,31 @@ def missing_days(spine: DataFrame, daily: DataFrame, time: str = "observed_at")
     return spine.join(daily.select(F.to_date(time).alias("day")).distinct(), "day", "left_anti")
 
 
+def backfill_days(spine: DataFrame, landed: DataFrame, done: DataFrame, gaps: int = 3) -> DataFrame:
+    """The landed days that a backfill takes, in order: those not done yet, before the first run of so many days without data.
+
+    spine, landed and done have a column `day`; a spine has a day for each row, so its one partition is bounded by the calendar.
+    """
+    has = landed.select("day", F.lit(1).alias("_has")).distinct()
+    w = Window.orderBy("day")
+    marked = spine.join(has, "day", "left").withColumn("_has", F.coalesce("_has", F.lit(0)))
+    empty = F.sum(1 - c("_has")).over(w.rowsBetween(1 - gaps, 0))
+    stopped = marked.withColumn("_gap", (empty >= gaps).cast("int")).withColumn("_stop", F.max("_gap").over(w))
+    return stopped.where("_has = 1 AND _stop = 0").join(done.select("day"), "day", "left_anti").select("day")
+
+
+def landed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of a landing folder of raw JSON lines; a folder that isn't there is one without rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).json(path) if held else spark.createDataFrame([], schema)
+
+
+def keep_raw(bodies: DataFrame, path: str, body: str = "value") -> None:
+    """A compressed copy of answers as they came, one a line, beside what is read from them."""
+    bodies.select(body).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
 def effective_dates(dates: DataFrame, today: str) -> DataFrame:
     """Of each format, the newest date that isn't in the future."""
     return dates.where(c("date") <= F.lit(today).cast("date")).groupBy("format").agg(F.max("date").alias("date"))
