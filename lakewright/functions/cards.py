@@ -45,8 +45,9 @@ def lookup(values: dict, key: Column) -> Column:
 
 
 def _spelt(x: str) -> str:
-    bare = "".join(ch for ch in x.strip().lower() if ch not in "/-_'()").removesuffix(" rare")
-    return bare.removesuffix("s").replace(" ", "")
+    """What rarity_key gives, for the driver's own table."""
+    bare = "".join(ch for ch in x.strip(" ").lower() if ch not in "/-_'()").removesuffix(" rare")
+    return "".join(bare.removesuffix("s").split())
 
 
 def rarity_key(x: Column) -> Column:

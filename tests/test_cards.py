@@ -106,3 +106,9 @@ def test_small_rules(spark):
     assert value(spark, q.stored_code(F.expr("map('set_code', 'X-1')"))) == "X-1" and value(spark, q.stored_code(F.expr("map('set_code_source', 'yugipedia')"))) == "" and value(spark, q.stored_code(F.expr("map('a', 'b')"))) is None
     assert round(value(spark, q.aspect(F.lit("japanese"))), 3) == 0.686 and value(spark, q.image_key(F.lit("g"), F.lit("1"), F.lit("en"), "sm", F.lit("webp"))) == "images/g/1/en/sm.webp"
     assert value(spark, q.lowres_scan(F.lit("mtg"), F.lit(False), F.lit("lowres"))) and value(spark, q.extended_art(F.expr("map('alt', 'EA')")))
+
+
+def test_both_forms_of_the_rarity_key_agree(spark):
+    spellings = [x for r in q.RARITIES for x in r] + list(q.SPELLINGS) + ["  Super Rare ", "ULTRA  RARES", "Collector's Rare", "rare", " rare", "a\tb", "", "S/P-(x)_'s"]
+    rows = spark.createDataFrame([(x,) for x in spellings], "x string").select("x", q.rarity_key(F.col("x")).alias("k")).collect()
+    assert [(r["x"], r["k"]) for r in rows] == [(x, q._spelt(x)) for x in spellings]
