@@ -1,6 +1,7 @@
 """Words, hashes, shingles, components."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -77,3 +78,19 @@ def test_small_batches_end(spark):
         assert spark.conf.get(name) == "7"
         raise ValueError("x")
     assert spark.conf.get(name) == before
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    conf = SimpleNamespace(get=lambda name, default: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        base.shared_dir(session)
+
+
+def test_only_what_is_named_stays(spark):
+    scratch = base.Scratch(spark, "test")
+    a, b = scratch.save(spark.range(3), "a"), scratch.save(spark.range(4), "b")
+    scratch.only("b")
+    assert b.count() == 4 and len(scratch.paths) == 1
+    with pytest.raises(Exception, match="(?i)not exist|PATH_NOT_FOUND|FAILED_READ_FILE"):
+        a.collect()
