@@ -189,7 +189,7 @@ def lobpcg(product: Callable[[np.ndarray], np.ndarray], dims: int, count: int, *
         step = u.copy()
         step[:size] = 0
         step = _independent(step, u)
-        x, ax, p, ap, fresh = basis @ u, images @ u, basis @ step, images @ step, age + 1
+        x, ax, p, ap, age = basis @ u, images @ u, basis @ step, images @ step, age + 1
     raise RuntimeError(f"residuals not certified after {rounds} rounds")
 
 
