@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Estimated share of the near-mint price by condition. Mint has a factor of its own.
 CONDITION_FACTORS = {"MT": 1.05, "NM": 1.0, "EX": 0.85, "GD": 0.7, "LP": 0.6, "PL": 0.45, "PO": 0.3}
@@ -91,6 +92,24 @@ def stable_hash(m: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(F.map_entries(m))), 256)
 
 
+def has_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return has_map(kind.elementType)
+    return isinstance(kind, MapType) or (isinstance(kind, StructType) and any(has_map(f.dataType) for f in kind.fields))
+
+
+def comparable(x: Column, kind: DataType) -> Column:
+    """A value that Spark can compare, group and hash: maps become arrays of their entries in order of the keys."""
+    if not has_map(kind):
+        return x
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: comparable(e, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*(comparable(x[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    entry = lambda e: F.struct(comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value"))
+    return F.array_sort(F.transform(F.map_entries(x), entry))
+
+
 def merged_map(old: Column, new: Column) -> Column:
     """Entries of both; the new one's win."""
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)

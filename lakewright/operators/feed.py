@@ -52,6 +52,9 @@ def resolve(stored: DataFrame, pushed: DataFrame, key: str, same: Column) -> Dat
 def push(stored: DataFrame, pushed: DataFrame, owner: str, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """The next snapshot after a push, and what became of each pushed row: owner, key, action, updated_at.
 
+    If a device sends a key more than once, its last row counts (by the time of the change; of equally old ones a deletion,
+    then the greatest fields), and the others come out as `superseded`.
+
     stored: owner, key, fields, updated_at, deleted_at, seq; deleted rows stay as log entries without fields. pushed: the
     same without seq, and base_updated_at. Rows that change anything get the owner's next sequence numbers, in order of
     their keys, so that other devices pull them.
@@ -59,6 +62,10 @@ def push(stored: DataFrame, pushed: DataFrame, owner: str, key: str, fields: lis
     c = F.col
     same = reduce(lambda a, b: a & b, (c(f"s.{f}").eqNullSafe(c(f"p.{f}")) for f in fields)) & c("s.deleted_at").isNull() & c("p.deleted_at").isNull()
     at = lambda df: df.withColumn("_key", F.struct(owner, key))
+    last_said = [F.coalesce("deleted_at", "updated_at").desc_nulls_last(), c("deleted_at").isNotNull().desc(), F.struct(*fields, "base_updated_at").desc()]
+    ranked = pushed.withColumn("_said", F.row_number().over(Window.partitionBy(owner, key).orderBy(*last_said)))
+    superseded = ranked.where("_said > 1").select(owner, key, F.lit("superseded").alias("action"), "updated_at")
+    pushed = ranked.where("_said = 1").drop("_said")
     done = resolve(at(stored), at(pushed), "_key", same)
     acted = at(pushed).drop("updated_at").join(done, "_key").drop("_key")
     last = stored.groupBy(owner).agg(F.max("seq").alias("_last"))
@@ -67,7 +74,7 @@ def push(stored: DataFrame, pushed: DataFrame, owner: str, key: str, fields: lis
     gone = c("deleted_at").isNotNull()
     rows = changed.select(owner, key, *(F.when(~gone, c(f)).alias(f) for f in fields), "updated_at", F.when(gone, c("updated_at")).alias("deleted_at"), "seq")
     kept = stored.join(rows.select(owner, key), [owner, key], "left_anti")
-    return kept.select(*rows.columns).unionByName(rows), acted.select(owner, key, "action", "updated_at")
+    return kept.select(*rows.columns).unionByName(rows), acted.select(owner, key, "action", "updated_at").unionByName(superseded)
 
 
 def latest(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:

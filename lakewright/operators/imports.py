@@ -11,7 +11,7 @@ from .matching import best_unambiguous
 from .merge import override, upsert_if_newer
 
 #: How much a match by each rule is worth; a manual mapping beats them all.
-CONFIDENCE = {"id": 100, "number": 70, "name": 60}
+CONFIDENCE = {"id": 100, "number": 70, "name": 40}
 MANUAL = "manual"
 
 

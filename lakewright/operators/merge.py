@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewright.functions.values import merged_map
+from lakewright.functions.values import comparable, has_map, merged_map
 
 
 def _both(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,7 +34,7 @@ def upsert_by_hash(old: DataFrame, new: DataFrame, keys: list[str], hash_column:
 
 
 def upsert_if_different(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], action: str | None = None) -> DataFrame:
-    row = lambda side: F.struct(*(F.col(side)[c].alias(c) for c in columns))
+    row = lambda side: F.struct(*(comparable(F.col(side)[c], old.schema[c].dataType).alias(c) for c in columns))
     return upsert(old, new, keys, ~row("_old").eqNullSafe(row("_new")), action)
 
 
@@ -118,12 +118,24 @@ def map_changes(old: DataFrame, new: DataFrame, keys: list[str], column: str) ->
     return out.where(~F.col("from_value").eqNullSafe(F.col("to_value")))
 
 
+def except_rows(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The different rows of new that old doesn't have; columns may hold maps, which are equal if their entries are."""
+    kinds = {c: new.schema[c].dataType for c in new.columns}
+    if not any(map(has_map, kinds.values())):
+        return new.subtract(old.select(*new.columns))
+    named = {c: f"_c{k}" for k, c in enumerate(new.columns)}
+    plain = lambda df: [comparable(df[c], kinds[c]).alias(x) for c, x in named.items()]
+    marked = new.select(*new.columns, *plain(new)).dropDuplicates(list(named.values()))
+    held = old.select(*plain(old))
+    return marked.join(held, [marked[x].eqNullSafe(held[x]) for x in named.values()], "left_anti").select(*new.columns)
+
+
 def delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """What turns old into new: `op` delete (other columns null) or upsert."""
     gone = old.select(*keys).subtract(new.select(*keys))
     rest = [c for c in new.columns if c not in keys]
     deletes = gone.select(F.lit("delete").alias("op"), *keys, *(F.lit(None).cast(new.schema[c].dataType).alias(c) for c in rest))
-    return deletes.unionByName(new.subtract(old).select(F.lit("upsert").alias("op"), *keys, *rest))
+    return deletes.unionByName(except_rows(new, old).select(F.lit("upsert").alias("op"), *keys, *rest))
 
 
 def apply_delta(old: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:

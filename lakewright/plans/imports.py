@@ -26,7 +26,7 @@ hits AS (
   SELECT product_id, print_id, 'id' AS method, 100 AS confidence, 0 AS rule FROM products JOIN (SELECT external_id, min(print_id) AS print_id FROM prints WHERE external_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT print_id) = 1) ON external_id = product_id
   UNION ALL SELECT product_id, print_id, 'number', 70, 1 FROM products JOIN (SELECT set_id, number, min(print_id) AS print_id FROM prints GROUP BY 1, 2 HAVING count(*) = 1) USING (set_id, number)
   UNION ALL SELECT product_id, print_id, 'number', 70, 2 FROM products JOIN (SELECT set_id, number, rarity, min(print_id) AS print_id FROM prints GROUP BY 1, 2, 3 HAVING count(*) = 1) USING (set_id, number, rarity)
-  UNION ALL SELECT product_id, print_id, 'name', 60, 3 FROM products JOIN (SELECT set_id, name, min(print_id) AS print_id FROM prints GROUP BY 1, 2 HAVING count(*) = 1) USING (set_id, name)),
+  UNION ALL SELECT product_id, print_id, 'name', 40, 3 FROM products JOIN (SELECT set_id, name, min(print_id) AS print_id FROM prints GROUP BY 1, 2 HAVING count(*) = 1) USING (set_id, name)),
 firsts AS (SELECT * FROM hits h WHERE rule = (SELECT min(rule) FROM hits o WHERE o.product_id = h.product_id)),
 best AS (SELECT * FROM firsts f WHERE confidence = (SELECT max(confidence) FROM firsts o WHERE o.print_id = f.print_id)),
 matches AS (SELECT * FROM best b WHERE (SELECT count(*) FROM best o WHERE o.print_id = b.print_id) = 1),

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.sources.scratch import scratch
 from lakewright.sources.tables import table
 from lakewright.streaming import feeds
 
 from .registry import query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that all machines share; a local one only in a session of one process that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="lakewright-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, d: str) -> DataFrame:
     # A stream reads folders or patterns; this one matches the one table.
     rows = feeds.read_files(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema)
