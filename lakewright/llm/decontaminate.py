@@ -198,7 +198,9 @@ def union_spans():
 def match_benchmark(docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", window: int = WINDOW, coverage: int = COVERAGE, max_words: int = MAX_WORDS, found: str = "hits") -> DataFrame:
     """docs with a struct column: n_words, n_hit, n_items, items_sha256, spans (word offsets), items, contaminated."""
     spark = docs.sparkSession
-    df, scratch, held, last, next_one = docs, None, None, None, free_name(docs, f"{found}_next")
+    # A column of docs with the same name gives way.
+    df = docs.drop(found)
+    scratch, held, last, next_one = None, None, None, free_name(docs, f"{found}_next")
     for automaton in automata(items, item_key, window, max_words):
         if held is not None:
             # Nothing needs the automaton before any more once this is written.
@@ -208,8 +210,8 @@ def match_benchmark(docs: DataFrame, items: DataFrame, *, item_key: str = "item_
             if last is not None:
                 scratch.drop(last)
             last = written
-        held = spark.sparkContext.broadcast(automaton)
-        if found not in df.columns:
+        first, held = held is None, spark.sparkContext.broadcast(automaton)
+        if first:
             df = df.withColumn(found, scanner(held)(F.col("text")))
             continue
         df = df.withColumn(next_one, scanner(held)(F.col("text")))

@@ -47,7 +47,8 @@ def samples(docs: DataFrame, *, max_sample: int = MAX_SAMPLE, total_bytes: int =
     """Sample text of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
     known = known.select("doc_id", "lang", F.substring("text", 1, MAX_SAMPLE_CHARS).alias("text"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # A language has as many texts as ids, so a row that is repeated can't crowd out the others.
+    counts = known.groupBy("lang").agg(F.count_distinct("doc_id").alias("n"))
     languages = counts.count()
     if not languages:
         return {}

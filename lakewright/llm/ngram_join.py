@@ -65,7 +65,7 @@ def digest(own: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text and a row's number in; doc_id, the number, the hash of the set of 5-grams, a sketch of it and its size out."""
+    """doc_id, text, a row's number and its text's hash in; the same without the text, the hash of the set of 5-grams, a sketch of it and its size out."""
     for batch in batches:
         for a, b in text_slices(batch.column(1)):
             own, ends = shingled(*hashed_words(batch.column(1).slice(a, b - a)))
@@ -76,8 +76,8 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node, packed, grams = list(filled), list(filled), np.zeros(b - a, np.int32)
             for k, i in enumerate(some.tolist()):
                 node[i], packed[i], grams[i] = sets[k][0], sketch[k].tobytes(), len(sets[k][1]) // 8
-            columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node, pa.binary()), pa.array(packed, pa.binary()), pa.array(grams)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "sketch", "grams"])
+            columns = [*(batch.column(k).slice(a, b - a) for k in (0, 2, 3)), pa.array(node, pa.binary()), pa.array(packed, pa.binary()), pa.array(grams)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "h", "node", "sketch", "grams"])
 
 
 def children(parents: np.ndarray, sketches: np.ndarray) -> np.ndarray:
@@ -295,8 +295,11 @@ def linker(similarity: float):
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole 5-gram sets of the rows whose text still has the node's set; text and node are the last two columns."""
+    """Whole 5-gram sets of the rows whose text still has the node's set, one of each node in a task; the node's number is the first column, text and node are the last two."""
+    seen: set[int] = set()
     for batch in batches:
+        fresh = [n not in seen and not seen.add(n) for n in batch.column(0).to_pylist()]
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         for a, b in text_slices(batch.column("text")):
             part = batch.slice(a, b - a)
             own, ends = shingled(*hashed_words(part.column("text")))
@@ -317,10 +320,10 @@ def joined_rows(docs: DataFrame, row: Column, similarity: float, recall: float)
     scratch = Scratch(spark, "ngram-join")
     texts = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = scratch.save(docs.select("doc_id", "text", row.alias("row")).mapInArrow(fingerprints, f"doc_id {id_type}, row long, node binary, sketch binary, grams int"), "rows")
+    rows = scratch.save(docs.select("doc_id", "text", row.alias("row"), F.xxhash64("text").alias("h")).mapInArrow(fingerprints, f"doc_id {id_type}, row long, h long, node binary, sketch binary, grams int"), "rows")
     lone = F.col("node").isNull() | F.col("doc_id").isNull()
     # Everything that equal sets share is part of the key, and nodes are numbered, so that aggregations hash.
-    nodes = rows.where(~lone).groupBy("node", "sketch", "grams").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"))
+    nodes = rows.where(~lone).groupBy("node", "sketch", "grams").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"), F.min_by("h", "doc_id").alias("h"))
     nodes = scratch.save(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
 
     leaves = leaf_buckets(nodes, runs_for(similarity, recall), scratch)
@@ -332,8 +335,9 @@ def joined_rows(docs: DataFrame, row: Column, similarity: float, recall: float)
     members = clusters.union(clusters.select("cluster", "cluster").distinct())
     blocks = F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("grams") / SET_GRAMS)).cast("long")
     sizes = members.join(nodes.select("n", "grams"), "n").groupBy("cluster").agg(blocks.alias("blocks"))
-    picked = members.join(sizes, "cluster").join(nodes.select("n", "copies", F.col("id").alias("doc_id"), "node"), "n")
-    wanted = texts.join(picked, "doc_id").select("n", "cluster", "blocks", "copies", "text", "node")
+    picked = members.join(sizes, "cluster").join(nodes.select("n", "copies", F.col("id").alias("doc_id"), "h", "node"), "n")
+    # By id and text, as an id may have many texts.
+    wanted = texts.withColumn("h", F.xxhash64("text")).join(picked, ["doc_id", "h"]).select("n", "cluster", "blocks", "copies", "text", "node")
     sets = wanted.mapInArrow(shingle_sets, "n long, cluster long, blocks long, copies long, shingles binary")
     keys = ["cluster", "a", "b"]
     dealt = blocked(sets, "cluster", "blocks", 1).select(*keys, "mine", "n", "copies", "shingles")

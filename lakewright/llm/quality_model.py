@@ -85,10 +85,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, f
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled texts outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    # Labels count once, however often their rows are repeated.
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     total = known.count()
     share = min(1.0, max_train / max(1, total))
-    chosen = known.distinct().withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h", "label").limit(2 * max_train)
+    chosen = known.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h", "label").limit(2 * max_train)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= MAX_TRAIN_CHARS)
     # Of several rows with one id the least text teaches, so repeated rows can't swell the sample.
     one = texts.join(F.broadcast(chosen), "id").groupBy("h", "label").agg(F.min("text").alias("text"))

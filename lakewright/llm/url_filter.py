@@ -47,7 +47,7 @@ PATTERN_RULES = [
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule's expression runs on the host, a slash-free bar, and the path, on the host alone, or on host and path joined."""
+    """A rule's expression runs on the host, a #, which neither part holds, and the path; on the host alone; or on host and path joined."""
 
     verdict: str
     text: str
@@ -60,7 +60,7 @@ class Rule:
 
 def host_rule(verdict: str, text: str) -> Rule:
     host, slash, path = text.partition("/")
-    pattern = rf"^(?:[^|]*\.)?{re.escape(host)}\|{re.escape(slash + path)}"
+    pattern = rf"\A(?:[^#]*\.)?{re.escape(host)}\#{re.escape(slash + path)}"
     # The last path token may continue in the URL, so only host tokens and closed path tokens are literal.
     closed = TOKEN.findall(path.translate(LOWER)) if path.endswith("/") else TOKEN.findall(path.translate(LOWER))[:-1]
     return Rule(verdict, text, pattern, tuple(TOKEN.findall(host) + closed), 1)
@@ -96,12 +96,13 @@ def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
     return Rule(verdict, pattern, pattern, tokens, 0)
 
 
-def host_pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
-    return Rule(verdict, pattern, pattern.replace("$", r"\Z"), tokens, 0, True)
+def host_pattern_rule(verdict: str, pattern: str, *tokens: str, text: str | None = None) -> Rule:
+    """An expression on the host, compiled as it is given; text: what it is called in results."""
+    return Rule(verdict, text or pattern, pattern, tokens, 0, True)
 
 
 def production_rules() -> list[Rule]:
-    return [host_rule(*r) for r in HOST_RULES] + [host_pattern_rule(*r) for r in PATTERN_RULES]
+    return [host_rule(*r) for r in HOST_RULES] + [host_pattern_rule(verdict, rf"(^|[.-]){word}([.-]|\Z)", word, text=text) for verdict, text, word in PATTERN_RULES]
 
 
 def index_rules(rules: list[Rule]) -> dict[str, list[Rule]]:
@@ -134,7 +135,7 @@ class Matcher:
 
     def best(self, host: str, path: str) -> Rule | None:
         tokens = {*TOKEN.findall(host), *TOKEN.findall(path.translate(LOWER)), ""}
-        subject = lambda r: host if r.host_alone else host + path if r.joined else f"{host}|{path}"
+        subject = lambda r: host if r.host_alone else host + path if r.joined else f"{host}#{path}"
         fits = [r for t in tokens if t in self.index for r, p in self.fetched(t) if p.search(subject(r))]
         return max(fits, key=precedence, default=None)
 

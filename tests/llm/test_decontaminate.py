@@ -96,3 +96,11 @@ def test_long_repetitive_items_and_texts_take_linear_time():
 
 def test_sql(spark, sf_dir):
     assert difference(spark, views(sf_dir), op.op2_decontamination, op.OP2_SQL, sf_dir) == ""
+
+
+def test_a_clashing_column_gives_way(spark, docs_of):
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    docs = docs_of("zero one two three", None).withColumnRenamed("score", "hits")
+    for words in (1000, 2):
+        got = op.match_benchmark(docs, items, max_words=words)
+        assert [r["hits"]["n_hit"] for r in got.orderBy("doc_id").collect()] == [3, 0] and got.columns.count("hits") == 1

@@ -93,3 +93,11 @@ def test_repeated_rows_do_not_swell_the_sample(docs_of):
     pairs = [(k, f"text number {k} of many") for k in range(30)]
     once, often = docs_of(*pairs), docs_of(*pairs, *[(1, "text number 1 of many")] * 500)
     assert 0 < len(op.samples(often)["xx"]) <= len(op.samples(once)["xx"])
+
+
+def test_a_repeated_row_does_not_crowd_out_its_language(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(*((k, f"text {chr(97 + k % 26)} of some words {k}") for k in range(3000))).select("doc_id", "text", "lang")
+    again = docs.unionAll(spark.range(1_000_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same row").alias("text"), F.lit("xx").alias("lang")))
+    assert op.samples(again).keys() == {"xx"} and len(op.samples(again)["xx"]) > 1000

@@ -108,3 +108,26 @@ def test_runs_reach_the_recall():
 def test_brute_force_on_documents(spark, sf_dir):
     pairs = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in op.op1_ngram_join(spark, sf_dir).collect()) == brute(pairs)
+
+
+def test_an_id_with_many_texts_is_read_once_a_text(spark, docs_of, monkeypatch):
+    """Near copies under one id: as many rows reach the sets as there are texts, repeats and all."""
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(60)]
+    docs = docs_of(*((7, t) for t in texts), *((7, texts[0]) for _ in range(500))).coalesce(1)
+    whole = op.shingle_sets
+
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        def told():
+            for b in batches:
+                yield b
+
+        for out in whole(told()):
+            count.add(out.num_rows)
+            yield out
+
+    monkeypatch.setattr(op, "shingle_sets", counted)
+    rows = op.ngram_join(docs).collect()
+    assert len(rows) == 560 and {r["class_id"] for r in rows} == {7} and count.value <= 60 * 4

@@ -72,3 +72,11 @@ def test_against_plain_scores(spark):
     for r in docs.select("doc_id", "text").collect():
         want = plain(r["text"])
         assert abs(got[r["doc_id"]]["score"] - want) < 1e-4 and (abs(want - 0.7) < 1e-3 or got[r["doc_id"]]["predicted"] == (want >= 0.7))
+
+
+def test_a_repeated_label_row_does_not_crowd_out_the_others(spark, docs_of):
+    docs = docs_of(*((k, f"good text number {k}" if k % 2 else f"junk !!! {k} $$$") for k in range(600)))
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    again = labels.unionAll(spark.range(1_000_000).select(F.lit(17).cast("long").alias("doc_id"), F.lit(1).alias("quality")))
+    one, many = op.fit(docs, labels, max_train=200), op.fit(docs, again, max_train=200)
+    assert (one[0] == many[0]).all() and one[1] == many[1] and (one[0] != 0).sum() > 5

@@ -37,7 +37,7 @@ def random_rules(draw, n=80):
         path = "/" + draw.choice(("", "x", "x/", "x/y", "en/", "En/1"))
         rules.append(op.host_rule(draw.choice(("allow", "block")), host + path))
     lines = ["# comment", "", r"block re:(^|[.-])shop([.-]|$)", "block *.bb/x/*", "allow a.*com/en/1", "block c-c.*", "allow bb.com/x"]
-    return rules + op.parse_rules(lines) + [op.pattern_rule("block", r"\|/x.*[0-9]$")]
+    return rules + op.parse_rules(lines) + [op.pattern_rule("block", r"#/x.*[0-9]$")]
 
 
 @pytest.mark.parametrize("max_rules", [1000, 7])
@@ -82,9 +82,14 @@ def test_sql(spark, sf_dir):
     assert difference(spark, views(sf_dir), op.op3_url_filter, op.OP3_SQL, sf_dir) == ""
 
 
+def test_expressions_are_compiled_as_given():
+    matcher = op.Matcher([op.host_pattern_rule("block", r"a\$b"), op.host_pattern_rule("block", r"c$")])
+    assert matcher.best("xa$b", "").verdict == "block" and matcher.best("xaZb", "") is None and matcher.best("abc", "").text == "c$"
+
+
 def test_pattern_rules_read_the_host_alone(spark, tmp_path):
-    urls = ["https://foo.casino/", "https://x.porn", "https://my-bets/x", "https://foo.org/how-ads-work", "https://foo.org/a.casino", "https://ads.foo.org/x", "https://bets?x", "https://a|casino|b/x"]
+    urls = ["https://foo.casino/", "https://x.porn", "https://my-bets/x", "https://foo.org/how-ads-work", "https://foo.org/a.casino", "https://ads.foo.org/x", "https://bets?x", "https://a|casino|b/x", "http://a|b.com/x", "http://x|y.example.com/en/", "http://x|.net/es/", "http://|com/", "http://com/|x", "http://b.com|/x", "http://casino\n/x", "http://bets.\n/x", "http://n\net/es/"]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["verdict"] for r in op.op3_url_filter(spark, str(tmp_path)).collect()}
-    assert [got[k] for k in range(len(urls))] == ["block"] * 3 + ["allow"] * 2 + ["block"] * 2 + ["allow"]
+    assert [got[k] for k in range(8)] == ["block"] * 3 + ["allow"] * 2 + ["block"] * 2 + ["allow"]
     assert difference(spark, views(str(tmp_path)), op.op3_url_filter, op.OP3_SQL, str(tmp_path)) == ""
