@@ -1,6 +1,12 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Cases, stage by stage. Quality classifier: a null or empty text scores by the bias alone, as any other; repeated rows are
+judged each on its own. Near-duplicates: rows without an id or a word all stay, of equal rows one; of a class the least
+id, of several rows with that id the first. Decontamination: texts without words stay; an item without words is no
+window. Secret scans: a null text stays null. SentencePiece: a null text gives no ids. An empty table gives an empty result in each. Other
+columns of docs go along to the last stage, whatever their names; very long texts are read whole.
 """
 
 from __future__ import annotations
