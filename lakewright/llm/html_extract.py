@@ -38,7 +38,9 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 #: Elements that mark a zone by themselves.
 FURNITURE = set("nav header footer aside form menu dialog button fieldset".split())
 ARTICLE = {"article", "main"}
-CONTAINERS = FURNITURE | ARTICLE | set("section div ul ol dl table td body details figure center blockquote".split())
+CONTAINERS = FURNITURE | ARTICLE | set("section div ul ol dl table td body details figure center blockquote li dt dd tr th thead tbody tfoot caption figcaption address summary hgroup".split())
+#: A new one closes an open one of the same kind, back to the element that holds them.
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 #: Words of class and id that mark a zone.
 FURNITURE_WORDS = set(
     "ad ads adbox advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies copyright "
@@ -46,6 +48,8 @@ FURNITURE_WORDS = set(
     "popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe tags teaser toolbar topbar widget widgets alert form".split()
 )
+#: Parts of a class name after which a word doesn't name the element itself: a page without, or with, a sidebar isn't one.
+BESIDE = {"no", "non", "not", "without", "has", "with", "hide", "show"}
 ARTICLE_WORDS = set("article content main post entry story body text".split())
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "alert": -1, "dialog": -1, "menu": -1, "menubar": -1, "main": 1, "article": 1}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -65,8 +69,12 @@ class Block:
         self.words = self.text.count(" ") + 1
 
 
+def hidden(name: str, value: str) -> bool:
+    return name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and ("display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")))
+
+
 def zone_of(tag: str, attributes: str, outer: int) -> int:
-    """1 for article text, -1 for page furniture, 0 unknown; the innermost element that tells decides."""
+    """1 for article text, -1 for page furniture, 0 unknown; the innermost element that tells decides. A class of a whole page tells nothing."""
     own = outer
     if tag in ARTICLE:
         own = 1
@@ -76,12 +84,13 @@ def zone_of(tag: str, attributes: str, outer: int) -> int:
         return own
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+        if hidden(name, value):
             return -1
         if name == "role" and value in ROLES:
             own = ROLES[value]
-        elif name in ("class", "id"):
-            parts = set(re.split(r"[^a-z0-9]+", value))
+        elif name in ("class", "id") and tag != "body":
+            names = [[p for p in re.split(r"[^a-z0-9]+", x) if p] for x in value.split()]
+            parts = {p for x in names if not BESIDE & set(x) for p in x}
             if parts & FURNITURE_WORDS and not (parts & FURNITURE_WORDS <= {"header"} and (parts & ARTICLE_WORDS or outer == 1)):
                 return -1
             if parts & ARTICLE_WORDS and tag not in FURNITURE:
@@ -145,6 +154,13 @@ class Tags:
         return at if tag in SILENT else len(self.page)
 
 
+def left_out(tag: str, attributes: str) -> bool:
+    """Whether an inline element is hidden, or a span is furniture by its class."""
+    if tag == "span":
+        return zone_of(tag, attributes, 0) == -1
+    return any(hidden(name.lower(), "".join(values).lower()) for name, *values in ATTRIBUTE.findall(attributes))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
@@ -153,19 +169,25 @@ def blocks_of(page: str) -> list[Block]:
     pieces: list[str] = []
     linked = all_chars = 0
     in_link, tag_now, at, n = False, "", 0, len(page)
+    #: The zone of an open paragraph or heading with attributes, how deep the open link began, and whether inside such a leaf.
+    leaf: int | None = None
+    leaf_open = link_in_leaf = False
+    link_depth = 0
+    #: An inline element whose text is left out, and how many of its name are open in it.
+    skipped, skips = "", 0
     tags = Tags(page)
 
     def flush() -> None:
         nonlocal linked, all_chars
         text = " ".join("".join(pieces).split())
         if text:
-            found.append(Block(text, linked / all_chars if all_chars else 0.0, stack[-1][1] if stack else 0, tag_now))
+            found.append(Block(text, linked / all_chars if all_chars else 0.0, leaf if leaf is not None else stack[-1][1] if stack else 0, tag_now))
         pieces.clear()
         linked = all_chars = 0
 
     def add(raw: str) -> None:
         nonlocal linked, all_chars
-        if raw:
+        if raw and not skipped:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             size = len(text) - text.count(" ")
@@ -199,17 +221,40 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append(" ")
             continue
         if tag in INLINE:
+            if skipped:
+                skips += (tag == skipped) * (-1 if closing else 1)
+                skipped = skipped if skips else ""
+            elif not closing and tag not in ("br", "img", "input", "wbr") and attributes and left_out(tag, attributes):
+                skipped, skips = tag, 1
             if tag == "a":
-                in_link = not closing
+                in_link, link_depth, link_in_leaf = not closing, len(stack), leaf_open
             elif tag in ("br", "img", "input", "wbr"):
                 pieces.append(" " if tag != "wbr" else "")
             continue
         flush()
-        in_link = False
+        # A block ends paragraphs and headings, what they left open, and inline elements that weren't closed.
+        skipped, skips = "", 0
+        if link_in_leaf:
+            in_link = link_in_leaf = False
+        leaf, leaf_open = None, False
         tag_now = "" if closing else tag
         if tag not in CONTAINERS:
+            if not closing:
+                leaf_open = True
+                leaf = zone_of(tag, attributes, stack[-1][1] if stack else 0) if attributes else None
             continue
         if not closing:
+            if tag in SIBLINGS:
+                same, holders = SIBLINGS[tag]
+                if any(open_tags[x] for x in same):
+                    k = len(stack) - 1
+                    while k >= 0 and stack[k][0] not in holders and stack[k][0] not in same:
+                        k -= 1
+                    # Only siblings are closed, and what is open in them.
+                    while k >= 0 and stack[k][0] in same:
+                        while len(stack) > k:
+                            open_tags[stack.pop()[0]] -= 1
+                        k -= 1
             stack.append((tag, zone_of(tag, attributes, stack[-1][1] if stack else 0)))
             open_tags[tag] += 1
         elif open_tags[tag]:
@@ -218,6 +263,8 @@ def blocks_of(page: str) -> list[Block]:
                 open_tags[last] -= 1
                 if last == tag:
                     break
+        if in_link and len(stack) < link_depth:
+            in_link = False
     add(page[text_from:n])
     flush()
     return found

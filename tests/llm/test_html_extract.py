@@ -149,3 +149,41 @@ def test_every_page_against_another_parser(spark, tree):
         parser.feed(r["html"])
         wrong += [r["page_id"]] if got[r["page_id"]] != "\n".join(parser.blocks) else []
     assert len(got) == pages.count() and len(wrong) <= len(got) // 100
+
+
+@pytest.mark.parametrize("furniture", [
+    '<p class="ad">Buy this fine thing today and save a lot of money.</p>',
+    '<p class="comment">I think that this is a very good text, thanks for it, it is really great.</p>',
+    '<ul><li class="social">Share this text with all of your friends, wherever they may be today.</li></ul>',
+    "<p hidden>This text is here for machines only, and nobody who reads the page can see it.</p>",
+    '<header><p class="byline">By somebody who writes a lot of words for this site every day.</p></header>',
+    '<p style="display: none">This text is here for machines only, and nobody who reads it can see it.</p>',
+    '<h3 class="advert">Advertisement for a thing that has many words in its title today</h3>',
+    '<ol><li class="ad">Buy this fine thing today and save a lot of money.<p>Really, a lot of money, for all of your life.</p></li></ol>',
+    '<span class="sponsored">Sponsored words</span>', "<b hidden>Hidden words</b>", '<p><span class="ad">Buy this</span></p>',
+])
+def test_furniture_in_any_element_goes(tree, furniture):
+    assert op.main_text(tree, page(marked("<article>", f"{furniture}</article>"))) == "\n".join(BODY)
+    head, *rest = BODY
+    assert op.main_text(tree, page(f"<article><h1>{head}</h1>{furniture}" + "".join(f"<p>{p.replace('&', '&amp;')}</p>" for p in rest) + "</article>")) == "\n".join(BODY)
+
+
+@pytest.mark.parametrize("open_", ['<body class="page no-sidebar"><div>', '<body class="search"><div>', '<div class="layout has-sidebar"><article>', '<div class="without-comments"><div class="content">', '<body class="page no-sidebar widget-area"><article class="post no-comments">'])
+def test_words_on_the_page_or_beside_say_nothing(tree, open_):
+    long = [f"Paragraph {k} has so many words that it can only be the text of a page, as menus are short and full of links." for k in range(4)]
+    assert op.main_text(tree, f"<html>{open_}" + "".join(f"<p>{p}</p>" for p in long)) == "\n".join(long)
+
+
+def test_links_stay_open_over_blocks():
+    got = {b.text: b.links for b in op.blocks_of('<div><a href="/x"><div>headline</div><h3>more</h3></a><p>text</p></div><p><a>open</p><p>closed</p><div><a>lost</div><p>after</p>')}
+    assert got == {"headline": 1.0, "more": 1.0, "text": 0.0, "open": 1.0, "closed": 0.0, "lost": 1.0, "after": 0.0}
+
+
+def test_link_cards_are_no_article(tree):
+    cards = "".join(f'<a href="/{k}"><div>Headline number {k} of a story that is told on another page of this site</div></a>' for k in range(4))
+    assert op.main_text(tree, f"<html><body><div>{cards}</div></body></html>") == ""
+
+
+def test_siblings_close_each_other():
+    got = op.blocks_of('<article><ul><li class="ad">buy<li>one<ul><li class="ad">sub<li>two</ul><li>three</ul><table><tr><td class="ad">x<td>y<tr><td>z</table><dl><dt class="ad">d<dd>e</dl></article>')
+    assert [(b.text, b.zone) for b in got] == [("buy", -1), ("one", 1), ("sub", -1), ("two", 1), ("three", 1), ("x", -1), ("y", 1), ("z", 1), ("d", -1), ("e", 1)]
