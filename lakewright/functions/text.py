@@ -54,6 +54,14 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / both).cast("float")
 
 
+def collated(x: Column, locale: str = "UNICODE", *, case: bool = False, accents: bool = False) -> Column:
+    """A text that sorts, groups and compares as a locale does (UNICODE: the root locale); case and accents only count if asked for.
+
+    Without it text is compared by its bytes, which is the order of files and keys.
+    """
+    return F.collate(x, f"{locale}{'_CS' if case else '_CI'}{'_AS' if accents else '_AI'}")
+
+
 def contains_prefix(words: Column, prefix: str) -> Column:
     return F.exists(words, lambda w: w.startswith(prefix))
 

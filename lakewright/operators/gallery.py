@@ -28,9 +28,9 @@ def tier(rarity: Column) -> Column:
 
 
 def scan_backs(sibling: Column, rarity: Column) -> Column:
-    """Whether a scan in one rarity may stand in for another: the same, a plainer tier, or both plain."""
-    s, p = tier(sibling), tier(rarity)
-    return (sibling == rarity) | F.coalesce(F.when(s.isNull(), False).when(p.isNull(), s == 0).otherwise((s < p) | (s + p == 0)), F.lit(False))
+    """Whether a scan in one rarity may stand in for another: its own always, else one from a plainer tier; plain ones for plain and unlisted rarities too."""
+    highest = F.greatest(F.coalesce(tier(rarity), F.lit(0)) - 1, F.lit(0))
+    return F.coalesce(sibling == rarity, F.lit(False)) | F.coalesce(tier(sibling) <= highest, F.lit(False))
 
 
 def is_foil(game: Column, rarity: Column, finish: Column, extended: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.functions import sql, variants
+from lakewright.functions.text import collated
 from lakewright.operators import assign, chunks, feed, hashtree, merge
 from lakewright.sources import feeds
 from lakewright.sources.backfill import DayTable
@@ -257,3 +259,80 @@ def state_pushes(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(first.schema).parquet(f"{root}/in")
     state.run(state.pushes(stream, ["id"], ["v"], "nth"), f"{root}/rows", f"{root}/checkpoint")
     return spark.read.schema("id long, nth long, action string").parquet(f"{root}/rows")
+
+
+@query(r"""
+SELECT p_partkey, regexp_replace(regexp_replace(lower('OP-0' || p_size || 'b ' || p_brand), '[^a-z0-9]+', '', 'g'), '(^|[^0-9])0+([0-9])', '\1\2', 'g') AS code,
+  nullif(regexp_replace(regexp_replace(regexp_replace(lower('EN-00' || p_size), '[^a-z0-9]+', '', 'g'), '^[a-z]{1,2}([0-9])', '\1'), '^0+([0-9a-z])', '\1'), '') AS number, p_size::INTEGER AS part
+FROM part WHERE regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g'), '(^|[^0-9])0+([0-9])', '\1\2', 'g') <> 'brand11'""")
+def sql_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key functions from SQL."""
+    sql.register(spark)
+    table(spark, d, "part").createOrReplaceTempView("parts_of_keys")
+    return spark.sql("""
+        SELECT p_partkey, code_key('OP-0' || p_size || 'b ' || p_brand) AS code, number_key('EN-00' || p_size) AS number, numeric_part(p_size || 'a7') AS part
+        FROM parts_of_keys WHERE code_key(p_brand) <> code_key('Brand-0011')""")
+
+
+@query("SELECT p_partkey, i::INTEGER AS call, p_name AS name, [p_brand, p_type] AS lines FROM part, (SELECT unnest([0, 1]) AS i)")
+def sql_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of a text by a table function."""
+    sql.register(spark)
+    call = F.concat(F.lit("{{Set list|Name="), "p_name", F.lit("|"), "p_brand", F.lit("|"), "p_type", F.lit("}} "))
+    table(spark, d, "part").select("p_partkey", F.concat(call, F.lit("and {{Other|x}} "), call).alias("body")).createOrReplaceTempView("pages_of_templates")
+    return spark.sql("SELECT p_partkey, call, named['name'] AS name, lines FROM pages_of_templates, LATERAL template_calls(body, 'set list')")
+
+
+_RAGGED = """
+j AS (SELECT p_partkey, p_size, CASE p_partkey % 5
+  WHEN 0 THEN '{"ids": {"tcg": ' || p_size || ', "alt": null}, "name": "' || p_name || '", "tags": ["x", "' || p_type || '"]}'
+  WHEN 1 THEN '{"ids": [' || p_size || ', 7], "name": 5}'
+  WHEN 2 THEN '["' || p_name || '"]'
+  WHEN 3 THEN '{"ids": {"tcg": "' || p_brand || '"}, "own": {"k": {"z": true}}}'
+  ELSE '{"broken": ' END AS body FROM part)"""
+
+
+@query(f"""
+WITH {_RAGGED}, v AS (SELECT p_partkey, p_size, CASE WHEN json_valid(body) THEN body::JSON END AS v FROM j)
+SELECT p_partkey, v->>'$.ids.tcg' AS tcg, CASE WHEN p_partkey % 5 = 0 THEN p_size::BIGINT END AS tcg_number, coalesce(json_exists(v, '$.ids.alt'), false) AS has_alt, v->>'$.tags[1]' AS tag,
+  coalesce(CAST(v->>'$.own.k.z' AS BOOLEAN), false) AS z,
+  CASE WHEN json_type(v) = 'OBJECT' THEN array_to_string(list_sort(list_distinct(list_concat(json_keys(v), ['name', 'seen']))), ',') ELSE 'name,seen' END AS keys, p_size::BIGINT AS seen, 'new' AS name
+FROM v""")
+def variant_paths(spark: SparkSession, d: str) -> DataFrame:
+    """JSON of several shapes, some of it broken: existence, nested paths, types, and a merge."""
+    part, i = table(spark, d, "part"), c("p_partkey") % 5
+    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    size, name = c("p_size").cast("string"), c("p_name")
+    body = (
+        F.when(i == 0, text('{"ids": {"tcg": ', size, ', "alt": null}, "name": "', name, '", "tags": ["x", "', c("p_type"), '"]}'))
+        .when(i == 1, text('{"ids": [', size, ', 7], "name": 5}')).when(i == 2, text('["', name, '"]'))
+        .when(i == 3, text('{"ids": {"tcg": "', c("p_brand"), '"}, "own": {"k": {"z": true}}}')).otherwise('{"broken": ')
+    )
+    rows = part.select("p_partkey", variants.parsed(body).alias("v"), variants.parsed(text('{"name": "new", "seen": ', size, "}")).alias("more"))
+    root = scratch(spark, "variants")
+    # Written with its paths beside it, and read again.
+    variants.shredded(rows, "v", {"tcg": ("$.ids.tcg", "string"), "tag": ("$.tags[1]", "string")}).write.parquet(f"{root}/rows")
+    held = spark.read.parquet(f"{root}/rows")
+    v, m = c("v"), variants.merged(c("v"), c("more"))
+    number = F.when(F.schema_of_variant(F.try_variant_get(v, "$.ids.tcg", "variant")) == "BIGINT", variants.at(v, "$.ids.tcg", "long"))
+    return held.select(
+        "p_partkey", "tcg", number.alias("tcg_number"), variants.has(v, "$.ids.alt").alias("has_alt"), "tag", F.coalesce(variants.at(v, "$.own.k.z", "boolean"), F.lit(False)).alias("z"),
+        F.array_join(F.array_sort(F.map_keys(variants.entries(m))), ",").alias("keys"), variants.at(m, "$.seen", "long").alias("seen"), variants.at(m, "$.name").alias("name"),
+    )
+
+
+_SPELT = "CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN translate(p_name, 'aeo', 'áêö') ELSE p_name END"
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, {_SPELT} AS name, lower(strip_accents(p_name)) AS plain FROM part),
+g AS (SELECT plain, count(*) AS n, min(name) AS first_by_bytes FROM n GROUP BY 1)
+SELECT first_by_bytes, n, dense_rank() OVER (ORDER BY plain)::INTEGER AS place FROM g""")
+def locale_order(spark: SparkSession, d: str) -> DataFrame:
+    """Names that differ in case and accents alone are one group, in a locale's order; within it bytes decide."""
+    i = c("p_partkey") % 3
+    spelt = F.when(i == 0, F.upper("p_name")).when(i == 1, F.translate("p_name", "aeo", "áêö")).otherwise(c("p_name"))
+    names = table(spark, d, "part").select(spelt.alias("name"))
+    groups = names.groupBy(collated(c("name")).alias("key")).agg(F.count("*").alias("n"), F.min("name").alias("first_by_bytes"))
+    # Groups are the different names of a catalog; their places need one order.
+    return groups.select("first_by_bytes", "n", F.dense_rank().over(Window.orderBy("key")).alias("place"))

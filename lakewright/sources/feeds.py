@@ -157,9 +157,14 @@ def set_list_codes(pages: DataFrame, text: str = "text") -> DataFrame:
 REGIONS = {"EN": "en", "NA": "en", "EU": "en", "AU": "en", "OC": "en", "DE": "de", "FR": "fr", "FC": "fr", "IT": "it", "SP": "es", "PT": "pt"}
 
 
+#: How the wiki names galleries, and what it leaves out of file names.
+GALLERY_TITLE = r"^Set Card (?:Galleries|Lists):(.+) \(TCG-([A-Z]+)(?:-([A-Z0-9]+))?\)$"
+NOT_IN_FILE_NAMES = "[ #,.:'\"?!&@%=\\[\\]<>/☆★・-]"
+
+
 def gallery_titles(pages: DataFrame, title: str = "title") -> DataFrame:
     """pages with set, region, edition and lang of titles "… :<set> (TCG-<region>[-<edition>])"; others go."""
-    part = lambda k: F.regexp_extract(c(title), r"^Set Card (?:Galleries|Lists):(.+) \(TCG-([A-Z]+)(?:-([A-Z0-9]+))?\)$", k)
+    part = lambda k: F.regexp_extract(c(title), GALLERY_TITLE, k)
     known = F.create_map(*(F.lit(x) for kv in REGIONS.items() for x in kv))
     out = pages.withColumn("set", part(1)).withColumn("region", part(2)).withColumn("edition", F.nullif(part(3), F.lit("")))
     return out.withColumn("lang", F.try_element_at(known, "region")).where("lang IS NOT NULL")
@@ -168,7 +173,7 @@ def gallery_titles(pages: DataFrame, title: str = "title") -> DataFrame:
 def image_name(name: Column) -> Column:
     """A card's name as it stands in file names."""
     bare = F.regexp_replace(F.regexp_replace(plain_wikitext(name), "#", ""), r"(?s)\s*\(.*$", "")
-    return F.regexp_replace(bare, "[ #,.:'\"?!&@%=\\[\\]<>/☆★・-]", "")
+    return F.regexp_replace(bare, NOT_IN_FILE_NAMES, "")
 
 
 def gallery_rows(pages: DataFrame, abbreviation, text: str = "text") -> DataFrame:
