@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewright.functions.cards import rarity_key
+from lakewright.functions.text import norm_name, number_key
+
+from lakewright.sources.scratch import Steps
+
+from .gallery import ARTWORK, pick_artwork
 from .matching import best_unambiguous
 from .merge import override, upsert_if_newer
 
-#: How much a match by each rule is worth; a manual mapping beats them all.
-CONFIDENCE = {"id": 100, "number": 70, "name": 40}
+#: How much a match by each rule is worth; a manual mapping beats them all.
+CONFIDENCE = {"id": 100, "number": 70, "artwork": 65, "region": 60, "name": 40}
 MANUAL = "manual"
+c = F.col
+
+
+def _claims(df: DataFrame, method: str) -> DataFrame:
+    return df.select("product_id", "print_id", F.lit(method).alias("method"), F.lit(CONFIDENCE[method]).alias("confidence"))
 
 
 def match_products(products: DataFrame, prints: DataFrame) -> DataFrame:
@@ -22,16 +33,112 @@ def match_products(products: DataFrame, prints: DataFrame) -> DataFrame:
     one print has of it; else by the only print of its number, or of its number and rarity; else by the only print
     of its name. A print whose best products tie has none.
     """
-    c = F.col
     by_id = prints.where("external_id IS NOT NULL").groupBy(c("external_id").alias("product_id")).agg(F.min("print_id").alias("print_id"), F.max("print_id").alias("_last")).where("print_id = _last")
     found = [("id", products.join(by_id, "product_id").select("product_id", "print_id"))]
     for name, keys in (("number", ["set_id", "number"]), ("number", ["set_id", "number", "rarity"]), ("name", ["set_id", "name"])):
         one = prints.groupBy(*keys).agg(F.min("print_id").alias("print_id"), F.count("*").alias("_n")).where("_n = 1")
         found.append((name, products.join(one, keys).select("product_id", "print_id")))
-    rows = [m.select("product_id", "print_id", F.lit(name).alias("method"), F.lit(CONFIDENCE[name]).alias("confidence"), F.lit(k).alias("_rule")) for k, (name, m) in enumerate(found)]
+    rows = [_claims(m, name).withColumn("_rule", F.lit(k)) for k, (name, m) in enumerate(found)]
     hits = reduce(DataFrame.unionByName, rows)
-    first = hits.groupBy("product_id").agg(F.min("_rule").alias("_rule"))
-    return best_unambiguous(hits.join(first, ["product_id", "_rule"]).drop("_rule"), ["print_id"])
+    first = hits.groupBy("product_id").agg(F.min_by(F.struct("print_id", "method", "confidence"), "_rule").alias("_m"))
+    return best_unambiguous(first.select("product_id", "_m.*"), ["print_id"])
+
+
+def by_printing(products: DataFrame, prints: DataFrame) -> DataFrame:
+    """product_id, print_id, printing, method, confidence: matches by the ids that prints have of products.
+
+    prints: print_id, external_id, etched_id, finishes. An id of one print is that print's (printing null; `etched` for
+    an id of its etched form). One that several prints share goes by finish: each takes those that no other has; if it is also an
+    etched id, to none.
+    """
+    plain = prints.where("external_id IS NOT NULL").select(c("external_id").alias("product_id"), "print_id", F.lit(None).cast("string").alias("printing"))
+    etched = prints.where("etched_id IS NOT NULL").select(c("etched_id").alias("product_id"), "print_id", F.lit("etched").alias("printing"))
+    # Of a print with one id for both forms the etched one counts.
+    named = plain.unionByName(etched).groupBy("product_id", "print_id").agg(F.max("printing").alias("printing"))
+    holders = named.groupBy("product_id").agg(F.count("*").alias("_n"), F.min_by("print_id", "print_id").alias("print_id"), F.max("printing").alias("printing"))
+    sole = holders.where("_n = 1").select("product_id", "print_id", "printing")
+    shared = holders.where("_n > 1 AND printing IS NULL").select("product_id")
+    finishes = prints.select(c("external_id").alias("product_id"), "print_id", F.explode(F.array_distinct("finishes")).alias("printing")).join(shared, "product_id")
+    split = finishes.groupBy("product_id", "printing").agg(F.min("print_id").alias("print_id"), F.count("*").alias("_n")).where("_n = 1")
+    hits = sole.unionByName(split.select("product_id", "print_id", "printing")).join(products.select("product_id"), "product_id", "left_semi")
+    claims = hits.withColumns({"method": F.lit("id"), "confidence": F.lit(CONFIDENCE["id"])})
+    best = claims.groupBy("print_id", "printing").agg(F.count("*").alias("_n"), F.min("product_id").alias("product_id"), F.first("method").alias("method"), F.first("confidence").alias("confidence"))
+    return best.where("_n = 1").select("product_id", "print_id", "printing", "method", "confidence")
+
+
+def own_number(number: Column) -> Column:
+    """What follows the set's code: LOB-EN001 has EN001."""
+    return F.regexp_replace(number, "^.*-", "")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    own = own_number(c("number"))
+    return df.withColumns({"_own": own, "_number": number_key(own), "_rarity": rarity_key(c("rarity")), "_name": norm_name()(F.regexp_replace("name", ARTWORK, ""))})
+
+
+def numbered_prints(products: DataFrame, prints: DataFrame, regional: bool) -> DataFrame:
+    """product_id, print_id: the prints of a product's set and number. Of several those that are numbered exactly so, then those of its rarity.
+
+    What is left must be one print; where numbers have regions, one number in several spellings of the rarity will do. products and prints
+    are keyed; a number has a bounded number of prints in a set.
+    """
+    w = Window.partitionBy("product_id")
+    pairs = products.select("product_id", "set_id", "_number", "_own", "_rarity").alias("a").join(prints.select("print_id", "set_id", "_number", "_own", "_rarity").alias("b"), [c(f"a.{k}") == c(f"b.{k}") for k in ("set_id", "_number")])
+    same = pairs.select("product_id", "print_id", c("b._own").alias("_own"), c("a._rarity").alias("_rarity"), (c("a._own") == c("b._own")).alias("_exact"), F.coalesce(c("a._rarity") == c("b._rarity"), F.lit(False)).alias("_alike"))
+    same = same.withColumns({"_n": F.count("*").over(w), "_k": F.count_if("_exact").over(w)}).where("_n = 1 OR _k = 0 OR _exact")
+    same = same.withColumn("_n", F.count("*").over(w)).where("_n = 1 OR _rarity IS NULL OR _alike")
+    left = same.withColumns({"_n": F.count("*").over(w), "_low": F.min("_own").over(w), "_high": F.max("_own").over(w)})
+    return left.where((c("_n") == 1) | (F.lit(regional) & c("_rarity").isNotNull() & (c("_low") == c("_high")))).select("product_id", "print_id")
+
+
+def match_group(products: DataFrame, prints: DataFrame, *, regional: bool = False) -> DataFrame:
+    """product_id, print_id, method, confidence: a feed's products matched with the prints of their sets.
+
+    products: product_id, set_id, number, rarity, name; prints: print_id, set_id, number, rarity, name, alt_art (whether
+    it has another artwork's code). By number (70); products of one number and rarity go by the print's name, else by
+    their artwork (65); products whose number gives nothing by the only print of their name (40). Where numbers have
+    regions (`regional`), regional prints that no number claimed take the product of their name and rarity, or that of their card's
+    English print (60). A print whose best products tie has none. Names and numbers are compared by their keys.
+    """
+    # Keyed once, as names go through Python; the rules below read the saved rows.
+    steps = Steps(products.sparkSession, "match-group")
+    a, b = steps.save(_keyed(products)), steps.save(_keyed(prints))
+    hits = steps.save(numbered_prints(a, b, regional))
+    family = F.when(F.lit(regional) & c("number").isNotNull(), F.to_json(F.struct("set_id", "number", "_rarity"))).otherwise(F.concat(F.lit("p"), c("product_id").cast("string")))
+    kin = a.select("product_id", family.alias("_family"), c("name").alias("_product_name"), c("_name").alias("_product_key"))
+    sizes = kin.groupBy("_family").agg(F.count("*").alias("_size"))
+    claimed = hits.join(kin, "product_id").join(sizes, "_family").join(b.select("print_id", "_name", "alt_art"), "print_id")
+    lone = claimed.where("_size = 1")
+    many = claimed.where("_size > 1").withColumn("_named", F.coalesce(c("_product_key") == c("_name"), F.lit(False)))
+    many = many.withColumn("_n", F.count_if("_named").over(Window.partitionBy("_family", "print_id")))
+    own = many.where("_named AND _n = 1")
+    # A print takes one product of its family.
+    open_ = many.where("_n != 1").select(F.col("print_id").alias("key"), c("product_id").alias("product"), c("_product_name").alias("name"), "alt_art")
+    drawn = pick_artwork(open_).select(c("key").alias("print_id"), c("product").alias("product_id"))
+    named = b.groupBy("set_id", "_name").agg(F.min("print_id").alias("print_id"), F.count("*").alias("_n")).where("_n = 1")
+    by_name = a.join(hits, "product_id", "left_anti").join(named, ["set_id", "_name"])
+    found = [_claims(lone, "number"), _claims(own, "number"), _claims(drawn, "artwork"), _claims(by_name, "name")]
+    if regional:
+        numbers = steps.save(reduce(DataFrame.unionByName, found[:3]))
+        found.append(_claims(regional_products(a, b, numbers), "region"))
+    return best_unambiguous(reduce(DataFrame.unionByName, found), ["print_id"])
+
+
+def regional_products(products: DataFrame, prints: DataFrame, numbers: DataFrame) -> DataFrame:
+    """product_id, print_id: of the regional prints (E053, 053, A053) that no number claimed. products and prints are keyed, numbers the claims so far."""
+    w = Window.partitionBy("print_id")
+    rest = prints.where(c("_own").rlike("^(A|E|AE)?[0-9]")).join(numbers.select("print_id").distinct(), "print_id", "left_anti")
+    offered = products.where("rarity IS NOT NULL").select("product_id", "set_id", "_name", "_rarity", c("_own").alias("_theirs"), c("name").alias("_product_name"))
+    fit = rest.join(offered, ["set_id", "_name", "_rarity"]).withColumn("_n", F.count("*").over(w)).where((c("_n") == 1) | c("_theirs").startswith("EN"))
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    fit = fit.withColumn("_n", F.count("*").over(w)).where((c("_n") == 1) | (digits(c("_theirs")) == digits(c("_own")))).withColumn("_n", F.count("*").over(w))
+    several = fit.where("_n > 1").select(c("print_id").alias("key"), c("product_id").alias("product"), c("_product_name").alias("name"), "alt_art")
+    direct = fit.where("_n = 1").select("product_id", "print_id").unionByName(pick_artwork(several).select(c("product").alias("product_id"), c("key").alias("print_id")))
+    # What no product fits goes by its card's English print.
+    english = numbers.where(c("method") == "number").join(prints.where(c("_own").startswith("EN")), "print_id")
+    sibling = english.groupBy("set_id", "_name", "_rarity").agg(F.min("product_id").alias("product_id"), F.max("product_id").alias("_last")).where("product_id = _last")
+    by_sibling = rest.join(fit.select("print_id").distinct(), "print_id", "left_anti").join(sibling, ["set_id", "_name", "_rarity"])
+    return direct.unionByName(by_sibling.select("product_id", "print_id"))
 
 
 def next_mappings(held: DataFrame, matches: DataFrame, feed: DataFrame, products: DataFrame) -> DataFrame:

@@ -192,3 +192,83 @@ def most_faces(spark: SparkSession, d: str) -> DataFrame:
     n = c("l_quantity").cast("int")
     best = F.max_by(F.struct("l_linenumber", n.alias("n_faces")), F.struct(n, -c("l_linenumber")))
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.*")
+
+
+#: Parts as products and prints of regional sets; artworks, misprinted names and other regions' numbers among them.
+_GROUP = """
+products AS (SELECT p_partkey AS product_id, p_brand AS set_id, 'B-EN' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS number, CASE WHEN p_partkey % 11 = 0 THEN 'Common' ELSE p_type END AS rarity,
+  p_name || CASE p_partkey % 13 WHEN 1 THEN ' (Original Artwork)' WHEN 2 THEN ' (New Artwork)' ELSE '' END AS name FROM part WHERE p_partkey % 6 <> 5),
+prints AS (SELECT p_partkey AS print_id, p_brand AS set_id, 'B-' || CASE p_partkey % 4 WHEN 0 THEN 'E' WHEN 1 THEN '' ELSE 'EN' END || lpad(CAST(CASE WHEN p_partkey % 4 < 2 THEN (p_size + 3) % 50 ELSE p_size END AS VARCHAR), 3, '0') AS number,
+  p_type AS rarity, CASE WHEN p_partkey % 9 = 4 THEN p_name || ' x' ELSE p_name END AS name, p_partkey % 5 = 0 AS alt_art FROM part WHERE p_partkey % 7 <> 6),
+pr AS (SELECT *, split_part(number, '-', 2) AS own, regexp_replace(regexp_replace(lower(split_part(number, '-', 2)), '^[a-z]{1,2}([0-9])', '\\1'), '^0+([0-9a-z])', '\\1') AS nkey, lower(regexp_replace(rarity, ' ', '')) AS rkey,
+  regexp_replace(lower(regexp_replace(name, ' \\((Original|New) Artwork\\)$', '')), '[^a-z0-9]', '', 'g') AS nname FROM products),
+pt AS (SELECT *, split_part(number, '-', 2) AS own, regexp_replace(regexp_replace(lower(split_part(number, '-', 2)), '^[a-z]{1,2}([0-9])', '\\1'), '^0+([0-9a-z])', '\\1') AS nkey, lower(regexp_replace(rarity, ' ', '')) AS rkey, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS nname FROM prints),
+c0 AS (SELECT product_id, print_id, pt.own, pr.own = pt.own AS exact, pr.rkey = pt.rkey AS alike FROM pr JOIN pt USING (set_id, nkey)),
+c1 AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE exact) OVER w AS k FROM c0 WINDOW w AS (PARTITION BY product_id)) WHERE n = 1 OR k = 0 OR exact),
+c2 AS (SELECT * EXCLUDE (n, k) FROM (SELECT * EXCLUDE (n), count(*) OVER (PARTITION BY product_id) AS n FROM c1) WHERE n = 1 OR alike),
+hits AS (SELECT product_id, print_id FROM (SELECT *, count(*) OVER w AS n, min(own) OVER w AS lo, max(own) OVER w AS hi FROM c2 WINDOW w AS (PARTITION BY product_id)) WHERE n = 1 OR lo = hi),
+kin AS (SELECT *, count(*) OVER (PARTITION BY set_id, number, rkey) AS size FROM pr),
+claimed AS (SELECT h.product_id, h.print_id, k.set_id, k.number, k.rkey, k.size, k.name AS pname, k.nname = t.nname AS named, t.alt_art FROM hits h JOIN kin k USING (product_id) JOIN pt t USING (print_id)),
+many AS (SELECT *, count(*) FILTER (WHERE named) OVER (PARTITION BY set_id, number, rkey, print_id) AS n FROM claimed WHERE size > 1),
+art_in AS (SELECT 'f' AS kind, print_id, product_id, pname, alt_art FROM many WHERE n <> 1),
+numbers0 AS (SELECT product_id, print_id FROM claimed WHERE size = 1 UNION ALL SELECT product_id, print_id FROM many WHERE named AND n = 1),
+%ART(art_in, drawn)%,
+numbers AS (SELECT * FROM numbers0 UNION ALL SELECT product_id, print_id FROM drawn),
+by_name AS (SELECT product_id, o.print_id FROM pr JOIN (SELECT set_id, nname, min(print_id) AS print_id FROM pt GROUP BY 1, 2 HAVING count(*) = 1) o USING (set_id, nname) WHERE product_id NOT IN (SELECT product_id FROM hits)),
+rest AS (SELECT * FROM pt WHERE regexp_matches(own, '^(A|E|AE)?[0-9]') AND print_id NOT IN (SELECT print_id FROM numbers)),
+f0 AS (SELECT rest.print_id, pr.product_id, pr.name AS pname, rest.alt_art, pr.own AS theirs, rest.own, count(*) OVER (PARTITION BY print_id) AS n FROM rest JOIN pr ON pr.set_id = rest.set_id AND pr.nname = rest.nname AND pr.rkey = rest.rkey),
+f1 AS (SELECT * EXCLUDE (n), count(*) OVER (PARTITION BY print_id) AS n FROM f0 WHERE n = 1 OR starts_with(theirs, 'EN')),
+f2 AS (SELECT * EXCLUDE (n), count(*) OVER (PARTITION BY print_id) AS n FROM f1 WHERE n = 1 OR regexp_replace(theirs, '[^0-9]', '', 'g') = regexp_replace(own, '[^0-9]', '', 'g')),
+art_region AS (SELECT 'r' AS kind, print_id, product_id, pname, alt_art FROM f2 WHERE n > 1),
+%ART(art_region, drawn_region)%,
+sibling AS (SELECT set_id, nname, rkey, min(numbers0.product_id) AS product_id FROM numbers0 JOIN pt USING (print_id) WHERE starts_with(own, 'EN') GROUP BY 1, 2, 3 HAVING count(DISTINCT numbers0.product_id) = 1),
+region AS (SELECT product_id, print_id FROM f2 WHERE n = 1 UNION ALL SELECT product_id, print_id FROM drawn_region
+  UNION ALL SELECT product_id, print_id FROM rest JOIN sibling USING (set_id, nname, rkey) WHERE print_id NOT IN (SELECT print_id FROM f2)),
+claims AS (SELECT product_id, print_id, 'number' AS method, 70 AS confidence FROM numbers0 UNION ALL SELECT product_id, print_id, 'artwork', 65 FROM drawn UNION ALL SELECT product_id, print_id, 'region', 60 FROM region UNION ALL SELECT product_id, print_id, 'name', 40 FROM by_name),
+best AS (SELECT *, max(confidence) OVER (PARTITION BY print_id) AS top FROM claims),
+sole AS (SELECT *, count(*) OVER (PARTITION BY print_id) AS n FROM best WHERE confidence = top)"""
+
+
+def _picked(source: str, name: str) -> str:
+    """The artwork rule in SQL, over rows of kind, print_id, product_id, pname, alt_art."""
+    suffix, original = "regexp_matches(pname, ' \\((Original|New) Artwork\\)$')", "pname LIKE '% (Original Artwork)'"
+    return f"""{name} AS (SELECT print_id, product_id FROM (
+  SELECT print_id, CASE WHEN bool_or(alt_art) AND count(*) FILTER (WHERE {suffix} AND NOT {original}) > 0
+    THEN CASE WHEN count(*) FILTER (WHERE {suffix} AND NOT {original}) = 1 THEN min(product_id) FILTER (WHERE {suffix} AND NOT {original}) END
+    ELSE arg_min(product_id, (CASE WHEN {original} THEN 0 WHEN NOT {suffix} THEN 1 ELSE 2 END, product_id)) END AS product_id
+  FROM {source} GROUP BY print_id
+  HAVING count(*) > 1 AND count(*) FILTER (WHERE NOT {suffix}) < 2 AND count(DISTINCT lower(regexp_replace(pname, ' \\((Original|New) Artwork\\)$', ''))) = 1) WHERE product_id IS NOT NULL)"""
+
+
+_GROUP = _GROUP.replace("%ART(art_in, drawn)%", _picked("art_in", "drawn")).replace("%ART(art_region, drawn_region)%", _picked("art_region", "drawn_region"))
+
+
+@query(f"WITH {_GROUP} SELECT product_id, print_id, method, confidence FROM sole WHERE n = 1")
+def import_group(spark: SparkSession, d: str) -> DataFrame:
+    """Products of regional sets matched by number, name, artwork and region, with the confidence of each."""
+    i, three = c("p_partkey"), lambda x: F.lpad(x.cast("string"), 3, "0")
+    part = table(spark, d, "part")
+    suffix = F.when(i % 13 == 1, " (Original Artwork)").when(i % 13 == 2, " (New Artwork)").otherwise("")
+    products = part.where(i % 6 != 5).select(i.alias("product_id"), c("p_brand").alias("set_id"), F.concat(F.lit("B-EN"), three(c("p_size"))).alias("number"), F.when(i % 11 == 0, "Common").otherwise(c("p_type")).alias("rarity"), F.concat("p_name", suffix).alias("name"))
+    region = F.when(i % 4 == 0, "E").when(i % 4 == 1, "").otherwise("EN")
+    number = F.concat(F.lit("B-"), region, three(F.when(i % 4 < 2, (c("p_size") + 3) % 50).otherwise(c("p_size"))))
+    name = F.when(i % 9 == 4, F.concat("p_name", F.lit(" x"))).otherwise(c("p_name"))
+    prints = part.where(i % 7 != 6).select(i.alias("print_id"), c("p_brand").alias("set_id"), number.alias("number"), c("p_type").alias("rarity"), name.alias("name"), (i % 5 == 0).alias("alt_art"))
+    return imports.match_group(products, prints, regional=True)
+
+
+@query("""
+WITH prints AS (SELECT p_partkey AS print_id, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey // 2 END AS external_id, CASE WHEN p_partkey % 10 = 1 THEN p_partkey // 2 + 5 END AS etched_id,
+  CASE p_partkey % 4 WHEN 0 THEN ['nonfoil'] WHEN 1 THEN ['foil'] WHEN 2 THEN ['nonfoil', 'foil'] ELSE ['foil', 'etched'] END AS finishes FROM part),
+named AS (SELECT product_id, print_id, max(printing) AS printing FROM (SELECT external_id AS product_id, print_id, NULL AS printing FROM prints WHERE external_id IS NOT NULL UNION ALL SELECT etched_id, print_id, 'etched' FROM prints WHERE etched_id IS NOT NULL) GROUP BY 1, 2),
+holders AS (SELECT product_id, count(*) AS n, min(print_id) AS print_id, max(printing) AS printing FROM named GROUP BY 1),
+split AS (SELECT external_id AS product_id, printing, min(print_id) AS print_id FROM (SELECT external_id, print_id, unnest(finishes) AS printing FROM prints) WHERE external_id IN (SELECT product_id FROM holders WHERE n > 1 AND printing IS NULL) GROUP BY 1, 2 HAVING count(*) = 1),
+claims AS (SELECT product_id, print_id, printing FROM holders WHERE n = 1 UNION ALL SELECT product_id, print_id, printing FROM split)
+SELECT min(product_id) AS product_id, print_id, printing, 100 AS confidence FROM claims WHERE product_id IN (SELECT p_partkey FROM part) GROUP BY print_id, printing HAVING count(*) = 1""")
+def import_by_printing(spark: SparkSession, d: str) -> DataFrame:
+    """Products that several prints name go by the finishes that only one of them has."""
+    i, part = c("p_partkey"), table(spark, d, "part")
+    half = F.floor(i / 2).cast("long")
+    finishes = F.when(i % 4 == 0, F.array(F.lit("nonfoil"))).when(i % 4 == 1, F.array(F.lit("foil"))).when(i % 4 == 2, F.array(F.lit("nonfoil"), F.lit("foil"))).otherwise(F.array(F.lit("foil"), F.lit("etched")))
+    prints = part.select(i.alias("print_id"), F.when(i % 3 != 0, half).alias("external_id"), F.when(i % 10 == 1, half + 5).alias("etched_id"), finishes.alias("finishes"))
+    return imports.by_printing(part.select(i.alias("product_id")), prints).drop("method")
