@@ -128,3 +128,127 @@ def backfill_days(spark: SparkSession, d: str) -> DataFrame:
     landed = days.where("NOT (day >= DATE'2000-08-10' AND day < DATE'2000-08-20')")
     done = spine.where(F.dayofmonth("day") <= 2)
     return feeds.backfill_days(spine, landed, done, 6).select(c("day").cast("string").alias("day"))
+
+
+#: The price to show for a print, in German and euros, as the set page has it.
+_SHOWN = """
+shown AS (SELECT DISTINCT ON (p.id) p.id, r.cents_market AS cents, r.source FROM prints p JOIN prices r ON r.print_id = p.id
+  ORDER BY p.id, CASE WHEN r.finish = CASE WHEN list_contains(p.finishes, 'normal') THEN 'normal' ELSE 'foil' END THEN 1 WHEN list_contains(p.finishes, r.finish) THEN 1 + list_position(p.finishes, r.finish) ELSE 1001 END, r.finish,
+    CASE r.lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, CASE r.source WHEN 'cardmarket' THEN 0 WHEN 'tcgplayer' THEN 1 ELSE 2 END, r.lang)"""
+
+
+@query(f"""
+WITH {_SETS}, {_PRINTS}, {_PRICES}, {_SHOWN}
+SELECT p.id, s.code AS set_code, s.name AS set_name, p.number, CASE WHEN p.id % 3 = 0 THEN reverse(p.card_name) END AS german, h.cents, h.source
+FROM prints p JOIN sets s ON s.id = p.set_id LEFT JOIN shown h ON h.id = p.id WHERE p.card_id = 9""")
+def catalog_card_prints(spark: SparkSession, d: str) -> DataFrame:
+    """A card's prints with their sets, localizations and prices."""
+    rows = q.card_prints(shop(spark, d), 9, lang="de", currency="EUR")
+    german = F.get(F.filter("localizations", lambda x: x["lang"] == "de"), F.lit(0))["name"]
+    return rows.select("id", "set_code", "set_name", "number", german.alias("german"), *(c("market")[x].alias(x) for x in ("cents", "source")))
+
+
+@query(rf"""
+WITH {_SETS}, {_PRINTS}, {_PRICES}, {_SHOWN},
+texts AS (SELECT p.id, 'en' AS lang, p_name AS name, concat_ws(' ', p_name, p_type, p_brand) AS body FROM prints p JOIN part ON p_partkey = card_id
+  UNION ALL SELECT p.id, 'de', reverse(card_name), reverse(card_name) FROM prints p WHERE p.id % 3 = 0),
+words AS (SELECT id, lang, regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}]+') AS n, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM texts),
+hits AS (SELECT id, lang, CASE WHEN (list_contains(n, 'red') AND len(list_filter(n, lambda x: starts_with(x, 'ri'))) > 0) OR list_contains(n, 'deeps') OR (list_contains(n, 'der') AND NOT list_contains(n, 'gnir')) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+    + round(len(list_filter(w, lambda x: starts_with(x, 'red') OR starts_with(x, 'ri') OR starts_with(x, 'der') OR starts_with(x, 'deeps'))) / greatest(len(w), 1), 6) AS rank FROM words
+  WHERE list_contains(w, 'deeps') OR (list_contains(w, 'der') AND NOT list_contains(w, 'gnir')) OR (list_contains(w, 'red') AND len(list_filter(w, lambda x: starts_with(x, 'ri'))) > 0)),
+best AS (SELECT id, max(rank) AS rank FROM hits GROUP BY 1),
+langs AS (SELECT h.id, list_sort(list(DISTINCT h.lang)) AS langs FROM hits h JOIN best b ON b.id = h.id AND b.rank = h.rank GROUP BY 1)
+SELECT p.id, round(b.rank, 6) AS rank, s.code AS set_code, CASE WHEN list_contains(l.langs, 'de') THEN 'de' ELSE 'en' END AS lang, CASE WHEN list_contains(l.langs, 'de') AND p.id % 3 = 0 THEN reverse(p.card_name) ELSE p.card_name END AS name, h.cents, h.source
+FROM best b JOIN langs l USING (id) JOIN prints p USING (id) JOIN sets s ON s.id = p.set_id LEFT JOIN shown h USING (id)
+ORDER BY b.rank DESC, p.card_name, s.released_on DESC NULLS LAST, s.code, CAST(p.number AS INTEGER), p.number, p.id LIMIT 60""")
+def catalog_search(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of a search with alternatives, a negated word and a prefix, over names in two languages, types and texts."""
+    k = shop(spark, d)
+    k.prints = k.prints.withColumn("variant", F.lpad(c("id").cast("string"), 12, "0"))
+    page = q.search_prints(k, "deeps or der -gnir or red ri", lang="de", currency="EUR")
+    return page.select("id", F.round("rank", 6).alias("rank"), "set_code", "lang", "name", *(c("market")[x].alias(x) for x in ("cents", "source")))
+
+
+_DAILY = """
+daily AS (SELECT l_partkey AS print_id, CASE l_returnflag WHEN 'A' THEN 'foil' ELSE 'normal' END AS finish, CASE WHEN l_linenumber <= 3 THEN 'cardmarket' ELSE 'tcgplayer' END AS source, CASE WHEN l_linenumber <= 3 THEN 'EUR' ELSE 'USD' END AS currency,
+  CASE WHEN l_tax < 0.03 THEN 'de' WHEN l_tax < 0.06 THEN 'en' ELSE 'fr' END AS lang, CAST(l_shipdate AS DATE) AS day, CAST(max(floor(l_extendedprice * 100 + 0.5)) AS BIGINT) AS market FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6)"""
+
+
+@query(f"""
+WITH {_DAILY}, one AS (SELECT DISTINCT ON (print_id, source, finish, day) * FROM daily WHERE day >= DATE '2001-06-30' - 900 ORDER BY print_id, source, finish, day, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, lang),
+placed AS (SELECT *, row_number() OVER (PARTITION BY print_id, source, finish, currency, CASE WHEN DATE '2001-06-30' - day <= 180 THEN 'd' || (day - DATE '1970-01-01') ELSE 'w' || ((day - DATE '1970-01-01') + 3) // 7 END ORDER BY day DESC) AS nth FROM one)
+SELECT print_id, source, finish, currency, lang, CAST(day AS VARCHAR) AS day, market FROM placed WHERE nth = 1""")
+def catalog_price_history(spark: SparkSession, d: str) -> DataFrame:
+    """Price series of all prints: daily for half a year, weekly before."""
+    n = c("l_linenumber")
+    lang = F.when(c("l_tax") < 0.03, "de").when(c("l_tax") < 0.06, "en").otherwise("fr")
+    keys = [
+        c("l_partkey").alias("print_id"), F.when(c("l_returnflag") == "A", "foil").otherwise("normal").alias("finish"), F.when(n <= 3, "cardmarket").otherwise("tcgplayer").alias("source"),
+        F.when(n <= 3, "EUR").otherwise("USD").alias("currency"), lang.alias("lang"), c("l_shipdate").alias("observed_at"),
+    ]
+    daily = table(spark, d, "lineitem").groupBy(*keys).agg(F.max(F.floor(c("l_extendedprice") * 100 + 0.5)).cast("long").alias("market"))
+    return q.price_history(daily, lang="de", today="2001-06-30", days=900).select("print_id", "source", "finish", "currency", "lang", c("day").cast("string").alias("day"), "market")
+
+
+@query("""
+WITH cards AS (SELECT p_partkey AS card_id, CASE p_size % 4 WHEN 0 THEN 'Forbidden' WHEN 1 THEN 'Limited' WHEN 2 THEN 'Legal' END AS status FROM part),
+changes AS (SELECT l_partkey AS card_id, max(l_shipdate) AS changed FROM lineitem WHERE l_linenumber <= 2 AND l_shipdate >= TIMESTAMP '2000-06-01'
+  AND coalesce(CASE l_returnflag WHEN 'A' THEN 'Limited' WHEN 'R' THEN NULL ELSE 'Forbidden' END, 'Unlimited') <> CASE l_linestatus WHEN 'O' THEN 'Limited' ELSE 'Unlimited' END GROUP BY 1),
+held AS (SELECT o_custkey % 50 AS owner, p_partkey AS card_id, CAST(sum(1 + o_orderkey % 3) AS BIGINT) AS copies FROM orders JOIN part ON p_partkey = (o_orderkey % (SELECT 2 * max(p_partkey) FROM part) + 2) // 2 GROUP BY 1, 2),
+used AS (SELECT l_suppkey AS owner, l_partkey AS card_id, CAST(sum(1 + l_linenumber % 3) AS BIGINT) AS copies FROM lineitem GROUP BY 1, 2),
+allowed AS (SELECT card_id, CASE status WHEN 'Forbidden' THEN 0 WHEN 'Limited' THEN 1 WHEN 'Legal' THEN 3 END AS allowed FROM cards)
+SELECT 'collection' AS kind, owner, card_id, copies, allowed, CAST(CAST(changed AS DATE) AS VARCHAR) AS changed FROM held JOIN changes USING (card_id) JOIN allowed USING (card_id)
+UNION ALL SELECT 'deck', owner, card_id, copies, allowed, CAST(CAST(changed AS DATE) AS VARCHAR) FROM used JOIN allowed USING (card_id) LEFT JOIN changes USING (card_id) WHERE changed IS NOT NULL OR copies > allowed""")
+def catalog_ban_impact(spark: SparkSession, d: str) -> DataFrame:
+    """Owned cards with a change of their status, and deck cards with one or over the limit."""
+    k, lines, n = shop(spark, d), table(spark, d, "lineitem"), c("l_linenumber")
+    from_status = F.when(c("l_returnflag") == "A", "Limited").when(c("l_returnflag") != "R", "Forbidden")
+    changes = lines.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), c("l_partkey").alias("card_id"), F.when(n <= 2, "goat").otherwise("other").alias("format"), from_status.alias("from_status"),
+        F.when(c("l_linestatus") == "O", "Limited").otherwise("Unlimited").alias("to_status"), c("l_shipdate").cast("timestamp").alias("seen_at"),
+    )
+    most = table(spark, d, "part").agg(2 * F.max("p_partkey")).first()[0]
+    collection = table(spark, d, "orders").select((c("o_custkey") % 50).alias("user_id"), (c("o_orderkey") % most + 2).alias("print_id"), (1 + c("o_orderkey") % 3).alias("quantity"))
+    decks = lines.select(c("l_suppkey").alias("deck_id"), c("l_partkey").alias("card_id"), (1 + n % 3).alias("quantity"))
+    rows = q.banlist_impact(k.cards, changes, collection, k.prints, decks, "goat", "2000-06-01")
+    return rows.select("kind", "owner", "card_id", "copies", "allowed", F.to_date("changed").cast("string").alias("changed"))
+
+
+_DECKS = "decks AS (SELECT l_suppkey AS deck_id, l_partkey AS card_id, CASE l_returnflag WHEN 'A' THEN 'main' WHEN 'R' THEN 'side' ELSE 'attic' END AS zone, 1 + l_linenumber % 3 AS quantity FROM lineitem)"
+
+
+@query(f"""
+WITH {_DECKS}, cards AS (SELECT decks.*, p_name AS name FROM decks JOIN part ON p_partkey = card_id),
+ids AS (SELECT DISTINCT deck_id FROM cards), zones(zone, least, most) AS (VALUES ('main', 60, 60), ('side', NULL, 15), ('extra', 1, NULL)),
+counts AS (SELECT deck_id, zone, sum(quantity) AS n FROM cards GROUP BY 1, 2),
+sizes AS (SELECT i.deck_id, z.zone AS name, coalesce(n, 0) AS n, least, most FROM ids i, zones z LEFT JOIN counts k ON k.deck_id = i.deck_id AND k.zone = z.zone)
+SELECT deck_id, CASE WHEN least = most THEN 'wrong_size' WHEN n < least THEN 'too_few' ELSE 'too_many' END AS code, name, CAST(n AS BIGINT) AS n FROM sizes WHERE CASE WHEN least = most THEN n <> least WHEN n < least THEN true ELSE n > most END
+UNION ALL SELECT deck_id, 'wrong_zone', name, CAST(sum(quantity) AS BIGINT) FROM cards WHERE zone = 'attic' GROUP BY 1, 3
+UNION ALL SELECT deck_id, 'too_many_copies', name, CAST(sum(quantity) AS BIGINT) FROM cards GROUP BY 1, 3 HAVING sum(quantity) > 4""")
+def catalog_deck_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with every deck: sizes of zones, strange zones, too many copies of a name."""
+    k, zones = shop(spark, d), spark.createDataFrame([("main", 60, 60), ("side", None, 15), ("extra", 1, None)], "zone string, least int, most int")
+    problems, _ = q.deck_analysis(k, decks(spark, d), entries(spark, d), zones, F.lit(4), "EUR")
+    return problems.groupBy("deck_id", "code", "name").agg(F.sum("n").alias("n"))
+
+
+def decks(spark: SparkSession, d: str) -> DataFrame:
+    zone = F.when(c("l_returnflag") == "A", "main").when(c("l_returnflag") == "R", "side").otherwise("attic")
+    return table(spark, d, "lineitem").select(c("l_suppkey").alias("deck_id"), c("l_partkey").alias("card_id"), zone.alias("zone"), (1 + c("l_linenumber") % 3).alias("quantity"))
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    most = table(spark, d, "part").agg(2 * F.max("p_partkey")).first()[0]
+    return table(spark, d, "orders").select((c("o_custkey") % 50).alias("user_id"), (c("o_orderkey") % most + 2).alias("print_id"), F.lit(1).alias("quantity"))
+
+
+@query(f"""
+WITH {_PRINTS}, {_PRICES}, {_DECKS}, need AS (SELECT deck_id, p_name AS name, sum(quantity) AS needed FROM decks JOIN part ON p_partkey = card_id GROUP BY 1, 2),
+have AS (SELECT p_name AS name, count(*) AS owned FROM orders JOIN part ON p_partkey = (o_orderkey % (SELECT 2 * max(p_partkey) FROM part) + 2) // 2 WHERE o_custkey % 50 = 3 GROUP BY 1),
+cheap AS (SELECT DISTINCT ON (card_name) card_name AS name, print_id, cents_market AS market FROM prices JOIN prints ON prints.id = print_id WHERE currency = 'EUR' AND cents_market IS NOT NULL ORDER BY card_name, cents_market, print_id)
+SELECT deck_id, name, CAST(needed AS BIGINT) AS needed, coalesce(owned, 0) AS owned, CAST(needed - coalesce(owned, 0) AS BIGINT) AS missing, print_id, market FROM need LEFT JOIN have USING (name) LEFT JOIN cheap USING (name) WHERE needed > coalesce(owned, 0)""")
+def catalog_deck_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Each deck's cards that one user's collection lacks, with the cheapest print."""
+    k, zones = shop(spark, d), spark.createDataFrame([("main", 60, 60)], "zone string, least int, most int")
+    few = entries(spark, d).where("user_id = 3")
+    return q.deck_analysis(k, decks(spark, d), few, zones, F.lit(4), "EUR")[1].select("deck_id", "name", "needed", "owned", "missing", "print_id", "market")
