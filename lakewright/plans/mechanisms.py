@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakewright.functions import sql, variants
 from lakewright.functions.text import collated
 from lakewright.operators import assign, chunks, feed, hashtree, merge
-from lakewright.sources import feeds
+from lakewright.sources import feeds, paged
 from lakewright.sources.backfill import DayTable
 from lakewright.sources.scratch import scratch
 from lakewright.sources.search_index import SearchIndex
@@ -336,3 +336,18 @@ def locale_order(spark: SparkSession, d: str) -> DataFrame:
     groups = names.groupBy(collated(c("name")).alias("key")).agg(F.count("*").alias("n"), F.min("name").alias("first_by_bytes"))
     # Groups are the different names of a catalog; their places need one order.
     return groups.select("first_by_bytes", "n", F.dense_rank().over(Window.orderBy("key")).alias("place"))
+
+
+@query("SELECT c_custkey, c_name, (c_custkey // 50)::BIGINT AS place FROM customer")
+def paged_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers landed as pages that name each other, read in the order of their links."""
+    customer = table(spark, d, "customer")
+    last = customer.agg(F.max(F.floor(c("c_custkey") / 50))).first()[0]
+    page = F.floor(c("c_custkey") / 50)
+    # Tokens that sort otherwise than the chain goes.
+    token = lambda p: F.concat(F.lit("t"), ((p * 7919) % 100003).cast("string"), F.lit("-"), p.cast("string"))
+    root = f"{scratch(spark, 'paged')}/pages"
+    paged.land(customer, root, F.struct("c_custkey", "c_name"), token(page), F.when(page < last, token(page + 1)))
+    spark.dataSource.register(paged.PagedAnswers)
+    found = spark.read.format("paged").option("path", root).option("first", "t0-0").load()
+    return found.select(F.from_json("record", "c_custkey long, c_name string").alias("r"), "place").select("r.c_custkey", "r.c_name", "place")
