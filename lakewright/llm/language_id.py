@@ -49,12 +49,13 @@ def samples(docs: DataFrame, *, max_sample: int = MAX_SAMPLE, total_bytes: int =
     known = known.select("doc_id", "lang", F.substring("text", 1, MAX_SAMPLE_CHARS).alias("text"))
     # A language has as many texts as ids, so a row that is repeated can't crowd out the others.
     counts = known.groupBy("lang").agg(F.count_distinct("doc_id").alias("n"))
-    languages = counts.count()
-    if not languages:
+    # One row a language, as the dictionaries have.
+    shares = counts.collect()
+    if not shares:
         return {}
-    most = min(DICTS * DICT_BYTES, total_bytes // languages)
+    most = min(DICTS * DICT_BYTES, total_bytes // len(shares))
     at = F.xxhash64("doc_id")
-    drawn = known.join(counts, "lang").where(F.pmod(at, F.lit(1_000_000)) * F.col("n") < max_sample * 1_000_000)
+    drawn = known.join(F.broadcast(docs.sparkSession.createDataFrame(shares, counts.schema)), "lang").where(F.pmod(at, F.lit(1_000_000)) * F.col("n") < max_sample * 1_000_000)
     # Rows of one id count once, so a repeated row can't swell the sample; then each language's first texts, as many as its dictionaries hold.
     one = drawn.groupBy("lang", at.alias("h")).agg(F.min("text").alias("text"))
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
