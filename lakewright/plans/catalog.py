@@ -44,6 +44,14 @@ def name_postings(cards: DataFrame, print_localizations: DataFrame) -> DataFrame
     return search.sized_postings(cards.select("name").unionByName(print_localizations.select("name")).distinct(), "name", "name")
 
 
+def index_rows(k: Catalog) -> DataFrame:
+    """group, key, name, text: the prints of each set with their names in all languages, their types and texts, for a `sources.search_index.SearchIndex`."""
+    names = k.print_localizations.groupBy("print_id").agg(F.concat_ws(" ", F.array_sort(F.collect_set("name"))).alias("_names"), F.concat_ws(" ", F.array_sort(F.collect_set("text"))).alias("_texts"))
+    card = k.cards.select(c("id").alias("card_id"), "name", "type_line", "text")
+    rows = k.prints.select("set_id", c("id").alias("print_id"), "card_id").join(card, "card_id").join(names, "print_id", "left")
+    return rows.select(c("set_id").cast("string").alias("group"), c("print_id").cast("long").alias("key"), F.concat_ws(" ", "name", "_names").alias("name"), F.concat_ws(" ", "type_line", "text", "_texts").alias("text"))
+
+
 def like_names(k: Catalog, typed: str) -> DataFrame:
     """name and similarity of the names that are like a typed one."""
     held = k.postings if k.postings is not None else name_postings(k.cards, k.print_localizations)

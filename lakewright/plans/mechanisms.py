@@ -85,6 +85,18 @@ def index_documents(spark: SparkSession, d: str) -> DataFrame:
     return index.search('"the by" or worthless in')
 
 
+@query(f"""
+WITH {_INDEXED}, q AS (SELECT unnest({_GRAMS.format("'smal rnig'")}) AS gram), p AS (SELECT key, {_GRAMS.format("name")} AS b FROM v),
+n AS (SELECT count(*) AS docs, sum(len(b)) / count(*) AS mean FROM p), hits AS (SELECT key, gram, len(b) AS size FROM (SELECT key, b, unnest(b) AS gram FROM p) WHERE gram IN (SELECT gram FROM q)),
+rare AS (SELECT gram, count(*) AS df FROM hits GROUP BY 1 HAVING count(*) <= greatest(1, (SELECT floor(0.95 * docs) FROM n))),
+top AS (SELECT key FROM (SELECT key, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS s FROM hits JOIN rare USING (gram), n GROUP BY 1) ORDER BY s DESC, key LIMIT 500),
+g AS (SELECT {_GRAMS.format("'smal rnig'")} AS a)
+SELECT key, round({_SIMILARITY.format(a="a", b="b")}, 5) AS similarity FROM top JOIN p USING (key), g WHERE {_SIMILARITY.format(a="a", b="b")} >= 0.3 ORDER BY {_SIMILARITY.format(a="a", b="b")} DESC, key LIMIT 10""")
+def index_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for a misspelt name: candidates by BM25 of informative trigrams, then the most similar ones."""
+    return part_index(spark, d).suggestions("smal rnig", share=0.95).select("key", F.round("similarity", 5).alias("similarity"))
+
+
 _ORDERS = """
 old AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 3),
 new AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 50 = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 97 <> 5)"""

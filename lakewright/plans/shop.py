@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.sources import feeds
+from lakewright.sources.scratch import scratch
+from lakewright.sources.search_index import SearchIndex
 from lakewright.sources.tables import table
 
 from . import catalog as q
@@ -169,6 +171,18 @@ def catalog_search(spark: SparkSession, d: str) -> DataFrame:
     return page.select("id", F.round("rank", 6).alias("rank"), "set_code", "lang", "name", *(c("market")[x].alias(x) for x in ("cents", "source")))
 
 
+@query(rf"""
+WITH {_PRINTS}, words AS (SELECT p.id, regexp_extract_all(lower(concat_ws(' ', p_name, CASE WHEN p.id % 3 = 0 THEN reverse(p_name) END, p_type, p_brand)), '[\p{{L}}\p{{N}}]+') AS w FROM prints p JOIN part ON p_partkey = card_id WHERE p.set_id <> 4)
+SELECT id FROM words WHERE list_contains(w, 'deeps') OR (list_contains(w, 'der') AND NOT list_contains(w, 'gnir')) OR contains(' ' || array_to_string(w, ' ') || ' ', ' red ring ')""")
+def catalog_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog's search index, set by set; one set goes, then a search from the lists of words and positions."""
+    rows = q.index_rows(shop(spark, d))
+    index = SearchIndex(spark, scratch(spark, "catalog-index"))
+    index.refresh(rows)
+    index.refresh(rows.where("group != '4'"))
+    return index.search('deeps or der -gnir or "red ring"').select(c("key").alias("id"))
+
+
 _DAILY = """
 daily AS (SELECT l_partkey AS print_id, CASE l_returnflag WHEN 'A' THEN 'foil' ELSE 'normal' END AS finish, CASE WHEN l_linenumber <= 3 THEN 'cardmarket' ELSE 'tcgplayer' END AS source, CASE WHEN l_linenumber <= 3 THEN 'EUR' ELSE 'USD' END AS currency,
   CASE WHEN l_tax < 0.03 THEN 'de' WHEN l_tax < 0.06 THEN 'en' ELSE 'fr' END AS lang, CAST(l_shipdate AS DATE) AS day, CAST(max(floor(l_extendedprice * 100 + 0.5)) AS BIGINT) AS market FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6)"""

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions.values import csv_line
-from lakewright.operators.merge import apply_delta, delta
+from lakewright.operators import hashtree
+from lakewright.operators.merge import apply_delta
 
 MAX_DELTAS = 30
+#: The column by which published tables are stored: the leaf of their hash tree.
+LEAF = "_leaf"
 
 
 def write_csv(df: DataFrame, path: str, order: list[Column]) -> None:
@@ -79,7 +82,11 @@ def unnamed(names: list[str], manifest: Manifest, previous: Manifest | None) ->
 
 
 class Snapshots:
-    """Versions of a set of tables below one folder, on whatever file system Spark reads."""
+    """Versions of a set of tables below one folder, on whatever file system Spark reads.
+
+    A table is stored by the leaves of a hash tree over its keys, with the tree beside it, so a delta reads only where two
+    versions differ. Columns may hold maps. An empty table has no file and can't be published.
+    """
 
     def __init__(self, spark: SparkSession, root: str, keys: dict[str, list[str]], schema: int = 1):
         self.spark, self.root, self.keys, self.schema = spark, root.rstrip("/"), keys, schema
@@ -100,7 +107,29 @@ class Snapshots:
         return Manifest(j["version"], j["schema"], [tuple(x) for x in j["deltas"]])
 
     def read(self, name: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{table}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{table}").drop(LEAF)
+
+    def _tree(self, version: int, table: str) -> tuple[DataFrame, int]:
+        held = self.spark.read.parquet(f"{self.root}/v{version}/{table}-tree").cache()
+        return held, held.agg(F.max("level")).first()[0] or hashtree.DEPTH
+
+    def _write(self, version: int, table: str, df: DataFrame, base: int | None) -> None:
+        """A table by the leaves of its hash tree, and the tree; a version after another keeps its leaves."""
+        keys, at = self.keys[table], f"{self.root}/v{version}/{table}"
+        depth = self._tree(base, table)[1] if base is not None else hashtree.depth_for(df.count())
+        marked = df.withColumn(LEAF, hashtree.leaf(keys, depth))
+        # Ranges of leaves and keys, so that a large leaf is several files.
+        marked.repartitionByRange(LEAF, *keys).sortWithinPartitions(LEAF, *keys).write.mode("overwrite").partitionBy(LEAF).parquet(at)
+        hashtree.tree(self.read(f"v{version}", table), keys, depth).coalesce(1).write.mode("overwrite").parquet(f"{at}-tree")
+
+    def _delta(self, base: int, version: int, table: str) -> DataFrame:
+        """What turns one version into the next, from the leaves in which their trees differ."""
+        (old_tree, depth), (new_tree, _) = self._tree(base, table), self._tree(version, table)
+        stored = [self.spark.read.parquet(f"{self.root}/v{v}/{table}") for v in (base, version)]
+        change = hashtree.tree_delta(*stored, old_tree, new_tree, self.keys[table], depth=depth, leaf_column=LEAF)
+        old_tree.unpersist()
+        new_tree.unpersist()
+        return change
 
     def publish(self, version: int, tables: dict[str, DataFrame]) -> bool:
         """Writes a version, its delta from the published one, then the manifest; False if it is published already."""
@@ -109,11 +138,10 @@ class Snapshots:
         if skip:
             return False
         for name, df in tables.items():
-            df.repartitionByRange(*self.keys[name]).sortWithinPartitions(*self.keys[name]).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
+            self._write(version, name, df, base)
         if base is not None:
             for name in tables:
-                change = delta(self.read(f"v{base}", name), self.read(f"v{version}", name), self.keys[name])
-                change.write.mode("overwrite").parquet(f"{self.root}/v{base}-v{version}/{name}")
+                self._delta(base, version, name).write.mode("overwrite").parquet(f"{self.root}/v{base}-v{version}/{name}")
         now = next_manifest(before, version, self.schema, base)
         self.spark.createDataFrame([(json.dumps(asdict(now)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest")
         for name in unnamed(self.names(), now, before):

@@ -173,6 +173,7 @@ class SearchIndex:
         """key, similarity: the best of the candidates that share informative trigrams with a typed name, by BM25 of the trigrams.
 
         A gram that more than a share of the names have looks for no candidates; only candidates are compared, `limit` come out.
+        Scores are rounded, so that the order in which they are added up decides nothing.
         `similar` is the exact way.
         """
         asked = self.spark.range(1).select(F.explode(trigrams(F.lit(typed))).alias("gram"))
@@ -181,6 +182,6 @@ class SearchIndex:
         docs, mean = totals["n"] or 0, (totals["grams"] or 1) / (totals["n"] or 1) or 1.0
         rare = hits.groupBy("gram").agg(F.count("*").alias("df")).where(c("df") <= max(1, int(share * docs)))
         weight = F.log(1 + (docs - c("df") + 0.5) / (c("df") + 0.5)) * (K1 + 1) / (1 + K1 * (1 - B + B * c("size") / mean))
-        top = hits.join(F.broadcast(rare), "gram").groupBy("key").agg(F.sum(weight).alias("_s")).orderBy(F.desc("_s"), "key").limit(candidates)
+        top = hits.join(F.broadcast(rare), "gram").groupBy("key").agg(F.round(F.sum(weight), 6).alias("_s")).orderBy(F.desc("_s"), "key").limit(candidates)
         best = self.similar(typed).join(F.broadcast(top.select("key")), "key")
         return best.orderBy(F.desc("similarity"), "key").limit(limit)
