@@ -8,7 +8,9 @@ from lakewright.plans import all_queries
 
 QUERIES, _ = all_queries()
 #: They run whole streams.
-STREAMS = {n for n in QUERIES if n.startswith("stream_")}
+STREAMS = {n for n in QUERIES if n.startswith(("stream_", "state_"))}
+#: Wikitext has no parser in Spark.
+PARSERS = {"sql_templates"}
 
 
 def plan(df):
@@ -23,7 +25,7 @@ def plans(spark, sf_dir):
 def test_no_products_and_no_python(plans):
     for name, text in plans.items():
         found = re.findall("CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas|InArrow", text)
-        assert not found, (name, found)
+        assert not found or name in PARSERS, (name, found)
 
 
 @pytest.mark.parametrize("name", ["lateral_top1", "distinct_on", "topn_per_group", "display_price", "last_of_key"])
