@@ -54,3 +54,25 @@ def cards_once(prints: DataFrame, cards: DataFrame) -> DataFrame:
     by_name = alone(open_prints, "print_id").join(alone(rest_cards, "card_id"), "name").join(todo.select("print_id"), "print_id", "left_semi")
     shape = lambda df, rule: df.select("print_id", "card_id", F.lit(rule).alias("rule"))
     return shape(exact, "number").unionByName(shape(by_name, "name"))
+
+
+def match_sets(ours: DataFrame, theirs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """code, set_id, rule: which of their sets is each of ours.
+
+    ours: code, codes, name, released_on; theirs: set_id, code, name, released_on; aliases: code, set_id; names as keys. A set
+    with an alias has that or none. Else the only one of theirs that shares a code and the name; else the only one with
+    a code of ours that no other of ours has; else the only one of the same name and day.
+    """
+    said = aliases.join(theirs.select("set_id"), "set_id", "left_semi").join(ours.select("code"), "code").select("code", "set_id", F.lit(0).alias("_k"), F.lit("alias").alias("rule"))
+    rest = ours.join(aliases.select("code"), "code", "left_anti")
+    coded = rest.select("code", "name", F.explode(F.array_distinct("codes")).alias("_c")).join(theirs.where("code IS NOT NULL").select("set_id", c("code").alias("_c"), c("name").alias("_name")), "_c")
+    holders = ours.select("code", F.explode(F.array_distinct("codes")).alias("_c")).groupBy("_c").agg(F.count("*").alias("_holders"))
+    one = lambda df: df.groupBy("code").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("_last")).where("set_id = _last").drop("_last")
+    by_name = one(coded.where("name = _name"))
+    alone = coded.groupBy("code").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("_last"), F.min("_c").alias("_c")).where("set_id = _last").join(holders.where("_holders = 1"), "_c")
+    dated = one(rest.join(theirs.select("set_id", "name", "released_on"), ["name", "released_on"]))
+    found = [said, *(df.select("code", "set_id", F.lit(k).alias("_k"), F.lit(rule).alias("rule")) for k, rule, df in ((1, "code and name", by_name), (2, "code", alone), (3, "name and day", dated)))]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("code").agg(F.min_by(F.struct("set_id", "rule"), "_k").alias("_m")).select("code", "_m.*")

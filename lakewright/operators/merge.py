@@ -189,3 +189,35 @@ def bump_once(counters: DataFrame, runs: DataFrame, counter: str = "catalog_vers
     # The page is cut before the window, so that its one partition is bounded.
     nth = F.row_number().over(Window.orderBy("run_id"))
     return counters.unionByName(fresh.orderBy("run_id").limit(most).select(F.lit(counter).alias("name"), (F.lit(last) + nth).cast("long").alias("value"), "run_id"))
+
+
+def written_back(rows: DataFrame, jobs: DataFrame, results: DataFrame, gone: DataFrame, rank, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key) and the list of gone sources (url, since) after a run of transfers.
+
+    jobs: id, url; results: url, key (null: nothing stored), status (ok, gone, failed). A row takes the new key unless it
+    has a better one (`rank` maps a key to a number, low is good). A source that is gone is listed from its first time
+    on, one that came leaves the list, a failure changes nothing.
+    """
+    c = F.col
+    stored = results.where("status = 'ok' AND key IS NOT NULL").groupBy("url").agg(F.min("key").alias("_new"))
+    # One job of a row counts, the one with the best picture.
+    best = jobs.select("id", "url").distinct().join(stored, "url").groupBy("id").agg(F.min_by("_new", F.struct(F.coalesce(rank(c("_new")), F.lit(99)), c("_new"))).alias("_new"))
+    worse = lambda x: F.coalesce(rank(x), F.lit(99))
+    taken = c("_new").isNotNull() & (c("key").isNull() | (worse(c("_new")) <= worse(c("key"))))
+    after = rows.join(best, "id", "left").withColumn("key", F.when(taken, c("_new")).otherwise(c("key"))).select(*rows.columns)
+    came, lost = results.where("status = 'ok'").select("url").distinct(), results.where("status = 'gone'").select("url").distinct()
+    fresh = lost.join(came, "url", "left_anti").join(gone, "url", "left_anti").select("url", at.alias("since"))
+    return after, gone.join(came, "url", "left_anti").select("url", "since").unionByName(fresh)
+
+
+def sibling_values(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Rows without a value take that of their first sibling (by an order) that has one; siblings share the keys."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, order).alias("_first"))
+    return rows.join(first, keys, "left").withColumn(value, F.coalesce(value, "_first")).select(*rows.columns)
+
+
+def swapped_keys(rows: DataFrame, key: str, pattern: str, replacement: str, held: DataFrame) -> DataFrame:
+    """Rows whose key, with a pattern replaced, is one of the held keys, take that one."""
+    new = F.regexp_replace(key, pattern, replacement)
+    there = held.select(F.col(key).alias("_there")).distinct()
+    return rows.withColumn("_there", new).join(there.withColumn("_has", F.lit(True)), "_there", "left").withColumn(key, F.when(F.col("_has"), F.col("_there")).otherwise(F.col(key))).select(*rows.columns)

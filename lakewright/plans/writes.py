@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.functions.cards import key_rank
 from lakewright.functions.values import later_than, stable_hash
-from lakewright.operators import merge, snapshot
+from lakewright.operators import assign, merge, snapshot
 from lakewright.sources.tables import table
 
 from .registry import query
@@ -272,3 +273,76 @@ def stable_hashes(spark: SparkSession, d: str) -> DataFrame:
     b = F.create_map(F.lit("p"), c("o_orderpriority"), F.lit("s"), c("o_orderstatus"))
     kinds = table(spark, d, "orders").groupBy(stable_hash(a).alias("a"), stable_hash(b).alias("b")).count()
     return kinds.agg(F.count("*").alias("hashes"), F.bool_and(c("a") == c("b")).alias("order_free"))
+
+
+_OURS = """
+ours AS (SELECT 'S' || c_custkey AS code, ['S' || c_custkey, 'K' || c_custkey % 97] AS codes, c_mktsegment || c_custkey % 60 AS name, DATE '2001-01-01' + CAST(c_custkey % 40 AS INTEGER) AS released_on FROM customer),
+theirs AS (SELECT c_custkey AS set_id, CASE c_custkey % 5 WHEN 0 THEN 'S' || c_custkey WHEN 1 THEN CASE WHEN c_custkey % 97 < 20 THEN 'K' || c_custkey % 97 END WHEN 2 THEN 'S' || (c_custkey + 1) END AS code,
+  CASE WHEN c_custkey % 7 = 1 THEN 'other' ELSE c_mktsegment || c_custkey % 60 END AS name, DATE '2001-01-01' + CAST(c_custkey % 40 AS INTEGER) AS released_on FROM customer WHERE c_custkey % 3 <> 0),
+aliases AS (SELECT 'S' || c_custkey AS code, c_custkey + 4 AS set_id FROM customer WHERE c_custkey % 31 = 2)"""
+
+
+@query(f"""
+WITH {_OURS}, said AS (SELECT code, set_id, 0 AS k, 'alias' AS rule FROM aliases WHERE set_id IN (SELECT set_id FROM theirs) AND code IN (SELECT code FROM ours)),
+rest AS (SELECT * FROM ours WHERE code NOT IN (SELECT code FROM aliases)),
+mine AS (SELECT code, name, unnest(codes) AS c FROM rest), holders AS (SELECT c, count(*) AS n FROM (SELECT unnest(codes) AS c FROM ours) GROUP BY 1),
+coded AS (SELECT m.code, m.name, m.c, t.set_id, t.name AS theirs FROM mine m JOIN theirs t ON t.code = m.c),
+found AS (SELECT * FROM said
+  UNION ALL SELECT code, min(set_id), 1, 'code and name' FROM coded WHERE name = theirs GROUP BY 1 HAVING count(DISTINCT set_id) = 1
+  UNION ALL SELECT code, min(set_id), 2, 'code' FROM coded GROUP BY 1 HAVING count(DISTINCT set_id) = 1 AND (SELECT n FROM holders WHERE holders.c = min(coded.c)) = 1
+  UNION ALL SELECT rest.code, min(set_id), 3, 'name and day' FROM rest JOIN theirs USING (name, released_on) GROUP BY 1 HAVING count(DISTINCT set_id) = 1)
+SELECT code, arg_min(set_id, k) AS set_id, arg_min(rule, k) AS rule FROM found GROUP BY 1""")
+def matched_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of two catalogs matched by alias, code and name, a code of their own, or name and day."""
+    customer, i = table(spark, d, "customer"), c("c_custkey")
+    s, day = lambda x: F.concat(F.lit("S"), x.cast("string")), F.date_add(F.lit("2001-01-01").cast("date"), (i % 40).cast("int"))
+    k, name = F.concat(F.lit("K"), (i % 97).cast("string")), F.concat("c_mktsegment", (i % 60).cast("string"))
+    ours = customer.select(s(i).alias("code"), F.array(s(i), k).alias("codes"), name.alias("name"), day.alias("released_on"))
+    code = F.when(i % 5 == 0, s(i)).when((i % 5 == 1) & (i % 97 < 20), k).when(i % 5 == 2, s(i + 1))
+    theirs = customer.where(i % 3 != 0).select(i.alias("set_id"), code.alias("code"), F.when(i % 7 == 1, "other").otherwise(name).alias("name"), day.alias("released_on"))
+    return assign.match_sets(ours, theirs, customer.where(i % 31 == 2).select(s(i).alias("code"), (i + 4).alias("set_id")))
+
+
+_RUN = """
+held AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'sm.jpg' WHEN 1 THEN 'orig-lowres.jpg' WHEN 2 THEN 'orig.jpg' END AS kind FROM part),
+jobs AS (SELECT p_partkey AS id, p_brand || '-' || p_size AS url FROM part WHERE p_partkey % 3 <> 0),
+results AS (SELECT DISTINCT p_brand || '-' || p_size AS url, CASE p_size % 6 WHEN 0 THEN 'gone' WHEN 1 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN p_size % 6 > 1 THEN CASE p_size % 5 WHEN 0 THEN 'sm-lowres.jpg' ELSE 'orig.jpg' END END AS kind FROM part),
+gone AS (SELECT DISTINCT p_brand || '-' || p_size AS url FROM part WHERE p_size % 5 = 2),
+rank(kind, r) AS (VALUES ('sm.jpg', 0), ('orig.jpg', 1), ('sm-lowres.jpg', 2), ('orig-lowres.jpg', 3))"""
+
+
+@query(f"""
+WITH {_RUN}
+SELECT 'row' AS what, CAST(h.id AS VARCHAR) AS name, CASE WHEN r.kind IS NOT NULL AND (h.kind IS NULL OR n.r <= o.r) THEN r.kind ELSE h.kind END AS value
+FROM held h LEFT JOIN jobs j ON j.id = h.id LEFT JOIN results r ON r.url = j.url AND r.status = 'ok' LEFT JOIN rank n ON n.kind = r.kind LEFT JOIN rank o ON o.kind = h.kind
+UNION ALL SELECT 'gone', url, 'before' FROM gone WHERE url NOT IN (SELECT url FROM results WHERE status = 'ok')
+UNION ALL SELECT 'gone', url, 'now' FROM results WHERE status = 'gone' AND url NOT IN (SELECT url FROM gone)""")
+def transfers_written_back(spark: SparkSession, d: str) -> DataFrame:
+    """What a run of picture transfers leaves: better keys, and the list of sources that are gone."""
+    part, size = table(spark, d, "part"), c("p_size")
+    url = F.concat_ws("-", "p_brand", size.cast("string"))
+    folder = lambda x: F.when(x.isNotNull(), F.concat(F.lit("images/x/"), x))
+    kind = F.when(size % 4 == 0, "sm.jpg").when(size % 4 == 1, "orig-lowres.jpg").when(size % 4 == 2, "orig.jpg")
+    new = F.when(size % 6 > 1, F.when(size % 5 == 0, "sm-lowres.jpg").otherwise("orig.jpg"))
+    rows = part.select(c("p_partkey").alias("id"), folder(kind).alias("key"))
+    jobs = part.where("p_partkey % 3 != 0").select(c("p_partkey").alias("id"), url.alias("url"))
+    results = part.select(url.alias("url"), F.when(size % 6 == 0, "gone").when(size % 6 == 1, "failed").otherwise("ok").alias("status"), folder(new).alias("key")).distinct()
+    gone = part.where(size % 5 == 2).select(url.alias("url"), F.lit("before").alias("since")).distinct()
+    after, lost = merge.written_back(rows, jobs, results, gone, key_rank, F.lit("now"))
+    out = after.select(F.lit("row").alias("what"), c("id").cast("string").alias("name"), F.regexp_replace("key", "^.*/", "").alias("value"))
+    return out.unionByName(lost.select(F.lit("gone").alias("what"), c("url").alias("name"), c("since").alias("value")))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN 'renders/' || p_partkey || '.png' END AS key FROM part),
+firsts AS (SELECT p_brand, arg_min(key, p_partkey) AS first FROM k WHERE key IS NOT NULL GROUP BY 1),
+filled AS (SELECT p_partkey, coalesce(key, first) AS key FROM k LEFT JOIN firsts USING (p_brand))
+SELECT p_partkey, CASE WHEN key IN (SELECT 'renders/' || p_partkey || '.png' FROM part WHERE p_partkey % 2 = 0) THEN replace(key, 'renders/', 'sm/') ELSE key END AS key FROM filled""")
+def keys_migrated(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without a picture take their first sibling's; keys move to another folder where the file is there."""
+    part = table(spark, d, "part")
+    name = lambda folder: F.concat(F.lit(f"{folder}/"), c("p_partkey").cast("string"), F.lit(".png"))
+    rows = part.select("p_partkey", "p_brand", F.when(c("p_size") % 3 == 0, name("renders")).alias("key"))
+    held = part.where("p_partkey % 2 = 0").select(name("sm").alias("key"))
+    filled = merge.sibling_values(rows, ["p_brand"], "p_partkey", "key")
+    return merge.swapped_keys(filled, "key", "^renders/", "sm/", held).select("p_partkey", "key")
