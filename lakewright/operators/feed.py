@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lakewright.functions.values import later_than
 
+from .pick import distinct_on
+
 
 def pull(feed: DataFrame, since: int, *, sequence: str = "seq", most: int = 500, budget: int | None = None, size: Column | None = None, horizon: int = 0) -> DataFrame:
     """The next page after a cursor, lowest first. A cursor behind the horizon must start over: it gets no rows.
@@ -78,6 +80,5 @@ def push(stored: DataFrame, pushed: DataFrame, owner: str, key: str, fields: lis
 
 
 def latest(rows: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
-    """The newest row of each key; combined before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(time, tie)).alias("_r")).select(*keys, "_r.*")
+    """The newest row of each key; each task keeps one row of a key before the shuffle."""
+    return distinct_on(rows, keys, [F.col(time).desc_nulls_last(), F.col(tie).desc_nulls_last()])

@@ -156,7 +156,8 @@ def import_prices(products: DataFrame, feed: DataFrame, prints: DataFrame, held_
     held_prices: print_id, finish, market, observed_at. A price goes to every print that its product is mapped to; of
     several for one print and finish the least product's counts; it never replaces a newer one.
     """
-    mappings = next_mappings(held_mappings, match_products(products, prints), feed, products)
+    # Prices, counts and the next run all read the mappings, so they are made once.
+    mappings = Steps(feed.sparkSession, "import").save(next_mappings(held_mappings, match_products(products, prints), feed, products))
     resolved = feed.join(mappings.select("product_id", "finish", "print_id"), ["product_id", "finish"])
     priced = resolved.where("market IS NOT NULL")
     w = Window.partitionBy("print_id", "finish").orderBy("product_id")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pick import top_n
+
 
 def zone_counts(cards: DataFrame, keys: list[str]) -> DataFrame:
     return cards.groupBy(*keys, "zone").agg(F.sum("quantity").cast("long").alias("n"))
@@ -64,11 +66,10 @@ def banned_impact(statuses: DataFrame, entries: DataFrame, key: str) -> DataFram
 def run_overview(runs: DataFrame, key: str = "source", started: str = "started_at", ok: Column | None = None, keep: int = 30) -> DataFrame:
     """The latest runs of each source, with the last success and the last error over all of its runs."""
     ok = F.col("status") == "done" if ok is None else ok
-    w = Window.partitionBy(key)
-    latest = w.orderBy(F.col(started).desc(), F.col("id").desc())
-    whole = latest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = runs.withColumn("nth", F.row_number().over(latest)).withColumn("last_ok", F.max(F.when(ok, F.col(started))).over(w)).withColumn("last_error", F.first(F.when(~ok, F.col("error")), ignorenulls=True).over(whole))
-    return out.where(F.col("nth") <= keep)
+    failed = F.when(~ok & F.col("error").isNotNull(), F.struct(started, "id"))
+    # Over all runs plain aggregates are combined before the shuffle; the window keeps a source's latest rows only.
+    over_all = runs.groupBy(key).agg(F.max(F.when(ok, F.col(started))).alias("last_ok"), F.max_by("error", failed).alias("last_error"))
+    return top_n(runs, [key], [F.col(started).desc(), F.col("id").desc()], keep, rank="nth", keep_rank=True).join(over_all, key)
 
 
 def earlier_run(runs: DataFrame, key: str, started: str, hours: int = 20) -> DataFrame:
