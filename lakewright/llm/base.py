@@ -57,14 +57,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20):
-    """Bounds an Arrow batch, in rows and in bytes, for what runs inside, as rows with texts or sets in them may be large."""
+def bound_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20) -> dict[str, str]:
+    """Bounds the session's Arrow batches, in rows and in bytes, as rows with texts or sets in them may be large; what they were before.
+
+    For results that are only computed later, when whoever asked for them reads or writes them.
+    """
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
     before = {name: spark.conf.get(name) for name in wanted}
     for name, most in wanted.items():
         held = int(re.match(r"-?\d+", before[name])[0]) if re.fullmatch(r"-?\d+b?", before[name]) else -1
         spark.conf.set(name, str(min(most, held) if held > 0 else most))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20):
+    """Bounds Arrow batches for what runs inside."""
+    before = bound_batches(spark, rows, size)
     try:
         yield
     finally:

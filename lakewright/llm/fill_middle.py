@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import free_name, table
+from .base import bound_batches, free_name, table
 
 #: The pattern of a unit and the marks.
 UNIT = regex.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -114,6 +114,7 @@ def unmade(made: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     told = made.withColumn("told", digester()(F.col("output"), F.col("form")))
     return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "told.output_sha256", "told.restored_sha256")
