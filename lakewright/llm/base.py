@@ -120,7 +120,7 @@ class Scratch:
 class WordHashes(dict):
     """64-bit hashes of words. Emptied when full, so a worker's memory stays bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
