@@ -43,8 +43,9 @@ from .transducer import Arc, Machine, compose
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Parts whose paths a worker keeps, twice at most.
-CACHED = 400_000
+#: Pairs of pieces whose arcs a worker keeps, and parts whose paths it keeps, twice at most.
+PAIRS = 500_000
+CACHED = 200_000
 #: A model file: a path, or the name of one of the public tokenizer files that come with the machine.
 MODEL = "piece_bpe_32k.model"
 
@@ -199,7 +200,7 @@ class PieceMachine:
 
     def follows(self, a: int, b: int) -> bool:
         """The pair machine's arc from piece a (-1: the beginning, or byte fallback) to piece b."""
-        if self.known > 1_000_000:
+        if self.known > PAIRS:
             self.pairs.clear()
             self.known = 0
         self.known += 1
