@@ -266,3 +266,27 @@ def catalog_deck_missing(spark: SparkSession, d: str) -> DataFrame:
     k, zones = shop(spark, d), spark.createDataFrame([("main", 60, 60)], "zone string, least int, most int")
     few = entries(spark, d).where("user_id = 3")
     return q.deck_analysis(k, decks(spark, d), few, zones, F.lit(4), "EUR")[1].select("deck_id", "name", "needed", "owned", "missing", "print_id", "market")
+
+
+@query(f"""
+WITH {_PRINTS}, {_PRICES},
+held AS (SELECT o_orderkey AS entry_id, o_custkey % 100 AS user_id, p.id AS print_id, p.finishes, CASE o_custkey % 2 WHEN 0 THEN 'de' ELSE 'fr' END AS lang, 1 + o_orderkey % 3 AS quantity,
+  CASE left(o_orderpriority, 1) WHEN '1' THEN 1.05::DOUBLE WHEN '2' THEN 1.0::DOUBLE WHEN '3' THEN 0.85::DOUBLE WHEN '4' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS factor
+  FROM orders JOIN prints p ON p.id = o_orderkey % (SELECT 2 * max(p_partkey) FROM part) + 2),
+ranked AS (SELECT e.*, r.source, r.currency, CAST(floor(r.cents_market * e.factor + 0.5) AS BIGINT) AS unit_cents, row_number() OVER (PARTITION BY e.entry_id ORDER BY
+  CASE WHEN r.finish = 'foil' THEN 0 WHEN r.finish = CASE WHEN list_contains(e.finishes, 'normal') THEN 'normal' ELSE 'foil' END THEN 1 WHEN list_contains(e.finishes, r.finish) THEN 1 + list_position(e.finishes, r.finish) ELSE 1001 END, r.finish,
+  CASE r.lang WHEN e.lang THEN 0 WHEN 'en' THEN 1 ELSE 2 END, CASE r.source WHEN 'cardmarket' THEN 0 WHEN 'tcgplayer' THEN 1 ELSE 2 END, r.lang) AS nth FROM held e LEFT JOIN prices r USING (print_id)),
+one AS (SELECT * FROM ranked WHERE nth = 1),
+whole AS (SELECT user_id, CAST(sum(quantity) AS BIGINT) AS cards, count(*) AS entries, CAST(coalesce(sum(quantity) FILTER (WHERE unit_cents IS NULL), 0) AS BIGINT) AS unpriced FROM one GROUP BY 1)
+SELECT user_id, source, currency, CAST(sum(unit_cents * quantity) AS BIGINT) AS cents, any_value(cards) AS cards, any_value(entries) AS entries, any_value(unpriced) AS unpriced FROM one JOIN whole USING (user_id) WHERE unit_cents IS NOT NULL GROUP BY 1, 2, 3""")
+def catalog_collection_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What each user's collection is worth by source and currency, with its copies, entries and unpriced copies."""
+    most = table(spark, d, "part").agg(2 * F.max("p_partkey")).first()[0]
+    grade = F.left("o_orderpriority", F.lit(1))
+    condition = F.when(grade == "1", "MT").when(grade == "2", "NM").when(grade == "3", "EX").when(grade == "4", "GD").otherwise("PO")
+    held = table(spark, d, "orders").select(
+        c("o_orderkey").alias("id"), (c("o_custkey") % 100).alias("user_id"), (c("o_orderkey") % most + 2).alias("print_id"), F.lit("foil").alias("finish"),
+        F.when(c("o_custkey") % 2 == 0, "de").otherwise("fr").alias("language"), condition.alias("condition"), (1 + c("o_orderkey") % 3).alias("quantity"),
+    )
+    whole, worth = q.collection_summary(shop(spark, d), held, "EUR", ["user_id"])
+    return worth.drop("as_of").join(whole, "user_id")
