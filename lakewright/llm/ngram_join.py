@@ -370,7 +370,8 @@ def one_of_each_class(docs: DataFrame, *, similarity: float = SIMILARITY, recall
     rows = joined_rows(numbered, F.col(number), similarity, recall)
     first = rows.where(F.col("class").isNotNull() & (F.col("doc_id") == F.col("class_id"))).groupBy("class").agg(F.min("row").alias(number)).select(number)
     kept = scratch.save(first.union(rows.where(F.col("class").isNull()).select("row")), "kept")
-    return numbered.join(kept, number, "left_semi").select(*docs.columns)
+    # The kept numbers grow with the rows, so they are never broadcast: one plan at every size, which Spark can split at need.
+    return numbered.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
