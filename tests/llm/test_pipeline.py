@@ -71,7 +71,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")]
-    assert len([n for n in names if n[:2] == "op" and n[2].isdigit()]) == 10 and "pipeline" in names and op2_decontamination
+    assert len([n for n in names if n[:2] == "op" and n[2].isdigit()]) == 13 and "pipeline" in names and op2_decontamination
 
 
 def test_the_rest_works_without_this_subpackage():
