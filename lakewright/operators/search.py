@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.functions.text import TRIGRAM_LEAST, contains_phrase, contains_prefix, similarity, trigrams
+from lakewright.sources.tables import dealt
 
 
 @dataclass
@@ -101,7 +102,7 @@ def sized_postings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def rare_grams(rows: DataFrame, key: str, grams: Column, frequency: DataFrame, least: float) -> DataFrame:
     """key, gram: so many of each row's rarest grams that two rows as similar as `least` share one of them."""
-    ranked = rows.select(key, F.explode(grams).alias("gram")).join(frequency, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_g"))
+    ranked = rows.select(key, F.explode(grams).alias("gram")).join(dealt(frequency), "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_g"))
     n = F.size("_g")
     few = F.slice("_g", 1, (n - F.ceil(n * least - 1e-6) + 1).cast("int"))
     return ranked.select(key, F.explode(F.transform(few, lambda g: g["gram"])).alias("gram"))
@@ -110,13 +111,17 @@ def rare_grams(rows: DataFrame, key: str, grams: Column, frequency: DataFrame, l
 def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float = TRIGRAM_LEAST) -> DataFrame:
     """left_key, right_key, similarity: rows that share a rare trigram, then the exact similarity.
 
-    Two sets that share `least` of their union share one of their rarest grams, so frequent grams are not joined on.
+    Two sets that share `least` of their union share one of their rarest grams, so frequent grams are not joined on. Each
+    different text is compared once, however many rows have it.
     """
-    a, b = left.select(left_key, trigrams(F.col(left_text)).alias("_a")), right.select(right_key, trigrams(F.col(right_text)).alias("_b"))
-    frequency = a.select(F.explode("_a").alias("gram")).unionAll(b.select(F.explode("_b").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
-    near = rare_grams(a, left_key, F.col("_a"), frequency, least).join(rare_grams(b, right_key, F.col("_b"), frequency, least), "gram").select(left_key, right_key).distinct()
-    both = near.join(a, left_key).join(b, right_key)
-    return both.select(left_key, right_key, similarity(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= least)
+    own = lambda df, key, text, name: df.select(key, F.col(text).alias(name)).where(F.col(name).isNotNull())
+    rows_a, rows_b = own(left, left_key, left_text, "_a"), own(right, right_key, right_text, "_b")
+    a, b = rows_a.select("_a").distinct(), rows_b.select("_b").distinct()
+    grams_a, grams_b = trigrams(F.col("_a")), trigrams(F.col("_b"))
+    frequency = a.select(F.explode(grams_a).alias("gram")).unionAll(b.select(F.explode(grams_b).alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    near = rare_grams(a, "_a", grams_a, frequency, least).join(dealt(rare_grams(b, "_b", grams_b, frequency, least)), "gram").select("_a", "_b").distinct()
+    alike = near.withColumn("similarity", similarity(grams_a, grams_b)).where(F.col("similarity") >= least)
+    return alike.join(dealt(rows_a), "_a").join(dealt(rows_b), "_b").select(left_key, right_key, "similarity")
 
 
 def suggest(tiers: list[DataFrame], entity: list[str], limit: int) -> DataFrame:

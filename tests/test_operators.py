@@ -199,3 +199,13 @@ def test_similar_pairs_are_all_pairs(spark):
     df = table(spark, "k long, w string", *enumerate(words))
     got = similar_pairs(df.where("k < 40"), df.where("k >= 40").withColumnRenamed("k", "l"), "k", "w", "l", "w")
     assert sorted((r["k"], r["l"]) for r in got.collect()) == want
+
+
+def test_similar_pairs_of_equal_texts_and_no_broadcast(spark):
+    from lakewright.operators.search import similar_pairs
+
+    left = table(spark, "k long, w string", (1, "small ring"), (2, "small ring"), (3, None))
+    right = table(spark, "l long, v string", *((n, "smal ring") for n in range(5)), (9, "other"), (10, None))
+    got = similar_pairs(left, right, "k", "w", "l", "v")
+    assert sorted((r["k"], r["l"]) for r in got.collect()) == [(k, n) for k in (1, 2) for n in range(5)]
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
