@@ -15,6 +15,7 @@ from lakewright.functions.text import alnum, code_key, numeric_part, tokens
 from lakewright.functions.values import ban_limit, condition_factor, language_rank, preference, round_half_up, without_keys
 from lakewright.operators import lists, pick, pricing, search
 from lakewright.operators.feed import latest
+from lakewright.sources.tables import dealt
 
 c = F.col
 #: Rarities that sort before all others, in order.
@@ -48,7 +49,7 @@ def index_rows(k: Catalog) -> DataFrame:
     """group, key, name, text: the prints of each set with their names in all languages, their types and texts, for a `sources.search_index.SearchIndex`."""
     names = k.print_localizations.groupBy("print_id").agg(F.concat_ws(" ", F.array_sort(F.collect_set("name"))).alias("_names"), F.concat_ws(" ", F.array_sort(F.collect_set("text"))).alias("_texts"))
     card = k.cards.select(c("id").alias("card_id"), "name", "type_line", "text")
-    rows = k.prints.select("set_id", c("id").alias("print_id"), "card_id").join(card, "card_id").join(names, "print_id", "left")
+    rows = k.prints.select("set_id", c("id").alias("print_id"), "card_id").join(dealt(card), "card_id").join(dealt(names), "print_id", "left")
     return rows.select(c("set_id").cast("string").alias("group"), c("print_id").cast("long").alias("key"), F.concat_ws(" ", "name", "_names").alias("name"), F.concat_ws(" ", "type_line", "text", "_texts").alias("text"))
 
 
@@ -102,7 +103,7 @@ def named_prints(k: Catalog, lang: str) -> DataFrame:
     names = k.print_localizations
     own = names.where(c("lang") == lang).select(c("print_id").alias("id"), c("name").alias("_own"))
     english = names.where(c("lang") == "en").select(c("print_id").alias("id"), c("name").alias("_english"))
-    out = k.prints.join(card, "card_id").join(own, "id", "left").join(english, "id", "left")
+    out = k.prints.join(dealt(card), "card_id").join(dealt(own), "id", "left").join(dealt(english), "id", "left")
     return out.withColumn("name", F.coalesce("_own", "_english", "card_name")).withColumn("localized", c("_own").isNotNull()).drop("_own", "_english")
 
 
@@ -152,7 +153,7 @@ def code_hits(k: Catalog, typed: str) -> DataFrame:
 
 def card_texts(k: Catalog) -> DataFrame:
     """print_id, lang, name, words of the name, words of name, type and text: one row for each language of a print."""
-    card = k.prints.select(c("id").alias("print_id"), "card_id").join(k.cards.select(c("id").alias("card_id"), "name", "type_line", "text"), "card_id")
+    card = k.prints.select(c("id").alias("print_id"), "card_id").join(dealt(k.cards.select(c("id").alias("card_id"), "name", "type_line", "text")), "card_id")
     own = card.select("print_id", F.lit("en").alias("lang"), "name", "type_line", "text")
     other = k.print_localizations.select("print_id", "lang", "name", F.lit(None).cast("string").alias("type_line"), "text")
     both = own.unionByName(other)
@@ -172,17 +173,17 @@ def search_hits(k: Catalog, typed: str) -> DataFrame:
     if search.TokenQuery.of(typed).fuzzy and len(typed) >= 4:
         branches.append(texts.join(like_names(k, typed), "name").select("print_id", c("similarity").cast("double").alias("rank"), "lang"))
     hits = pick.first_nonempty(branches)
-    top = hits.where("lang IS NOT NULL").groupBy("print_id").agg(F.max("rank").alias("_top"))
-    best = hits.join(top, "print_id", "left")
-    langs = F.array_sort(F.collect_set(F.when(c("rank") == c("_top"), c("lang"))))
-    return best.groupBy("print_id").agg(F.max("rank").alias("rank"), langs.alias("langs"))
+    # A print has a hit a language, and one by its code.
+    best = hits.groupBy("print_id").agg(F.max("rank").alias("rank"), F.max(F.when(c("lang").isNotNull(), c("rank"))).alias("_top"), F.collect_set(F.struct("lang", "rank")).alias("_hits"))
+    langs = F.transform(F.filter("_hits", lambda h: h["lang"].isNotNull() & (h["rank"] == c("_top"))), lambda h: h["lang"])
+    return best.select("print_id", "rank", F.array_sort(langs).alias("langs"))
 
 
 def search_prints(k: Catalog, typed: str, *, lang: str, currency: str, game: str | None = None, set_code: str | None = None, rarity: str | None = None, finish: str | None = None, size: int = 60, number: int = 1) -> DataFrame:
     """One page of hits. The page is cut first; names and prices are looked up for its prints only."""
     sets = k.sets.select(c("id").alias("set_id"), c("code").alias("set_code"), c("released_on").alias("set_released"), "game_id")
     card = k.cards.select(c("id").alias("card_id"), c("name").alias("card_name"))
-    rows = search_hits(k, typed).withColumnRenamed("print_id", "id").join(k.prints, "id").join(sets, "set_id").join(card, "card_id")
+    rows = search_hits(k, typed).withColumnRenamed("print_id", "id").join(dealt(k.prints), "id").join(sets, "set_id").join(dealt(card), "card_id")
     conditions = [c("game_id") == game if game else None, c("set_code") == set_code if set_code else None, c("rarity") == rarity if rarity else None, F.array_contains("finishes", finish) if finish else None]
     order = [c("rank").desc(), c("card_name").asc(), c("set_released").desc_nulls_last(), c("set_code").asc(), *number_order()]
     page = pick.page(pick.optional_filters(rows, conditions), order, size, number)
@@ -199,13 +200,13 @@ def newest_print(k: Catalog, ranked: DataFrame) -> DataFrame:
     held = names.unionByName(k.prints.select("id", F.lit("en").alias("lang"))).distinct()
     released = k.sets.select(c("id").alias("set_id"), c("released_on").alias("set_released"))
     own = k.prints.select("id", "card_id", "set_id", "number", "variant")
-    fits = ranked.join(own, "card_id").join(held, ["id", "lang"]).join(released, "set_id")
+    fits = ranked.join(dealt(own), "card_id").join(dealt(held), ["id", "lang"]).join(released, "set_id")
     return pick.distinct_on(fits, ["card_id"], [c("set_released").desc_nulls_last(), *number_order(), c("id").asc()]).select("id", "ord", "lang")
 
 
 def suggest(k: Catalog, typed: str, *, lang: str, limit: int = 10) -> DataFrame:
     """kind, id, tier, ord, lang: exact codes, bare codes, partial numbers, sets, prints of a set named by its code, names that begin so, similar names."""
-    codes = code_hits(k, typed).join(k.prints.select(c("id").alias("print_id"), "number", "variant"), "print_id")
+    codes = code_hits(k, typed).join(dealt(k.prints.select(c("id").alias("print_id"), "number", "variant")), "print_id")
     tier = F.when(c("rank") >= 300, 0).when(c("rank") >= 200, 1).when(c("rank") > 0, 2).otherwise(4)
     shape = lambda df, kind, t: df.select(F.lit(kind).alias("kind"), "id", t.alias("tier"), "ord", "lang")
     by_code = pick.top_n(codes.withColumn("id", c("print_id")).withColumn("_part", c("rank") > 0).withColumn("_tier", tier), ["_part"], [c("rank").desc(), *number_order(), c("id").asc()], limit, rank="ord", keep_rank=True).withColumn("lang", F.lit(None).cast("string"))
@@ -217,7 +218,7 @@ def suggest(k: Catalog, typed: str, *, lang: str, limit: int = 10) -> DataFrame:
     order = [c("released_on").desc_nulls_last(), c("code").asc(), c("id").asc()]
     by_set = shape(pick.numbered(pick.page(sets, order, limit), order, "ord").withColumn("lang", F.lit(None).cast("string")), "set", F.lit(3))
 
-    names = k.cards.select(c("id").alias("card_id"), "name", F.lit("en").alias("lang")).unionByName(k.print_localizations.join(k.prints.select(c("id").alias("print_id"), "card_id"), "print_id").select("card_id", "name", "lang"))
+    names = k.cards.select(c("id").alias("card_id"), "name", F.lit("en").alias("lang")).unionByName(k.print_localizations.join(dealt(k.prints.select(c("id").alias("print_id"), "card_id")), "print_id").select("card_id", "name", "lang"))
     picked = F.when(F.bool_or(c("lang") == lang), F.lit(lang)).when(F.bool_or(c("lang") == "en"), F.lit("en")).otherwise(F.min("lang"))
     begin = names.where(starts(c("name"))).groupBy("card_id").agg(F.min(F.length("name")).alias("_len"), F.min("name").alias("_name"), picked.alias("lang"))
     order = [c("_len").asc(), c("_name").asc(), c("card_id").asc()]
@@ -291,7 +292,7 @@ def collection_rows(k: Catalog, entries: DataFrame, typed: str | None = None, **
     prints = k.prints.select(c("id").alias("print_id"), "card_id", "set_id", "number", "finishes")
     cards = k.cards.select(c("id").alias("card_id"), "name", "game_id")
     sets = k.sets.select(c("id").alias("set_id"), c("code").alias("set_code"), c("name").alias("set_name"))
-    rows = entries.join(prints, "print_id").join(cards, "card_id").join(sets, "set_id")
+    rows = entries.join(dealt(prints), "print_id").join(dealt(cards), "card_id").join(sets, "set_id")
     rows = pick.optional_filters(rows, [c(x) == v for x, v in filters.items() if v is not None])
     if not typed:
         return rows
@@ -310,13 +311,13 @@ def collection_summary(k: Catalog, entries: DataFrame, currency: str, keys: list
 
 def deck_analysis(k: Catalog, deck_entries: DataFrame, owned: DataFrame, zones: DataFrame, limit: Column, currency: str) -> tuple[DataFrame, DataFrame]:
     """Problems of each deck (sizes, zones, copies), and its missing cards with the cheapest print."""
-    cards = deck_entries.join(k.cards.select(c("id").alias("card_id"), "name", "type_line", "text", "legalities"), "card_id")
+    cards = deck_entries.join(dealt(k.cards.select(c("id").alias("card_id"), "name", "type_line", "text", "legalities")), "card_id")
     code = lambda df, name: df.select("deck_id", F.lit(name).alias("code"), "name", "n")
     sizes = lists.size_problems(cards, zones, ["deck_id"]).select("deck_id", "code", c("zone").alias("name"), "n")
     strays = lists.zone_problems(cards, zones).select("deck_id", "name", c("quantity").cast("long").alias("n"))
     copies = lists.copy_problems(cards, ["deck_id"], limit)
     problems = sizes.unionByName(code(strays, "wrong_zone")).unionByName(code(copies, "too_many_copies"))
-    have = owned.join(k.prints.select(c("id").alias("print_id"), "card_id"), "print_id").join(k.cards.select(c("id").alias("card_id"), "name"), "card_id")
+    have = owned.join(dealt(k.prints.select(c("id").alias("print_id"), "card_id")), "print_id").join(dealt(k.cards.select(c("id").alias("card_id"), "name")), "card_id")
     missing = lists.missing_cards(cards, have, ["deck_id"])
-    prices = k.prices.join(k.prints.select(c("id").alias("print_id"), "card_id"), "print_id").join(k.cards.select(c("id").alias("card_id"), "name"), "card_id").withColumnRenamed("cents_market", "market")
+    prices = k.prices.join(dealt(k.prints.select(c("id").alias("print_id"), "card_id")), "print_id").join(dealt(k.cards.select(c("id").alias("card_id"), "name")), "card_id").withColumnRenamed("cents_market", "market")
     return problems, missing.join(pricing.cheapest(prices, ["name"], currency), "name", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakewright.sources import feeds
 from lakewright.sources.scratch import scratch
 from lakewright.sources.search_index import SearchIndex
-from lakewright.sources.tables import table
+from lakewright.sources.tables import dealt, table
 
 from . import catalog as q
 from .registry import query
@@ -53,7 +53,7 @@ def shop(spark: SparkSession, d: str) -> q.Catalog:
         (c("p_partkey") * 2 + c("k")).alias("id"), c("p_partkey").alias("card_id"), ((c("p_partkey") + c("k") * 7) % 25).cast("int").alias("set_id"), (c("p_partkey") % 100).cast("string").alias("number"),
         F.lit("").alias("variant"), rarity.alias("rarity"), finishes.alias("finishes"), F.lit(None).cast("date").alias("released_on"), F.create_map(F.lit("id"), c("p_brand")).alias("external_ids"),
     )
-    names = prints.where(c("id") % 3 == 0).join(cards.select(c("id").alias("card_id"), "name"), "card_id").select(c("id").alias("print_id"), F.lit("de").alias("lang"), F.reverse("name").alias("name"), F.lit(None).cast("string").alias("text"))
+    names = prints.where(c("id") % 3 == 0).join(dealt(cards.select(c("id").alias("card_id"), "name")), "card_id").select(c("id").alias("print_id"), F.lit("de").alias("lang"), F.reverse("name").alias("name"), F.lit(None).cast("string").alias("text"))
     return q.Catalog(region, sets, local, cards, prints, names, prices(spark, d))
 
 

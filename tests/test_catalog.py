@@ -142,3 +142,14 @@ def test_deck_analysis(spark, k):
     problems, missing = q.deck_analysis(k, deck, owned, zones, F.lit(2), "EUR")
     assert rows(problems) == [("d", "too_few", "main", 3), ("d", "too_many_copies", "Fire Lion", 3), ("d", "wrong_zone", "Sun Cat", 1)]
     assert rows(missing.select("name", "missing", "print_id", "market")) == [("Fire Lion", 2, "p1", 100), ("Sun Cat", 1, "p3", 50)]
+
+
+def test_growing_sides_are_never_broadcast(spark, sf_dir):
+    """Files say little of how large their rows are: cards and prints are dealt out, whatever their size."""
+    import re
+
+    from lakewright.plans import shop
+
+    for query in (shop.catalog_search, shop.catalog_deck_problems, shop.catalog_collection_rows):
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastHashJoin \[card_id#", plan)
