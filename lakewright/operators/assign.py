@@ -65,12 +65,15 @@ def match_sets(ours: DataFrame, theirs: DataFrame, aliases: DataFrame) -> DataFr
     """
     said = aliases.join(theirs.select("set_id"), "set_id", "left_semi").join(ours.select("code"), "code").select("code", "set_id", F.lit(0).alias("_k"), F.lit("alias").alias("rule"))
     rest = ours.join(aliases.select("code"), "code", "left_anti")
-    coded = rest.select("code", "name", F.explode(F.array_distinct("codes")).alias("_c")).join(theirs.where("code IS NOT NULL").select("set_id", c("code").alias("_c"), c("name").alias("_name")), "_c")
+    # Theirs are reduced to the least and the last set of a key first: many sets of one key make no pairs.
+    ends = lambda df, *keys: df.groupBy(*keys).agg(F.min("set_id").alias("_least"), F.max("set_id").alias("_last"))
+    one = lambda df: df.groupBy("code").agg(F.min("_least").alias("set_id"), F.max("_last").alias("_last"), F.min("_c").alias("_c")).where("set_id = _last")
+    mine = rest.select("code", "name", F.explode(F.array_distinct("codes")).alias("_c"))
+    coded = theirs.where("code IS NOT NULL").select("set_id", c("code").alias("_c"), "name")
     holders = ours.select("code", F.explode(F.array_distinct("codes")).alias("_c")).groupBy("_c").agg(F.count("*").alias("_holders"))
-    one = lambda df: df.groupBy("code").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("_last")).where("set_id = _last").drop("_last")
-    by_name = one(coded.where("name = _name"))
-    alone = coded.groupBy("code").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("_last"), F.min("_c").alias("_c")).where("set_id = _last").join(holders.where("_holders = 1"), "_c")
-    dated = one(rest.join(theirs.select("set_id", "name", "released_on"), ["name", "released_on"]))
+    by_name = one(mine.join(ends(coded, "_c", "name"), ["_c", "name"]))
+    alone = one(mine.join(ends(coded, "_c"), "_c")).join(holders.where("_holders = 1"), "_c")
+    dated = one(rest.join(ends(theirs, "name", "released_on"), ["name", "released_on"]).withColumn("_c", F.lit(None)))
     found = [said, *(df.select("code", "set_id", F.lit(k).alias("_k"), F.lit(rule).alias("rule")) for k, rule, df in ((1, "code and name", by_name), (2, "code", alone), (3, "name and day", dated)))]
     every = found[0]
     for more in found[1:]:

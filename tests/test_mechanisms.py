@@ -171,3 +171,14 @@ def test_a_key_twice_in_a_push(spark):
     after, done = feed.push(stored, pushed, "owner", "k", ["v"])
     assert rows(after.select("k", "v", "seq")) == [(1, "c", 3), (3, "z", 4), (9, "q", 2)]
     assert rows(done.select("k", "action")) == [(1, "apply"), (1, "superseded"), (2, "skip"), (2, "superseded"), (3, "insert"), (3, "superseded")]
+
+
+def test_sets_of_one_key_make_no_pairs(spark):
+    """Many sets of one name, day or code on both sides: as many rows as sets, not their product."""
+    n = 3000
+    ours = spark.range(n).select(F.concat(F.lit("o"), "id").alias("code"), F.array(F.lit("k"), F.concat(F.lit("o"), "id")).alias("codes"), F.lit("x").alias("name"), F.lit("d").alias("released_on"))
+    theirs = spark.range(n).select(F.concat(F.lit("t"), "id").alias("set_id"), F.when(F.col("id") > 0, "k").otherwise("o7").alias("code"), F.when(F.col("id") > 0, "x").otherwise("y").alias("name"), F.lit("d").alias("released_on"))
+    got = assign.match_sets(ours, theirs, spark.createDataFrame([], "code string, set_id string"))
+    plan = lambda p: [p, *(y for k in range(p.children().size()) for y in plan(p.children().apply(k)))]
+    joins = [p for p in plan(got._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Join"]
+    assert joins and all(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, j).count() <= 2 * n for j in joins)
