@@ -3,17 +3,23 @@
 Rows are dealt out by ranges of the order and saved, so that a place in the order is a range's number and a place in the
 range. Running sums are sums within a range and the totals of the ranges before; only those totals, one a range, are
 added up in one place. Chunks follow from pointers to where the next one would begin: pointer doubling finds all
-beginnings that the first row leads to, in as many rounds as the longest run of chunks has binary digits.
+beginnings that the first row leads to, in as many rounds as the longest run of chunks has binary digits. Where keys begin
+anew, all this is for the largest of them only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lakewright.sources.scratch import Steps
 
 c = F.col
+#: Rows of one value of the keys that one task takes in turn; more go by ranges of the order.
+IN_TURN = 1_000_000
 
 
 def ranged(df: DataFrame, order: list[Column], steps: Steps, name: str = "_range") -> DataFrame:
@@ -40,7 +46,46 @@ def greedy_chunks(df: DataFrame, keys: list[str], order: list[str], size: Column
     Rows are taken in order; one that would make its chunk larger than `limit` begins the next. A row is never split, so
     one that is larger than the limit is a chunk by itself. Sizes are whole numbers, 0 or more; a null one counts as 0.
     keys and order together must name a row; rows that tie in all of them fall in any order.
+
+    Values of the keys with up to `IN_TURN` rows are dealt out and taken in turn; others go by ranges of the whole order.
     """
+    if not keys:
+        return _by_ranges(df, keys, order, size, limit, name)
+    large = Steps(df.sparkSession, "large").save(df.groupBy(*(c(k).alias(f"_key{i}") for i, k in enumerate(keys))).count().where(c("count") > IN_TURN).drop("count"))
+    if large.isEmpty():
+        return _in_turn(df, keys, order, size, limit, name)
+    same = [c(k).eqNullSafe(c(f"_key{i}")) for i, k in enumerate(keys)]
+    rest, most = df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+    return _in_turn(rest, keys, order, size, limit, name).unionByName(_by_ranges(most, keys, order, size, limit, name))
+
+
+def _in_turn(df: DataFrame, keys: list[str], order: list[str], size: Column, limit: int, name: str) -> DataFrame:
+    """One exchange by the keys; a task adds up the rows of its keys in order, batch after batch."""
+
+    def added(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = chunk = 0
+        for b in batches:
+            numbers = []
+            for nth, one in zip(b["_nth"].to_pylist(), b["_size"].to_pylist(), strict=True):
+                if nth == 1:
+                    total, chunk = one, 0
+                elif total + one > limit:
+                    total, chunk = one, chunk + 1
+                else:
+                    total += one
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in columns), pa.array(numbers, pa.int64())], names=[*columns, name])
+
+    columns = df.columns
+    out = StructType([*df.schema.fields, StructField(name, LongType())])
+    w = Window.partitionBy(*keys).orderBy(*order)
+    placed = df.withColumns({"_size": F.coalesce(size, F.lit(0)).cast("long"), "_nth": F.row_number().over(w)})
+    return placed.mapInArrow(added, out)
+
+
+def _by_ranges(df: DataFrame, keys: list[str], order: list[str], size: Column, limit: int, name: str) -> DataFrame:
     steps = Steps(df.sparkSession, "chunks")
     total_order = [c(k) for k in (*keys, *order)]
     base = df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long"))

@@ -182,3 +182,16 @@ def test_sets_of_one_key_make_no_pairs(spark):
     plan = lambda p: [p, *(y for k in range(p.children().size()) for y in plan(p.children().apply(k)))]
     joins = [p for p in plan(got._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Join"]
     assert joins and all(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, j).count() <= 2 * n for j in joins)
+
+
+def test_chunks_of_small_and_large_keys(spark, monkeypatch):
+    """Small keys are dealt out once and saved nowhere; those with more rows than a task takes go by ranges; both alike."""
+    draw = random.Random(5)
+    data = [(g, n, draw.choice([None, 0, 3, 17, 55])) for g, most in ((None, 9), ("a", 40), ("b", 7)) for n in range(most)]
+    df = spark.createDataFrame(data, "g string, at int, s int")
+    saved = []
+    monkeypatch.setattr(chunks.Steps, "save", lambda self, d, save=chunks.Steps.save: saved.append(d) or save(self, d))
+    want = rows(chunks.greedy_chunks(df, ["g"], ["at"], F.col("s"), 60))
+    assert len(saved) == 1 and want[0][-1] == 0
+    monkeypatch.setattr(chunks, "IN_TURN", 8)
+    assert rows(chunks.greedy_chunks(df, ["g"], ["at"], F.col("s"), 60)) == want
