@@ -154,14 +154,26 @@ def pick_artwork(products: DataFrame) -> DataFrame:
     products: key, product, name, alt_art (whether the print has another artwork's code). Keys whose names differ
     otherwise, or with several bare names or several other artworks to choose from, have none.
     """
-    other = c("name").rlike(ARTWORK) & ~c("name").rlike(r"(?i)\(Original Artwork\)$")
-    marked = products.withColumn("_bare", ~c("name").rlike(ARTWORK)).withColumn("_other", other).withColumn("_base", F.lower(F.regexp_replace("name", ARTWORK, "")))
-    n = lambda x: F.count_if(c(x)).alias(f"n{x}")
-    rank = F.struct(F.when(c("name").rlike(r"(?i)\(Original Artwork\)$"), 0).when(c("_bare"), 1).otherwise(2).alias("r"), "product")
-    one = marked.groupBy("key").agg(F.count("*").alias("n"), n("_bare"), n("_other"), F.min("_base").alias("b0"), F.max("_base").alias("b1"), F.max("alt_art").alias("alt_art"), F.min(F.when(c("_other"), c("product"))).alias("other"), F.min_by("product", rank).alias("original"))
-    fits = one.where("n > 1 AND b0 = b1 AND n_bare < 2")
-    chosen = F.when(c("alt_art") & (c("n_other") > 0), F.when(c("n_other") == 1, c("other"))).otherwise(c("original"))
-    return fits.select("key", chosen.alias("product")).where("product IS NOT NULL")
+    one = products.groupBy("key").agg(*artwork_sums(c("product"), c("name")), F.max("alt_art").alias("alt_art"))
+    return one.select("key", artwork_of(c("alt_art")).alias("product")).where("product IS NOT NULL")
+
+
+#: How sums over some products' names become sums over all of them.
+ARTWORK_SUMS = {"n": F.sum, "n_bare": F.sum, "n_other": F.sum, "b0": F.min, "b1": F.max, "other": F.min, "original": F.min}
+
+
+def artwork_sums(product: Column, name: Column) -> list[Column]:
+    """What the artwork rule asks of a group of products; sums of parts of a group can be added up by `ARTWORK_SUMS`."""
+    original, bare = name.rlike(r"(?i)\(Original Artwork\)$"), ~name.rlike(ARTWORK)
+    other, base = ~bare & ~original, F.lower(F.regexp_replace(name, ARTWORK, ""))
+    rank = F.struct(F.when(original, 0).when(bare, 1).otherwise(2).alias("r"), product.alias("product"))
+    return [F.count("*").alias("n"), F.count_if(bare).alias("n_bare"), F.count_if(other).alias("n_other"), F.min(base).alias("b0"), F.max(base).alias("b1"), F.min(F.when(other, product)).alias("other"), F.min(rank).alias("original")]
+
+
+def artwork_of(alt_art: Column) -> Column:
+    """The product that a print takes of a group with these sums, or null."""
+    chosen = F.when(alt_art & (c("n_other") > 0), F.when(c("n_other") == 1, c("other"))).otherwise(c("original")["product"])
+    return F.when((c("n") > 1) & (c("b0") == c("b1")) & (c("n_bare") < 2), chosen)
 
 
 def regional_matches(prints: DataFrame, products: DataFrame, claimed: DataFrame) -> DataFrame:

@@ -209,3 +209,17 @@ def test_similar_pairs_of_equal_texts_and_no_broadcast(spark):
     got = similar_pairs(left, right, "k", "w", "l", "v")
     assert sorted((r["k"], r["l"]) for r in got.collect()) == [(k, n) for k in (1, 2) for n in range(5)]
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_and_prints_of_one_number_make_no_pairs(spark, monkeypatch):
+    """Copies of one number and rarity: what is saved on the way grows with the rows, not with their product."""
+    from lakewright.operators import imports
+
+    n, saved = 400, []
+    monkeypatch.setattr(imports.Steps, "save", lambda self, d, save=imports.Steps.save: saved.append(save(self, d)) or saved[-1])
+    shape = lambda key: [F.col("id").alias(key), F.lit("s").alias("set_id"), F.lit("B-EN001").alias("number"), F.lit("Rare").alias("rarity")]
+    products = spark.range(n).select(*shape("product_id"), F.when(F.col("id") == 7, "lone").otherwise("copy").alias("name"))
+    prints = spark.range(n).select(*shape("print_id"), F.when(F.col("id") < 3, "lone").otherwise("copy").alias("name"), F.lit(False).alias("alt_art"))
+    got = imports.match_group(products, prints, regional=True)
+    assert rows(got) == [(7, k, "number", 70) for k in range(3)]
+    assert saved and all(d.count() <= n for d in saved)
