@@ -8,8 +8,8 @@ begins at the token of the option `first`.
     spark.read.format("paged").option("path", folder).option("first", "1").load()          # token, place, record
     spark.readStream.format("paged")...                                                    # goes on at the first page that isn't there yet
 
-What goes through the driver are tokens, one file's head after the other, as only a page names the next; records are
-read by tasks, a page each. The folder is any that PyArrow can open (local, shared, hdfs://, s3://, gs://). A chain that
+What goes through the driver are tokens, one file after the other, as only a page names the next; records are read by
+tasks, a run of pages each. The folder is any that PyArrow can open (local, shared, hdfs://, s3://, gs://). A chain that
 ends at a page which isn't there is read as far as it goes in a stream; in a batch it is an error that names the page,
 or, with the option `partial`, ends there. A chain that comes back to a page is an error.
 """
@@ -27,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "token string, place long, record string"
 #: Pages that one micro-batch takes.
 PER_BATCH = 1000
+#: Pages that one task of a batch reads.
+PER_TASK = 200
 
 
 def token_of(page: dict) -> str | None:
@@ -77,6 +79,12 @@ class Page(InputPartition):
     place: int
 
 
+@dataclass
+class Pages(InputPartition):
+    tokens: list[str]
+    place: int
+
+
 def records(folder: Folder, page: Page) -> Iterator[tuple]:
     for r in (folder.read(page.token) or {}).get("data") or []:
         yield page.token, page.place, json.dumps(r, sort_keys=True, separators=(",", ":"))
@@ -86,14 +94,16 @@ class _Batch(DataSourceReader):
     def __init__(self, options):
         self.path, self.first, self.partial = options["path"], options.get("first", "1"), options.get("partial", "false").lower() == "true"
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         tokens, left = chain(Folder(self.path), self.first)
         if left is not None and not self.partial:
             raise FileNotFoundError(f"page {left!r} hasn't landed")
-        return [Page(t, k) for k, t in enumerate(tokens)] or [Page("", -1)]
+        return [Pages(tokens[k : k + PER_TASK], k) for k in range(0, len(tokens), PER_TASK)] or [Pages([], 0)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return records(Folder(self.path), partition) if partition.place >= 0 else iter(())
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        folder = Folder(self.path)
+        for k, t in enumerate(partition.tokens):
+            yield from records(folder, Page(t, partition.place + k))
 
 
 class _Stream(DataSourceStreamReader):

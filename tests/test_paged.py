@@ -68,3 +68,12 @@ def test_missing_ids(spark):
     held = spark.createDataFrame([(1, "de"), (1, "de"), (2, "en")], "id int, lang string")
     wanted = spark.createDataFrame([(k, x) for k in (1, 2) for x in ("de", "en")], "id int, lang string")
     assert rows(paged.missing_ids(held, wanted, "id", ["lang"])) == [(1, "en"), (2, "de")]
+
+
+def test_a_task_reads_a_run_of_pages(source, tmp_path):
+    n = 2 * paged.PER_TASK + 5
+    for k in range(n):
+        put(tmp_path, "a" if k == 0 else f"t{k}", [{"k": k}], f"t{k + 1}" if k + 1 < n else None)
+    found = load(source, tmp_path)
+    assert found.rdd.getNumPartitions() == 3
+    assert sorted((r["place"], r["record"]) for r in found.collect()) == [(k, f'{{"k":{k}}}') for k in range(n)]
