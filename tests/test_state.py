@@ -83,3 +83,33 @@ def test_other_streams_keep_their_store(spark):
         assert spark.conf.get(state.PROVIDER) == state.ROCKS
         raise ValueError("x")
     assert spark.conf.get(state.PROVIDER, None) == before
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """Calls of the state don't grow with a key's rows."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+    from pyspark.sql.types import StructType
+
+    calls = []
+
+    class Held:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                self.value = args[0] if name == "update" else self.value
+                return self.value if name == "get" else False
+
+            return call
+
+    handle = SimpleNamespace(getValueState=lambda *_: Held(), getMapState=lambda *_: Held(), registerTimer=lambda _: calls.append("timer"))
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    out = StructType().add("seq", "long")
+    data = [Row(seq=n, deleted=True, _until=n) for n in range(1, 200)]
+    for job in (state.OncePerDay(out), state.Feed(out, "seq")):
+        calls.clear()
+        job.init(handle)
+        assert len(list(job.handleInputRows(("u",), iter(data), times))) == 199 and len(calls) <= 6
