@@ -113,3 +113,27 @@ def test_state_is_read_and_written_once_a_batch():
         calls.clear()
         job.init(handle)
         assert len(list(job.handleInputRows(("u",), iter(data), times))) == 199 and len(calls) <= 6
+
+
+def test_keys_of_a_bucket_are_one_value(spark, tmp_path):
+    """The state holds a value a bucket, not one a key; values of any type come back as they were."""
+    from decimal import Decimal
+
+    schema = "id long, part string, nth long, n long, price decimal(20,3), day date, v string, updated_at timestamp, deleted_at timestamp, base_updated_at timestamp"
+    value = lambda k: (None if k % 3 == 0 else 2**60 + k, None if k % 4 == 0 else Decimal(f"{k}.125"), T0.date(), None if k % 5 == 0 else f"v{k}")
+    key = lambda k: (None if k == 7 else k, "ä" if k % 2 else None)
+    rows_of = lambda ks, nth: [(*key(k), nth, *value(k), T0, None, None) for k in ks]
+    job = lambda s: state.pushes(s, ["id", "part"], ["n", "price", "day", "v"], "nth", buckets=2)
+    out, checkpoint = fed(spark, tmp_path, [rows_of(range(200), 1), rows_of(range(150, 300), 2) + rows_of(range(20), 1)], schema, job)
+    actions = {(r["id"], r["part"], r["nth"]): r["action"] for r in out.collect()}
+    assert actions == {**{(*key(k), 1): "insert" for k in range(200)}, **{(*key(k), 2): "noop" if k < 200 else "insert" for k in range(150, 300)}} and out.count() == 350
+    assert rows(state.held(spark, checkpoint, "stored", ["updated_at", "deleted_at"])) == sorted(((*key(k), *value(k), T0, None) for k in range(300)), key=repr)
+    with state.state_store(spark):
+        assert all(spark.read.format("statestore").option("stateVarName", name).load(checkpoint).count() <= 2 for name in ("stored", "turn"))
+
+
+def test_packed_rows_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(state, "PACK_ROWS", 50)
+    rows_in = spark.range(1000).select((F.col("id") % 7).alias("k"), "id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("v"))
+    lists = state.packed(rows_in, "k")
+    assert rows(lists.select("k", state._unpacked(["id", "v"]))) == rows(rows_in)
