@@ -87,6 +87,15 @@ def test_no_window_survives(spark, docs_of):
         assert len(out) == 5 and out[3] == words(texts[3]) and not [w for ws in out.values() for k in range(len(ws)) if (w := tuple(ws[k : k + 13])) in windows]
 
 
+@pytest.mark.parametrize("max_words", [10**6, 20])
+def test_a_task_takes_one_python_worker(spark, docs_of, max_words):
+    """Each Python node of a stage has a worker of its own, which stays, with its automaton and caches."""
+    bench = spark.createDataFrame([(k, " ".join(f"{x}{j}" for j in range(20))) for k, x in enumerate("ab")], "item_id long, text string")
+    docs = docs_of("some text", None)
+    for out in (op.uncontaminated(docs, bench, max_words=max_words), op.match_benchmark(docs, bench, max_words=max_words)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_long_repetitive_items_and_texts_take_linear_time():
     began = time.time()
     automaton = op.SuffixAutomaton([(k, ["a"] * 100_000) for k in range(2)] + [(9, ["a"] * 5)])
