@@ -29,7 +29,9 @@ def entry_price(entries: DataFrame, prices: DataFrame, keys: list[str], currency
     """
     what = [*keys, "finish", "lang", "finishes"]
     wanted = entries.select(*what).distinct().withColumnRenamed("finish", "_finish").withColumnRenamed("lang", "_lang")
-    best = display_price(wanted.join(prices, keys), [*keys, "_finish", "_lang", "finishes"], currency=currency, lang=F.col("_lang"), finishes=F.col("finishes"), asked=F.col("_finish"))
+    # Sorted rows take twenty times their shuffled bytes, so these parts keep the session's number and are never packed together by bytes.
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = display_price(wanted.repartition(parts, *keys).join(prices.repartition(parts, *keys), keys), [*keys, "_finish", "_lang", "finishes"], currency=currency, lang=F.col("_lang"), finishes=F.col("finishes"), asked=F.col("_finish"))
     shown = best.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate([*keys, "_finish", "_lang", "finishes"])), F.col("source"), F.col("currency"), F.col("market").alias("market_cents"), "observed_at")
     same = [entries[c].eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(what)]
     priced = entries.join(shown, same, "left").drop(*(f"_k{n}" for n in range(len(what))))

@@ -223,3 +223,12 @@ def test_products_and_prints_of_one_number_make_no_pairs(spark, monkeypatch):
     got = imports.match_group(products, prints, regional=True)
     assert rows(got) == [(7, k, "number", 70) for k in range(3)]
     assert saved and all(d.count() <= n for d in saved)
+
+
+def test_the_parts_of_asked_prices_are_not_packed_by_bytes(spark):
+    """Sorted rows are far larger than shuffled ones, so a part that is packed up to a number of bytes takes much memory."""
+    made = spark.createDataFrame([(p, f, None if p == 2 else "de", "NM", ["normal", "foil"]) for p in (1, 2, 3) for f in ("foil", "foil", "normal")], "p int, finish string, lang string, condition string, finishes array<string>")
+    prices = spark.createDataFrame([(1, "foil", "tcgplayer", "de", "USD", 10), (1, "foil", "cardmarket", "de", "EUR", 20), (1, "normal", "cardmarket", "en", "EUR", 30), (2, "normal", "cardmarket", "fr", "EUR", 40)], "p int, finish string, source string, lang string, currency string, market int")
+    priced = pricing.entry_price(made, prices.withColumn("observed_at", F.lit("2024-01-01")), ["p"], "EUR")
+    assert priced._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert rows(priced.select("p", "finish", "market_cents").orderBy("p", "finish")) == [(1, "foil", 20)] * 2 + [(1, "normal", 30)] + [(2, "foil", 40)] * 2 + [(2, "normal", 40)] + [(3, "foil", None)] * 2 + [(3, "normal", None)]
